@@ -26,7 +26,7 @@ def total_squares(v: Column) -> Column:
 def reduce_elements(v: Column, f: Callable[[Column, Column], Column]) -> Column:
     """Fold the elements of a non-empty array with f, starting from its first element."""
     rest = F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0)))
-    return F.aggregate(rest, F.element_at(v, 1), f)
+    return F.aggregate(rest, F.element_at(v, 1), lambda acc, x: f(acc, x))
 
 
 def mean(v: Column) -> Column:

@@ -26,6 +26,9 @@ from tallmat.session import MAX_DIRECT_COLS, cut_lineage
 
 log = logging.getLogger(__name__)
 
+# Residuals relative to the largest Ritz value that rounding leaves.
+RESIDUAL_FLOOR = 1e-12
+
 
 @dataclass
 class TruncatedSvd:
@@ -184,9 +187,8 @@ def krylov_svd(
     """Block Lanczos on A'A with full reorthogonalization and restarts.
 
     The basis grows by the residuals of the leading Ritz vectors and is cut back to
-    the best of them when it is full. Stops when every residual is at most
-    sqrt(tol) times the largest Ritz value, which puts the error of the Ritz values
-    near tol.
+    the best of them when it is full. Stops when every wanted residual is at most
+    tol times the Ritz value, or as small as rounding allows.
     """
     _check_rank(a, k)
     block = min(k + 2, a.n_cols)
@@ -195,13 +197,13 @@ def krylov_svd(
         basis = "local" if fits_locally(a.n_cols, 2 * longest) else "table"
     space = _LocalSpace(a, seed) if basis == "local" else _TableSpace(as_coo(a), seed)
     space.start(block)
-    limit = np.sqrt(tol)
     for _ in range(restarts * 5):
         theta, z = np.linalg.eigh(space.projected())
         theta, z = theta[::-1], z[:, ::-1]
         lead = min(block, len(theta))
         sizes = space.residuals(z[:, :lead], theta[:lead])
-        if (sizes[:k] <= limit * theta[0]).all() or space.width >= a.n_cols:
+        limit = np.maximum(tol * theta[:k], RESIDUAL_FLOOR * theta[0])
+        if (sizes[:k] <= limit).all() or space.width >= a.n_cols:
             break
         if space.width + block > longest:
             space.restart(z[:, : min(2 * block, len(theta))])
