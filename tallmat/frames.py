@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallmat.functions import arrays
-from tallmat.session import MAX_LOCAL_ELEMS, PART_ELEMS, keep
+from tallmat.session import MAX_BROADCAST_ROWS, MAX_LOCAL_ELEMS, PART_ELEMS, keep
 
 ROW_SCHEMA = "row_id BIGINT, v ARRAY<DOUBLE>"
 SPARSE_ROW_SCHEMA = "row_id BIGINT, idx ARRAY<BIGINT>, val ARRAY<DOUBLE>"
 
 
+Blocks = tuple[DataFrame, Callable[[Any], Iterator[tuple[Any, np.ndarray]]]]
+
+
+def _dense_blocks(n: int):
+    from tallmat.operators.batches import dense_block
+
+    def read(batch):
+        yield batch.column("row_id"), dense_block(batch.column("v"), n)
+
+    return read
+
+
+def _sparse_blocks(n: int):
+    from tallmat.operators.batches import scatter_blocks
+
+    return lambda batch: scatter_blocks(batch, n)
+
+
 class TallMatrix:
     """`df(row_id BIGINT, v ARRAY<DOUBLE>)` with `n_cols` doubles in every row."""
 
-    def __init__(self, df: DataFrame, n_cols: int):
+    def __init__(self, df: DataFrame, n_cols: int, blocks: Blocks | None = None):
         if n_cols < 1:
             raise ValueError("a matrix needs at least one column")
         self.df = df if df.columns == ["row_id", "v"] else df.select("row_id", "v")
         self.n_cols = n_cols
+        self._blocks = blocks
+
+    def blocks(self) -> Blocks:
+        """How tasks read the matrix: a table, and a function from its Arrow batches to
+        pairs (row ids, numpy block). A preprocessed matrix names the raw table here, so
+        that the preparation runs on whole blocks in the same task."""
+        return self._blocks or (self.df, _dense_blocks(self.n_cols))
 
     # -- construction -----------------------------------------------------
 
@@ -227,6 +253,10 @@ class CooMatrix:
             return self._rows
         return self.segments(self.n_cols).select("row_id", "idx", "val")
 
+    def blocks(self) -> Blocks:
+        """As TallMatrix.blocks: rows made dense inside the task, a bounded block at a time."""
+        return self.sparse_rows(), _sparse_blocks(self.n_cols)
+
     def row_slice(self, start: int, stop: int) -> CooMatrix:
         inside = (F.col("row_id") >= start) & (F.col("row_id") < stop)
         return CooMatrix(self.df.where(inside), self.n_cols, canonical=True)
@@ -239,7 +269,10 @@ class CooMatrix:
 
     def gather(self, chosen: DataFrame, n_chosen: int) -> CooMatrix:
         """Columns named by `chosen(col_id, pos)`; pos becomes the new column id."""
-        picked = self.df.join(chosen.select("col_id", "pos"), "col_id")
+        chosen = chosen.select("col_id", "pos")
+        if n_chosen <= MAX_BROADCAST_ROWS:
+            chosen = F.broadcast(chosen)
+        picked = self.df.join(chosen, "col_id")
         return CooMatrix(picked.select("row_id", F.col("pos").alias("col_id"), "val"), n_chosen, True)
 
     def to_tall(self) -> TallMatrix:
@@ -252,7 +285,7 @@ class CooMatrix:
 
         def densify(record_batches):
             for batch in record_batches:
-                x = batches.scatter_rows(batch, n)
-                yield batches.rows_batch(batch.column("row_id"), x)
+                for row_ids, x in batches.scatter_blocks(batch, n):
+                    yield batches.rows_batch(row_ids, x)
 
         return TallMatrix(self.sparse_rows().mapInArrow(densify, ROW_SCHEMA), n)

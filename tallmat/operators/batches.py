@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+# Doubles in one block made dense from sparse rows (32 MiB).
+DENSE_BLOCK_ELEMS = 1 << 22
+
 
 def _values(column) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
@@ -29,11 +32,15 @@ def sparse_block(batch):
     return rows, idx.flatten().to_numpy(zero_copy_only=False), _values(batch.column("val"))
 
 
-def scatter_rows(batch, n: int) -> np.ndarray:
-    rows, cols, vals = sparse_block(batch)
-    x = np.zeros((batch.num_rows, n))
-    x[rows, cols] = vals
-    return x
+def scatter_blocks(batch, n: int):
+    """Sparse rows as dense (row ids, block) pairs of bounded size."""
+    step = max(1, DENSE_BLOCK_ELEMS // n)
+    for start in range(0, batch.num_rows, step):
+        piece = batch.slice(start, step)
+        rows, cols, vals = sparse_block(piece)
+        x = np.zeros((piece.num_rows, n))
+        x[rows, cols] = vals
+        yield piece.column("row_id"), x
 
 
 def list_column(x: np.ndarray):

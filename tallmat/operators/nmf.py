@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallmat.frames import CooMatrix, TallMatrix
+from tallmat.frames import ROW_SCHEMA, CooMatrix, TallMatrix
+from tallmat.operators import batches as codec
+from tallmat.operators import products, stats
+from tallmat.operators.fold import fold_sum, parts_to_numpy
 from tallmat.operators.nnls import solve_nnls
 from tallmat.operators.preprocess import non_negative, unit_l1_factors
 from tallmat.operators.products import residual_correlation
 from tallmat.operators.tsqr import tsqr
+from tallmat.session import MAX_DIRECT_COLS, MAX_LOCAL_ELEMS, cut_lineage
 
 # fixed names of the selection scores
 SCORES = ("positive_part", "norm")
@@ -56,7 +60,7 @@ class NmfModel:
     h: DataFrame
     w: TallMatrix | None
     picks: list[int]
-    h_local: np.ndarray
+    h_local: np.ndarray | None
 
     def save(self, path: str) -> None:
         self.columns.write.parquet(f"{path}/columns")
@@ -77,11 +81,17 @@ def nmf(
     scale_columns: bool = True,
     negatives: str = "keep",
     return_w: bool = True,
+    max_direct_cols: int = MAX_DIRECT_COLS,
 ) -> NmfModel:
-    """One pass for R and the column sums, selection on R, and W as a second, lazy pass."""
+    """One pass for R and the column sums, selection on R, and W as a second, lazy pass.
+
+    A matrix of more than `max_direct_cols` columns is selected from its Gram table.
+    """
     if isinstance(a, CooMatrix):
         a = a.to_tall()
     a = non_negative(a, negatives)
+    if a.n_cols > max_direct_cols:
+        return _wide_nmf(a, r, score, scale_columns, return_w)
     factor = tsqr(a)
     down = unit_l1_factors(factor.col_l1) if scale_columns else np.ones(a.n_cols)
     x = factor.r * down
@@ -94,6 +104,98 @@ def nmf(
     return NmfModel(columns, _long(spark, h), a.gather(picks) if return_w else None, picks, h)
 
 
+def gram_table(a: TallMatrix) -> TallMatrix:
+    """A'A as n rows of n values, one pass for each group of columns that fits a task."""
+    n = a.n_cols
+    width = max(1, MAX_LOCAL_ELEMS // n)
+    tables = []
+    for number, start in enumerate(range(0, n, width)):
+        part = products.gram_columns(a, start, min(start + width, n)).df
+        tables.append(part.withColumn("number", F.lit(number)))
+    stacked = tables[0]
+    for part in tables[1:]:
+        stacked = stacked.unionByName(part)
+    # n values per row id
+    pieces = F.sort_array(F.collect_list(F.struct("number", "v")))
+    rows = stacked.groupBy("row_id").agg(pieces.alias("p"))
+    rows = rows.select("row_id", F.flatten(F.col("p.v")).alias("v"))
+    return TallMatrix(cut_lineage(rows), n)
+
+
+def _wide_nmf(a: TallMatrix, r: int, score: str, scale_columns: bool, return_w: bool) -> NmfModel:
+    """The selection with G = A'A as a table: one pass over G for each pick.
+
+    Row i of G gives the coefficients of column i and its residual correlations at
+    once; only the picked rows and one score per column reach the driver.
+    """
+    if score not in SCORES:
+        raise ValueError(f"unknown score {score!r}; one of {', '.join(SCORES)}")
+    n, spark = a.n_cols, a.df.sparkSession
+    sums = stats.col_norms_l1(a).orderBy("col_id").toArrow().column("val").to_numpy()
+    down = unit_l1_factors(sums) if scale_columns else np.ones(n)
+    held = a.keep()
+    g = gram_table(held)
+    held.release()
+    picks, gk, norms = [], np.zeros((0, n)), None
+    for _ in range(r):
+        parts = fold_sum(g.df, _score_rows(n, picks, gk, down, score), n, 2)
+        squares, diagonal = parts_to_numpy(parts, n, 2).T
+        norms = np.sqrt(diagonal)
+        if (norms > 0).sum() < r:
+            raise ValueError(f"{r} columns asked for, {(norms > 0).sum()} of {n} are not zero")
+        values = np.full(n, -1.0)
+        np.divide(np.sqrt(squares), norms, out=values, where=norms > 0)
+        values[picks] = -1.0
+        best = int(values.argmax())
+        row = g.df.where(F.col("row_id") == best).first()["v"]
+        picks.append(best)
+        gk = np.vstack([gk, np.array(row) * down * down[best]])
+    up = np.divide(1.0, down, out=np.zeros_like(down), where=down > 0)
+    factor_rows = _coefficient_rows(g, picks, gk, down, up)
+    h = factor_rows.select(
+        F.col("pos").cast("bigint").alias("comp"), F.col("row_id").alias("col_id"), "h"
+    )
+    columns = spark.createDataFrame(list(enumerate(picks)), "rank_pos BIGINT, col_id BIGINT")
+    return NmfModel(columns, h, a.gather(picks) if return_w else None, picks, None)
+
+
+def _score_rows(n: int, picks: list[int], gk: np.ndarray, down: np.ndarray, score: str):
+    """Per task: squared residual correlations of every column, and the diagonal of G."""
+
+    def local(batches):
+        acc = None
+        for batch in batches:
+            ids = batch.column("row_id").to_numpy()
+            x = codec.dense_block(batch.column("v"), n) * down * down[ids][:, None]
+            acc = np.zeros((n, 2)) if acc is None else acc
+            acc[ids, 1] = x[np.arange(len(ids)), ids]
+            if picks:
+                x = x - solve_nnls(gk[:, picks], x[:, picks])[0] @ gk
+            part = np.maximum(x, 0.0) if score == "positive_part" else x
+            acc[:, 0] += (part * part).sum(axis=0)
+        return acc
+
+    return local
+
+
+def _coefficient_rows(g: TallMatrix, picks, gk, down, up) -> DataFrame:
+    """(row_id, pos, h): the coefficients of every column, back on A's scale."""
+    n = g.n_cols
+
+    def solve(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        scaled = x[:, picks] * down[picks] * down[ids][:, None]
+        return solve_nnls(gk[:, picks], scaled)[0] * up[ids][:, None] / up[picks]
+
+    def run(batches):
+        for batch in batches:
+            x = codec.dense_block(batch.column("v"), n)
+            ids = batch.column("row_id")
+            yield codec.rows_batch(ids, solve(x, ids.to_numpy()))
+
+    rows = g.df.mapInArrow(run, ROW_SCHEMA)
+    return rows.select("row_id", F.posexplode("v").alias("pos", "h"))
+
+
 def _long(spark: SparkSession, h: np.ndarray) -> DataFrame:
     """(comp, col_id, h) for an r x n matrix with n up to MAX_DIRECT_COLS."""
     r, n = h.shape
@@ -105,12 +207,3 @@ def _long(spark: SparkSession, h: np.ndarray) -> DataFrame:
         }
     )
     return spark.createDataFrame(table)
-
-
-def reconstruct(model: NmfModel) -> DataFrame:
-    """(row_id, col_id, val) of W H, column by column as array arithmetic."""
-    from tallmat.operators.svd import right
-
-    if model.w is None:
-        raise ValueError("the model was built without W")
-    return right(model.w, model.h_local).entries().orderBy(F.col("row_id"), F.col("col_id"))

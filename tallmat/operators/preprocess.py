@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallmat.frames import TallMatrix
 from tallmat.functions import arrays
+from tallmat.operators import batches as codec
 
 # fixed names of the preprocessing methods
 METHODS = (
@@ -101,7 +102,26 @@ def preprocess(
         v = arrays.scaled(v, 1.0 / arrays.usable_std(raw_std))
     if weighted:
         v = arrays.scaled(v, F.col("weight"))
-    return TallMatrix(base.select("row_id", v.alias("v")), a.n_cols), row_stats
+    prepared = base.select("row_id", v.alias("v"))
+    read = _prepared_blocks(a.n_cols, method, weighted)
+    return TallMatrix(prepared, a.n_cols, blocks=(base, read)), row_stats
+
+
+def _prepared_blocks(n: int, method: str, weighted: bool):
+    """The same preparation on numpy blocks of (row_id, v, weight)."""
+
+    def read(batch):
+        x = codec.dense_block(batch.column("v"), n)
+        if method != "none":
+            x = x - x.mean(axis=1, keepdims=True)
+        if method == "standardizeEach" and n > 1:
+            std = np.sqrt((x * x).sum(axis=1, keepdims=True) / (n - 1))
+            x = x / np.where(std < arrays.LOW_STD, 1.0, std)
+        if weighted:
+            x = x * batch.column("weight").to_numpy()[:, None]
+        yield batch.column("row_id"), x
+
+    return read
 
 
 def clamp_log(a: TallMatrix) -> TallMatrix:

@@ -21,16 +21,18 @@ from tallmat.session import MAX_DIRECT_COLS
 
 def map_blocks(tall: TallMatrix, f: Callable, n_out: int | None = None) -> TallMatrix:
     """Apply a numpy function to every block of rows: (rows, n) -> (rows, n_out)."""
-    n, n_out = tall.n_cols, n_out or tall.n_cols
+    n_out = n_out or tall.n_cols
+    df, read = tall.blocks()
 
     def run(batches):
         for batch in batches:
-            y = np.asarray(f(codec.dense_block(batch.column("v"), n)), dtype=np.float64)
-            if y.shape != (batch.num_rows, n_out):
-                raise ValueError(f"block function returned shape {y.shape}")
-            yield codec.rows_batch(batch.column("row_id"), y)
+            for row_ids, x in read(batch):
+                y = np.asarray(f(x), dtype=np.float64)
+                if y.shape != (len(row_ids), n_out):
+                    raise ValueError(f"block function returned shape {y.shape}")
+                yield codec.rows_batch(row_ids, y)
 
-    return TallMatrix(tall.df.mapInArrow(run, ROW_SCHEMA), n_out)
+    return TallMatrix(df.mapInArrow(run, ROW_SCHEMA), n_out)
 
 
 def times(a: TallMatrix | CooMatrix, b: np.ndarray) -> TallMatrix:
@@ -66,9 +68,9 @@ def _gram_times_parts(a: TallMatrix | CooMatrix, b: np.ndarray) -> DataFrame:
     def dense(batches):
         acc, rhs = None, get()
         for batch in batches:
-            x = codec.dense_block(batch.column("v"), n)
-            y = x.T @ (x @ rhs)
-            acc = y if acc is None else np.add(acc, y, out=acc)
+            for _, x in read(batch):
+                y = x.T @ (x @ rhs)
+                acc = y if acc is None else np.add(acc, y, out=acc)
         return acc
 
     def sparse(batches):
@@ -82,7 +84,8 @@ def _gram_times_parts(a: TallMatrix | CooMatrix, b: np.ndarray) -> DataFrame:
         return acc
 
     if isinstance(a, TallMatrix):
-        return fold_sum(a.df, dense, n, k)
+        df, read = a.blocks()
+        return fold_sum(df, dense, n, k)
     return fold_sum(a.sparse_rows(), sparse, n, k)
 
 
@@ -105,17 +108,21 @@ def _gram_parts(a: TallMatrix | CooMatrix) -> DataFrame:
     n = a.n_cols
     if n > MAX_DIRECT_COLS:
         raise ValueError(f"the whole Gram matrix of {n} columns is not formed; use gram_times")
-    sparse = isinstance(a, CooMatrix)
+    return _gram_columns_parts(a, 0, n)
+
+
+def _gram_columns_parts(a: TallMatrix | CooMatrix, start: int, stop: int) -> DataFrame:
+    df, read = a.blocks()
 
     def local(batches):
         acc = None
         for batch in batches:
-            x = codec.scatter_rows(batch, n) if sparse else codec.dense_block(batch.column("v"), n)
-            g = x.T @ x
-            acc = g if acc is None else np.add(acc, g, out=acc)
+            for _, x in read(batch):
+                g = x.T @ x[:, start:stop]
+                acc = g if acc is None else np.add(acc, g, out=acc)
         return acc
 
-    return fold_sum(a.sparse_rows() if sparse else a.df, local, n, n)
+    return fold_sum(df, local, a.n_cols, stop - start)
 
 
 def gram(a: TallMatrix | CooMatrix) -> TallMatrix:
@@ -123,6 +130,12 @@ def gram(a: TallMatrix | CooMatrix) -> TallMatrix:
     return TallMatrix(parts_to_rows(_gram_parts(a), a.n_cols), a.n_cols)
 
 
+def gram_columns(a: TallMatrix | CooMatrix, start: int, stop: int) -> TallMatrix:
+    """Columns [start, stop) of A'A as a table of n rows."""
+    width = stop - start
+    return TallMatrix(parts_to_rows(_gram_columns_parts(a, start, stop), width), width)
+
+
 def gram_local(a: TallMatrix | CooMatrix) -> np.ndarray:
     return parts_to_numpy(_gram_parts(a), a.n_cols, a.n_cols)
 

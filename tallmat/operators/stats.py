@@ -16,6 +16,8 @@ from tallmat.operators.products import paired_rows
 
 # Up to this width a column reduction is one built-in aggregate per column.
 UNROLLED_COLS = 200
+# Wider column sums go through numpy blocks, which beats that many aggregates.
+BUILT_IN_SUMS = 32
 
 WHOLE = {
     "sum": lambda v: F.sum(arrays.total(v)),
@@ -65,32 +67,35 @@ def row_sums(a: TallMatrix) -> DataFrame:
     return a.df.select("row_id", arrays.total(F.col("v")).alias("val"))
 
 
-def col_sums(a: TallMatrix) -> DataFrame:
-    return reduce_cols(a, F.sum)
+def _sum_cols(a: TallMatrix, column: Callable, block: Callable) -> DataFrame:
+    """(col_id, val): sums over columns, built-in for a few columns, else by numpy blocks."""
+    if a.n_cols <= BUILT_IN_SUMS:
+        return reduce_cols(a, lambda x: F.sum(column(x)))
+    df, read = a.blocks()
 
+    def local(batches):
+        acc = None
+        for batch in batches:
+            for _, x in read(batch):
+                s = block(x).sum(axis=0)[:, None]
+                acc = s if acc is None else acc + s
+        return acc
 
-def col_norms_l1(a: TallMatrix) -> DataFrame:
-    return reduce_cols(a, lambda x: F.sum(F.abs(x)))
+    sums = parts_to_rows(fold_sum(df, local, a.n_cols, 1), 1)
+    return sums.select(F.col("row_id").alias("col_id"), F.col("v")[0].alias("val"))
 
 
-def col_norms_l2(a: TallMatrix) -> DataFrame:
-    return reduce_cols(a, lambda x: F.sqrt(F.sum(x * x)))
+def col_sums(a: TallMatrix) -> DataFrame:
+    return _sum_cols(a, lambda x: x, lambda x: x)
 
 
-def col_norms_l2_wide(a: TallMatrix) -> TallMatrix:
-    """Column L2 norms by block partials, as n rows of one value; for any width."""
-    n = a.n_cols
+def col_norms_l1(a: TallMatrix) -> DataFrame:
+    return _sum_cols(a, F.abs, np.abs)
 
-    def local(batches):
-        acc = None
-        for batch in batches:
-            x = codec.dense_block(batch.column("v"), n)
-            s = (x * x).sum(axis=0)[:, None]
-            acc = s if acc is None else acc + s
-        return acc
 
-    squares = TallMatrix(parts_to_rows(fold_sum(a.df, local, n, 1), 1), 1)
-    return squares.map_elements(F.sqrt)
+def col_norms_l2(a: TallMatrix) -> DataFrame:
+    squares = _sum_cols(a, lambda x: x * x, np.square)
+    return squares.select("col_id", F.sqrt("val").alias("val"))
 
 
 def frobenius(a: TallMatrix | CooMatrix) -> DataFrame:

@@ -36,15 +36,10 @@ def tsqr(a: TallMatrix | CooMatrix) -> TsqrResult:
 
     A partial is the R of its rows below two header rows: column norms and row count.
     """
-    sparse = isinstance(a, CooMatrix)
-    if sparse:
-        n = a.n_cols
-        return _tsqr(a.sparse_rows(), n, lambda batch: codec.scatter_rows(batch, n))
-    n = a.n_cols
-    return _tsqr(a.df, n, lambda batch: codec.dense_block(batch.column("v"), n))
+    return _tsqr(*a.blocks(), a.n_cols)
 
 
-def _tsqr(df, n: int, block) -> TsqrResult:
+def _tsqr(df, read, n: int) -> TsqrResult:
     if n > MAX_DIRECT_COLS:
         raise ValueError(f"{n} columns are too many for one R factor (limit {MAX_DIRECT_COLS})")
     # short batches are stacked first, so that a wide R is not re-factored for a few rows
@@ -53,10 +48,8 @@ def _tsqr(df, n: int, block) -> TsqrResult:
     def local(batches):
         r, pending, height = None, [], 0
         header = np.zeros((2, n))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = block(batch)
+        blocks = (x for batch in batches for _, x in read(batch) if len(x))
+        for x in blocks:
             header[0] += np.abs(x).sum(axis=0)
             header[1, 0] += x.shape[0]
             pending.append(x)
@@ -112,11 +105,12 @@ def _reduced_system(a: TallMatrix, b: TallMatrix):
     n, q = a.n_cols, b.n_cols
     paired = paired_rows(a, b)
 
-    def block(batch):
+    def read(batch):
         left = codec.dense_block(batch.column("a"), n)
-        return np.hstack([left, codec.dense_block(batch.column("b"), q)])
+        x = np.hstack([left, codec.dense_block(batch.column("b"), q)])
+        yield batch.column("row_id"), x
 
-    r = _tsqr(paired, n + q, block).r
+    r = _tsqr(paired, read, n + q).r
     square = np.zeros((n + q, n + q))
     square[: r.shape[0]] = r
     return square[:n, :n], square[:n, n:], square[n:, n:]

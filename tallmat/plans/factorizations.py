@@ -595,3 +595,14 @@ def fac19(spark, sf):
     ]
     schema = "lambda DOUBLE, target BIGINT, slope DOUBLE, intercept DOUBLE"
     return rounded(spark.createDataFrame(rows, schema), 1, 7, "slope", "intercept")
+
+
+@query("fac12_select_columns_wide", f"{xray_sql('part_nation', True, True)}\n{_PICKS}")
+def fac12_wide(spark, sf):
+    return nmf(fx.part_nation(spark, sf), 2, return_w=False, max_direct_cols=8).columns
+
+
+@query("fac16_nmf_h_wide", f"{xray_sql('part_nation', True, True)}\n{_H}")
+def fac16_wide(spark, sf):
+    model = nmf(fx.part_nation(spark, sf), 2, return_w=False, max_direct_cols=8)
+    return rounded(model.h, 1, 6, "h")

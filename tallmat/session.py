@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 MAX_DIRECT_COLS = 4000
 # Most doubles (128 MiB) in a matrix that is broadcast or brought to the driver.
 MAX_LOCAL_ELEMS = 1 << 24
+# A lookup table of up to this many ids (16 bytes each) is broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
 # Rows of a partial matrix are cut so that one shuffled record stays near 1 MiB.
 PART_ELEMS = 1 << 17
 # Partials above this size make it worth running fewer, longer tasks.

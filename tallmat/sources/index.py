@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix
-from tallmat.session import cut_lineage, keep
-
-# A dictionary of up to this many ids (16 bytes each) is broadcast.
-BROADCAST_IDS = 1_000_000
+from tallmat.session import MAX_BROADCAST_ROWS, cut_lineage, keep
 
 _POSITION_BITS = 33
 
@@ -64,7 +61,7 @@ def compact(entries: DataFrame) -> Compacted:
 
 def replace_key(entries: DataFrame, ids: DataFrame, n_ids: int, key: str) -> DataFrame:
     """Join a dictionary to the entries without piling a frequent key onto one task."""
-    if n_ids <= BROADCAST_IDS:
+    if n_ids <= MAX_BROADCAST_ROWS:
         return entries.join(F.broadcast(ids), key).drop(key)
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = entries.groupBy(key).agg(F.count("*").alias("n"))
