@@ -330,8 +330,9 @@ x AS MATERIALIZED (
 @query(
     "cx4_fitted_x",
     f"""{_FIT}
-SELECT col AS row_id, 0::BIGINT AS col_id, {sql_round("x0")} AS val FROM x
-UNION ALL SELECT col, 1, {sql_round("x1")} FROM x""",
+SELECT col AS row_id, c.col_id, {sql_round("CASE c.col_id WHEN 0 THEN x0 ELSE x1 END")} AS val
+FROM x JOIN g ON g.i = col AND g.j = col CROSS JOIN (SELECT unnest(range(2)) AS col_id) c
+WHERE g.g > 0""",
 )
 def cx4_x(spark, sf):
     a = fx.part_nation(spark, sf).to_coo()

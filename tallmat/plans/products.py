@@ -177,8 +177,8 @@ def prd8_sparse(spark, sf):
     "prd9_residual_correlation",
     f"""{fx.with_matrices("part_nation")},
 {fx.gram_sql("g", "part_nation")},
-h AS (SELECT k.j, greatest(k.g / (SELECT g FROM g WHERE i = 9 AND j = 9), 0) AS h
-      FROM g k WHERE k.i = 9)
+h AS (SELECT k.j, CASE WHEN d.g > 0 THEN greatest(k.g / d.g, 0) ELSE 0 END AS h
+      FROM g k JOIN g d ON d.i = 9 AND d.j = 9 WHERE k.i = 9)
 SELECT g.i AS row_id, g.j AS col_id, {sql_round("g.g - h.h * k.g", 1000)} AS val
 FROM g JOIN h ON h.j = g.i JOIN g k ON k.i = 9 AND k.j = g.j""",
 )
