@@ -42,8 +42,16 @@ def unpack(batch) -> Iterator[Part]:
         yield block, np.frombuffer(part.as_buffer(), dtype=np.float64).reshape(r, -1)
 
 
-def merge_widths(cores: int) -> list[int]:
-    """Slots per merge level: one level on a small machine, a tree on a cluster."""
+def merge_widths(cores: int, costly: bool = False) -> list[int]:
+    """Slots per merge level: one level on a small machine, a tree on a cluster.
+
+    A costly merge gets a deeper tree in which a task merges about four partials.
+    """
+    if costly:
+        widths = [max(1, cores // 2)]
+        while widths[-1] > 1:
+            widths.append(math.ceil(widths[-1] / 4))
+        return widths
     if cores <= 64:
         return [1]
     return [cores, math.isqrt(cores), 1]
@@ -54,11 +62,13 @@ def fold(
     local: Callable[[Iterator], Iterable[Part]],
     merge: Callable[[np.ndarray, np.ndarray], np.ndarray],
     part_bytes: int,
+    costly: bool = False,
 ) -> DataFrame:
     """(block, rows, part): the merged partials of `local`, one record per block.
 
     `part_bytes` is the size of what one task emits; when it is large the tasks are
-    fewer and longer, which bounds what the merge has to move.
+    fewer and longer, which bounds what the merge has to move. `costly` merges take
+    more time than the exchange between two levels of the tree.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if part_bytes >= LARGE_PART_BYTES:
@@ -78,7 +88,7 @@ def fold(
             yield from _pack(key[0].as_py(), [(key[1].as_py(), merged)])
 
     parts = df.mapInArrow(run, PART_SCHEMA)
-    for width in merge_widths(cores):
+    for width in merge_widths(cores, costly):
         slotted = parts.withColumn("slot", (F.col("slot") % width).cast("int"))
         parts = slotted.groupBy("slot", "block").applyInArrow(merge_group, schema=PART_SCHEMA)
     return parts.select("block", "rows", "part")

@@ -19,7 +19,6 @@ from tallmat.operators.products import residual_correlation
 from tallmat.operators.tsqr import tsqr
 from tallmat.session import MAX_DIRECT_COLS, MAX_LOCAL_ELEMS, cut_lineage
 
-# fixed names of the selection scores
 SCORES = ("positive_part", "norm")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.operators.preprocess import preprocess as prepare
-from tallmat.operators.stats import squared_error
+from tallmat.operators.stats import row_mean_std, squared_error
 from tallmat.operators.svd import TruncatedSvd, exact_svd, randomized_svd
 from tallmat.session import MAX_DIRECT_COLS
 
@@ -34,7 +34,7 @@ class PcaModel:
     v: TallMatrix
     row_stats: DataFrame
     meta: dict = field(default_factory=dict)
-    matrix: TallMatrix | None = None
+    matrix: TallMatrix | CooMatrix | None = None
 
     @property
     def k(self) -> int:
@@ -49,7 +49,10 @@ class PcaModel:
 
     def squared_error(self) -> DataFrame:
         """One record `val`: squared error of the rank-k approximation."""
-        return squared_error(self.matrix, self.u, self.right_factor())
+        matrix = self.matrix
+        if isinstance(matrix, CooMatrix):
+            matrix = matrix.to_tall()
+        return squared_error(matrix, self.u, self.right_factor())
 
     def save(self, path: str) -> None:
         """One Parquet table per part and a one-record `meta` with the dimensions."""
@@ -100,9 +103,16 @@ def pca(
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
-    if isinstance(a, CooMatrix):
-        a = a.to_tall()
-    matrix, row_stats = prepare(a, preprocess, weights)
+    if isinstance(a, CooMatrix) and preprocess == "none":
+        # nothing fills the zeros, so the matrix stays sparse
+        one = F.lit(1.0)
+        row_stats = row_mean_std(a).select(
+            "row_id", "mean", "std", one.alias("weight"), F.col("mean").alias("weighted_mean"), "low_std"
+        )
+        matrix = a
+    else:
+        a = a.to_tall() if isinstance(a, CooMatrix) else a
+        matrix, row_stats = prepare(a, preprocess, weights)
     meta = {"n": a.n_cols, "preprocess": preprocess, "seed": seed}
     models = []
     if method != "randomized":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.functions import arrays
 from tallmat.operators import batches as codec
-from tallmat.operators.fold import fold_sum, parts_to_rows, ship
+from tallmat.operators.fold import fold, fold_sum, parts_to_rows, ship, unpack
 from tallmat.operators.products import paired_rows
 
 # Up to this width a column reduction is one built-in aggregate per column.
@@ -43,6 +43,52 @@ def aggregate_all(
     return a.df.agg(combine(F.aggregate("v", zero, seq)).alias("val"))
 
 
+def aggregate_blocks(
+    a: TallMatrix | CooMatrix,
+    seq: Callable[[np.ndarray], np.ndarray],
+    combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    n_out: int,
+) -> DataFrame:
+    """(pos, val): any user aggregate with n_out values.
+
+    `seq` turns a block of rows into n_out numbers, `combine` merges two results and
+    must be associative and commutative. Unlike the built-in reductions this runs in
+    Python, on whole blocks.
+    """
+    df, read = a.blocks()
+
+    def local(batches):
+        acc = None
+        for batch in batches:
+            for _, x in read(batch):
+                if len(x):
+                    part = np.asarray(seq(x), dtype=np.float64).reshape(n_out, 1)
+                    acc = part if acc is None else combine(acc, part)
+        if acc is not None:
+            yield 0, acc
+
+    merged = fold(df, local, combine, 8 * n_out)
+    values = merged.mapInArrow(_part_values, "pos BIGINT, val DOUBLE")
+    return values
+
+
+def _part_values(batches):
+    for batch in batches:
+        for _, x in unpack(batch):
+            yield codec.numbered_batch(x[:, 0])
+
+
+def reduce_with(a: TallMatrix | CooMatrix, f: np.ufunc) -> DataFrame:
+    """One record `val`: all elements folded with a binary numpy function."""
+    return aggregate_blocks(a, lambda x: f.reduce(x, axis=None), f, 1).select("val")
+
+
+def reduce_cols_with(a: TallMatrix | CooMatrix, f: np.ufunc) -> DataFrame:
+    """(col_id, val): every column folded with a binary numpy function."""
+    folded = aggregate_blocks(a, lambda x: f.reduce(x, axis=0), f, a.n_cols)
+    return folded.withColumnRenamed("pos", "col_id")
+
+
 def reduce_rows(a: TallMatrix, f: Callable[[Column, Column], Column]) -> DataFrame:
     """(row_id, val): each row folded with f."""
     return a.df.select("row_id", arrays.reduce_elements(F.col("v"), f).alias("val"))
@@ -112,10 +158,13 @@ def row_means(a: TallMatrix | CooMatrix) -> DataFrame:
     return a.df.select("row_id", arrays.mean(F.col("v")).alias("val"))
 
 
-def row_mean_std(a: TallMatrix) -> DataFrame:
+def row_mean_std(a: TallMatrix | CooMatrix) -> DataFrame:
     """(row_id, mean, std, low_std): sample deviation, replaced by 1 where it is too low."""
-    raw = arrays.deviation(F.col("v"))
-    stats = a.df.select("row_id", arrays.mean(F.col("v")).alias("mean"), raw.alias("raw"))
+    if isinstance(a, CooMatrix):
+        stats = _sparse_mean_std(a)
+    else:
+        raw = arrays.deviation(F.col("v"))
+        stats = a.df.select("row_id", arrays.mean(F.col("v")).alias("mean"), raw.alias("raw"))
     return stats.select(
         "row_id",
         "mean",
@@ -124,6 +173,16 @@ def row_mean_std(a: TallMatrix) -> DataFrame:
     )
 
 
+def _sparse_mean_std(a: CooMatrix) -> DataFrame:
+    """(row_id, mean, raw): by two passes over the stored entries; absent ones are 0."""
+    n, v = a.n_cols, F.col("val")
+    rows = a.sparse_rows().select("row_id", "val", (arrays.total(v) / n).alias("mean"))
+    stored = arrays.let(F.col("mean"), lambda m: arrays.total_squares(F.transform(v, lambda x: x - m)))
+    squares = stored + (n - F.size(v)) * F.col("mean") * F.col("mean")
+    raw = F.sqrt(squares / (n - 1)) if n > 1 else F.lit(0.0)
+    return rows.select("row_id", "mean", raw.alias("raw"))
+
+
 def _errors(a: TallMatrix, left: TallMatrix, right: np.ndarray) -> DataFrame:
     """One record (sse, ssq): squared error of L R and squared norm of A, in one pass."""
     n, k = a.n_cols, left.n_cols

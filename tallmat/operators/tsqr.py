@@ -14,6 +14,8 @@ from tallmat.operators.products import map_blocks, paired_rows
 from tallmat.session import MAX_DIRECT_COLS
 
 RANK_TOL = 1e-12
+# From this width on, factoring two stacked R takes longer than a shuffle.
+COSTLY_COLS = 512
 
 
 @dataclass
@@ -64,7 +66,8 @@ def _tsqr(df, read, n: int) -> TsqrResult:
     def merge(p, q):
         return np.vstack([p[:2] + q[:2], _stack(p[2:], q[2:])])
 
-    merged = parts_to_numpy(fold(df, local, merge, 8 * n * n), n + 2, n)
+    parts = fold(df, local, merge, 8 * n * n, costly=n >= COSTLY_COLS)
+    merged = parts_to_numpy(parts, n + 2, n)
     r = np.linalg.qr(merged[2:], mode="r")
     signs = np.where(np.diag(r) < 0, -1.0, 1.0)
     r = r * signs[: r.shape[0], None]

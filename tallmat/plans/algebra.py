@@ -158,6 +158,19 @@ def agg2(spark, sf):
     return rounded(cubes)
 
 
+@query(
+    "agg2_aggregate_blocks",
+    f"""{fx.with_matrices("emb")}
+SELECT 0::BIGINT AS pos, {sql_round("max(abs(val))")} AS val FROM emb
+UNION ALL SELECT 1, {sql_round("-min(val)")} FROM emb""",
+)
+def agg2_blocks(spark, sf):
+    extremes = stats.aggregate_blocks(
+        fx.emb(spark, sf), lambda x: [np.abs(x).max(), -x.min()], np.maximum, 2
+    )
+    return rounded(extremes)
+
+
 def _reduce_all(how: str, expr: str) -> str:
     return f"{fx.with_matrices('emb')} SELECT {sql_round(expr)} AS val FROM emb"
 
@@ -182,6 +195,11 @@ def agg3_product(spark, sf):
     return rounded(stats.reduce_all(fx.emb(spark, sf).map_elements(lambda x: 1 + x / 1000), "product"))
 
 
+@query("agg3_reduce_any", _reduce_all("hypot", "sqrt(sum(val * val))"))
+def agg3_any(spark, sf):
+    return rounded(stats.reduce_with(fx.emb(spark, sf), np.hypot))
+
+
 @query(
     "agg4_reduce_rows",
     f"""{fx.with_matrices("user_event")}
@@ -200,6 +218,15 @@ def agg5(spark, sf):
     return rounded(stats.reduce_cols(fx.part_nation(spark, sf), F.max))
 
 
+@query(
+    "agg5_reduce_columns_any",
+    f"""{fx.with_matrices("emb")}
+SELECT col_id, {sql_round("sqrt(sum(val * val))")} AS val FROM emb GROUP BY 1""",
+)
+def agg5_any(spark, sf):
+    return rounded(stats.reduce_cols_with(fx.emb(spark, sf), np.hypot))
+
+
 @query(
     "agg5_reduce_columns_sparse",
     f"""{fx.with_matrices("part_supp")}
@@ -293,6 +320,18 @@ def agg13(spark, sf):
     return fx.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("row_id")).distinct()
 
 
+@query(
+    "agg10_row_mean_std_sparse",
+    f"""{fx.with_matrices("part_nation")}
+SELECT row_id, {sql_round("avg(val)")} AS mean, {sql_round("stddev_samp(val)")} AS std,
+       false AS low_std
+FROM part_nation GROUP BY 1""",
+)
+def agg10_sparse(spark, sf):
+    sparse = fx.part_nation(spark, sf).to_coo()
+    return rounded(stats.row_mean_std(sparse), 1.0, 6, "mean", "std")
+
+
 # part_nation against the rank-1 product of its row sums and column shares
 _ERROR = f"""{fx.with_matrices("part_nation")},
 r AS (SELECT row_id, sum(val) AS s FROM part_nation GROUP BY 1),

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.operators import cx, nnls, pca, preprocess, products, stats, svd, tsqr
-from tallmat.operators.nmf import nmf
+from tallmat.operators.nmf import load_nmf, nmf
 from tallmat.plans import fixtures as fx
 from tallmat.plans.registry import long, query, rounded, sql_round
+from tallmat.session import scratch_path
 
 COMP = "comp BIGINT, s DOUBLE"
 
@@ -91,7 +92,7 @@ def fac1_norms(spark, sf):
 SELECT row_id, col_id, {sql_round("val", 1, 4)} AS val FROM order4""",
 )
 def fac2_product(spark, sf):
-    q, r = tsqr.thin_qr(fx.order4(spark, sf))
+    q, r = tsqr.thin_qr(fx.order4(spark, sf).keep())
     return long(products.times(q, r), 1, 4)
 
 
@@ -103,7 +104,7 @@ SELECT a.col_id AS row_id, b.col_id, CASE WHEN a.col_id = b.col_id THEN 1.0::DOU
 FROM c a CROSS JOIN c b""",
 )
 def fac2_orthonormal(spark, sf):
-    q, _ = tsqr.thin_qr(fx.order4(spark, sf))
+    q, _ = tsqr.thin_qr(fx.order4(spark, sf).keep())
     return long(products.gram(q), 1, 10)
 
 
@@ -170,6 +171,12 @@ def fac6(spark, sf):
     return rounded(both, 1, 6, "s_exact", "s_rand", "rel_diff")
 
 
+@query("fac5_randomized_sparse", _singular_query("user_event", 2))
+def fac5_sparse(spark, sf):
+    a = fx.user_event(spark, sf).to_coo()
+    return rounded(pca.pca(a, 2, "none", "randomized", oversample=3).s, 1, 6, "s")
+
+
 _CENTERED = """,
 a AS MATERIALIZED (
   SELECT row_id, col_id, val - avg(val) OVER (PARTITION BY row_id) AS val FROM user_event)"""
@@ -204,9 +211,10 @@ def fac7_error(spark, sf):
 # -- CX -----------------------------------------------------------------------
 
 
-def _nation_scores(spark, sf) -> cx.CxScores:
+def _nation_scores(spark, sf, a: CooMatrix | None = None) -> cx.CxScores:
     # rank + slack is the full width, so the randomized factor is the exact one
-    return cx.cx_scores(fx.part_nation(spark, sf).to_coo(), 2, fx.NATIONS - 2, 2)
+    a = a or fx.part_nation(spark, sf).to_coo()
+    return cx.cx_scores(a, 2, fx.NATIONS - 2, 2)
 
 
 _ROW_LEV = """SELECT a.row_id, sum(s.p) / 2 AS p FROM (
@@ -291,8 +299,10 @@ def cx2(spark, sf):
     )
 
 
-def _chosen(spark, sf):
-    return cx.top_columns(_nation_scores(spark, sf).col_lev, 2)
+def _with_chosen(spark, sf):
+    """The sparse matrix, read once and kept, and its two best columns."""
+    a = fx.part_nation(spark, sf).keep().to_coo()
+    return a, cx.top_columns(_nation_scores(spark, sf, a).col_lev, 2)
 
 
 _CHOSEN = f"""{_eigen_sql("part_nation", 2)},
@@ -308,8 +318,8 @@ SELECT a.row_id, k.pos AS col_id, {sql_round("a.val")} AS val
 FROM part_nation a JOIN k ON a.col_id = k.col_id WHERE a.val <> 0""",
 )
 def cx3(spark, sf):
-    a = fx.part_nation(spark, sf).to_coo()
-    return long(cx.chosen_columns(a, _chosen(spark, sf), 2))
+    a, chosen = _with_chosen(spark, sf)
+    return long(cx.chosen_columns(a, chosen, 2))
 
 
 _FIT = f"""{_CHOSEN},
@@ -335,8 +345,8 @@ FROM x JOIN g ON g.i = col AND g.j = col CROSS JOIN (SELECT unnest(range(2)) AS
 WHERE g.g > 0""",
 )
 def cx4_x(spark, sf):
-    a = fx.part_nation(spark, sf).to_coo()
-    return long(cx.fit_x(a, cx.chosen_columns(a, _chosen(spark, sf), 2)).x)
+    a, chosen = _with_chosen(spark, sf)
+    return long(cx.fit_x(a, cx.chosen_columns(a, chosen, 2)).x)
 
 
 @query(
@@ -346,8 +356,8 @@ SELECT {sql_round("sqrt(1 - (SELECT sum(p * x0 + q * x1) FROM x) / sum(val * val
 FROM part_nation""",
 )
 def cx4_error(spark, sf):
-    a = fx.part_nation(spark, sf).to_coo()
-    return rounded(cx.fit_x(a, cx.chosen_columns(a, _chosen(spark, sf), 2)).relative_error)
+    a, chosen = _with_chosen(spark, sf)
+    return rounded(cx.fit_x(a, cx.chosen_columns(a, chosen, 2)).relative_error)
 
 
 # -- NMF --------------------------------------------------------------------------
@@ -435,6 +445,13 @@ def fac16_clamp_log(spark, sf):
     return rounded(model.h, 1, 6, "h")
 
 
+@query("fac16_saved_nmf", f"{xray_sql('part_nation', True, True)}\n{_H}")
+def fac16_saved(spark, sf):
+    path = scratch_path(spark, "nmf")
+    nmf(fx.part_nation(spark, sf), 2, return_w=False).save(path)
+    return rounded(load_nmf(spark, path, with_w=False)["h"], 1, 6, "h")
+
+
 @query(
     "fac17_nmf_w",
     f"""{xray_sql("part_nation", True, True)}
@@ -457,7 +474,7 @@ SELECT {sql_round("sqrt(sum(pow(a.val - w.w1 * h.h1 - w.w2 * h.h2, 2)) / sum(a.v
 FROM part_nation a JOIN w ON w.row_id = a.row_id JOIN h ON h.j = a.col_id""",
 )
 def fac17_error(spark, sf):
-    a = fx.part_nation(spark, sf)
+    a = fx.part_nation(spark, sf).keep()
     model = nmf(a, 2)
     return rounded(stats.relative_error(a, model.w, model.h_local))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
@@ -24,8 +24,11 @@ def write_matrix_market(entries: DataFrame, n_rows: int, n_cols: int, path: str)
         (F.col("col_id") + 1).cast("string"),
         F.col("val").cast("string"),
     )
-    entries.select(text.alias("value")).write.text(f"{path}/1-entries")
-    nnz = spark.read.text(f"{path}/1-entries").count()
+    # counted while writing
+    written = Observation()
+    lines = entries.select(text.alias("value")).observe(written, F.count(F.lit(1)).alias("nnz"))
+    lines.write.text(f"{path}/1-entries")
+    nnz = written.get["nnz"]
     header = spark.createDataFrame([(f"{MM_HEADER}\n{n_rows} {n_cols} {nnz}",)], "value STRING")
     header.coalesce(1).write.text(f"{path}/0-header")
 
@@ -61,7 +64,7 @@ def save_compacted(c: Compacted, path: str) -> None:
 def export_model(model: PcaModel, path: str) -> None:
     """Four Matrix Market folders: colEOFs = U, rowEOFs = V, evalEOFs = S, rowMeans.
 
-    Row ids are taken as 0-based row numbers.
+    The folder names are fixed values. Row ids are taken as 0-based row numbers.
     """
     m = model.row_stats.agg(F.max("row_id")).first()[0] + 1
     write_tall_matrix_market(model.u, m, f"{path}/colEOFs")

@@ -46,7 +46,10 @@ def test_ones_on_the_right(make_coo):
 def test_merge_tree_with_several_levels(make, monkeypatch):
     assert fold.merge_widths(8) == [1]
     assert fold.merge_widths(8000) == [8000, 89, 1]
-    monkeypatch.setattr(fold, "merge_widths", lambda cores: [5, 2, 1])
+    assert fold.merge_widths(8, costly=True) == [4, 1]
+    assert fold.merge_widths(1, costly=True) == [1]
+    assert fold.merge_widths(8000, costly=True) == [4000, 1000, 250, 63, 16, 4, 1]
+    monkeypatch.setattr(fold, "merge_widths", lambda cores, costly: [5, 2, 1])
     x = RNG.normal(size=(60, 4))
     assert np.allclose(products.gram_local(make(x, 8)), x.T @ x)
     assert np.allclose(np.abs(tsqr.tsqr(make(x, 8)).r), np.abs(np.linalg.qr(x)[1]))
