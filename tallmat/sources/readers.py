@@ -15,6 +15,9 @@ from tallmat.functions.noise import uniform
 from tallmat.operators.svd import gaussian_matrix  # noqa: F401  (a local source)
 from tallmat.sources.index import number_rows
 
+# A table of up to this many file paths is broadcast.
+MAX_BROADCAST_FILES = 100_000
+
 # fixed header line of the only supported Matrix Market kind
 MM_HEADER = "%%MatrixMarket matrix coordinate real general"
 
@@ -178,8 +181,9 @@ def _number_by_place(stacked: DataFrame) -> DataFrame:
         starts.append((row["file_no"], row["file"], first))
         first += row["count"]
     schema = "file_no INT, file STRING, first BIGINT"
-    # one record per data file
-    starts = F.broadcast(stacked.sparkSession.createDataFrame(starts, schema))
+    many = len(starts) > MAX_BROADCAST_FILES
+    starts = stacked.sparkSession.createDataFrame(starts, schema)
+    starts = starts if many else F.broadcast(starts)
     joined = stacked.join(starts, ["file_no", "file"])
     return joined.withColumn("row_id", F.col("first") + F.col("place"))
 
