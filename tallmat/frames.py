@@ -105,6 +105,11 @@ class TallMatrix:
     def coalesce(self, parts: int) -> TallMatrix:
         return TallMatrix(self.df.coalesce(parts), self.n_cols)
 
+    def placed(self, parts: int) -> TallMatrix:
+        """Partitioned by row id. Matrices kept with the same `parts` combine without
+        another shuffle."""
+        return TallMatrix(self.df.repartition(parts, "row_id"), self.n_cols)
+
     def to_numpy(self, max_elems: int = MAX_LOCAL_ELEMS) -> np.ndarray:
         """The whole matrix ordered by row_id, refused above `max_elems` values."""
         most = max_elems // self.n_cols
@@ -209,12 +214,27 @@ class CooMatrix:
         self.n_cols = n_cols
         self._rows: DataFrame | None = None
 
+    @classmethod
+    def from_segments(cls, rows: DataFrame, n_cols: int) -> CooMatrix:
+        """Rows stored as segments() writes them; whole rows are used as they are."""
+        pairs = rows.select("row_id", F.explode(F.arrays_zip("idx", "val")).alias("e"))
+        entries = pairs.select("row_id", F.col("e.idx").alias("col_id"), F.col("e.val").alias("val"))
+        a = cls(entries, n_cols, canonical=True)
+        if n_cols <= PART_ELEMS:
+            a._rows = rows.select("row_id", "idx", "val")
+        return a
+
     def keep(self) -> CooMatrix:
         """A copy whose sparse rows stay in memory, for several passes over them."""
         kept = CooMatrix(self.df, self.n_cols, canonical=True)
         kept._rows = keep(self.sparse_rows())
         return kept
 
+    def coalesce(self, parts: int) -> CooMatrix:
+        fewer = CooMatrix(self.df.coalesce(parts), self.n_cols, canonical=True)
+        fewer._rows = self.sparse_rows().coalesce(parts)
+        return fewer
+
     def release(self) -> None:
         if self._rows is not None:
             self._rows.unpersist()

@@ -75,7 +75,7 @@ def cx_job(
     """Scores for every row and column of the stated shape, 0 where a row has no entry."""
     a, n_rows = read_sparse(spark, kind, path, n_rows, n_cols)
     if parts:
-        a = CooMatrix(a.df.coalesce(parts), a.n_cols, canonical=True)
+        a = a.coalesce(parts)
     scores = cx_scores(a, rank, slack, iters, seed)
     full = CxScores(
         scores.s,

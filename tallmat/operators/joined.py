@@ -66,9 +66,12 @@ class JoinedMatrix:
     def __init__(self, a: CooMatrix):
         parts = int(a.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.n_cols = a.n_cols
-        self._source = keep(a.df)
-        self._by_col = _Placed(self._source, "col_id", "row_id", parts)
-        self._by_row = _Placed(self._source, "row_id", "col_id", parts)
+        source = keep(a.df)
+        self._by_col = _Placed(source, "col_id", "row_id", parts)
+        self._by_row = _Placed(source, "row_id", "col_id", parts)
+        for placed in (self._by_col, self._by_row):
+            placed.entries.count()
+        source.unpersist()
 
     def times(self, b: TallMatrix) -> TallMatrix:
         """A B for b keyed by column id; rows of A without entries are absent."""
@@ -82,9 +85,8 @@ class JoinedMatrix:
         return self.transpose_times(self.times(b))
 
     def column_ids(self) -> DataFrame:
-        return self._source.select(F.col("col_id").alias("row_id")).distinct()
+        return self._by_col.entries.select(F.col("col_id").alias("row_id")).distinct()
 
     def release(self) -> None:
         for held in (self._by_col, self._by_row):
             held.release()
-        self._source.unpersist()

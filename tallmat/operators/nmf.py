@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallmat.frames import ROW_SCHEMA, CooMatrix, TallMatrix
 from tallmat.operators import batches as codec
 from tallmat.operators import products, stats
-from tallmat.operators.fold import fold_sum, parts_to_numpy
+from tallmat.operators.fold import check_local, fold_sum, parts_to_numpy, ship
 from tallmat.operators.nnls import solve_nnls
 from tallmat.operators.preprocess import non_negative, unit_l1_factors
 from tallmat.operators.products import residual_correlation
@@ -60,6 +60,20 @@ class NmfModel:
     w: TallMatrix | None
     picks: list[int]
     h_local: np.ndarray | None
+    matrix: TallMatrix | None = None
+
+    def relative_error(self) -> DataFrame:
+        """One record `val`: ||A - W H|| / ||A||; W is part of A's rows, so no join."""
+        h, picks = ship(self.h.sparkSession, self._local_h()), self.picks
+        errors = stats.block_error(self.matrix, lambda x: x[:, picks] @ h())
+        return errors.select(F.sqrt(F.col("sse") / F.col("ssq")).alias("val"))
+
+    def _local_h(self) -> np.ndarray:
+        if self.h_local is None:
+            check_local(len(self.picks), self.matrix.n_cols)
+            rows = self.h.orderBy("comp", "col_id").toArrow().column("h").to_numpy()
+            self.h_local = rows.reshape(len(self.picks), -1)
+        return self.h_local
 
     def save(self, path: str) -> None:
         self.columns.write.parquet(f"{path}/columns")
@@ -100,7 +114,8 @@ def nmf(
     h = h * up / up[picks][:, None]
     spark = a.df.sparkSession
     columns = spark.createDataFrame(list(enumerate(picks)), "rank_pos BIGINT, col_id BIGINT")
-    return NmfModel(columns, _long(spark, h), a.gather(picks) if return_w else None, picks, h)
+    w = a.gather(picks) if return_w else None
+    return NmfModel(columns, _long(spark, h), w, picks, h, a)
 
 
 def gram_table(a: TallMatrix) -> TallMatrix:
@@ -155,7 +170,7 @@ def _wide_nmf(a: TallMatrix, r: int, score: str, scale_columns: bool, return_w:
         F.col("pos").cast("bigint").alias("comp"), F.col("row_id").alias("col_id"), "h"
     )
     columns = spark.createDataFrame(list(enumerate(picks)), "rank_pos BIGINT, col_id BIGINT")
-    return NmfModel(columns, h, a.gather(picks) if return_w else None, picks, None)
+    return NmfModel(columns, h, a.gather(picks) if return_w else None, picks, None, a)
 
 
 def _score_rows(n: int, picks: list[int], gk: np.ndarray, down: np.ndarray, score: str):

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
+from tallmat.operators.fold import ship
 from tallmat.operators.preprocess import preprocess as prepare
-from tallmat.operators.stats import row_mean_std, squared_error
+from tallmat.operators.stats import block_error, row_mean_std
 from tallmat.operators.svd import TruncatedSvd, exact_svd, randomized_svd
 from tallmat.session import MAX_DIRECT_COLS
 
@@ -48,11 +49,14 @@ class PcaModel:
         return self.singular_values()[:, None] * self.v.to_numpy().T
 
     def squared_error(self) -> DataFrame:
-        """One record `val`: squared error of the rank-k approximation."""
-        matrix = self.matrix
-        if isinstance(matrix, CooMatrix):
-            matrix = matrix.to_tall()
-        return squared_error(matrix, self.u, self.right_factor())
+        """One record `val`: squared error of the rank-k approximation.
+
+        U S V' is A V V', so the rows of A suffice. A loaded model has no matrix; use
+        stats.squared_error with u and right_factor().
+        """
+        v = ship(self.s.sparkSession, self.v.to_numpy())
+        errors = block_error(self.matrix, lambda x: (x @ v()) @ v().T)
+        return errors.select(F.col("sse").alias("val"))
 
     def save(self, path: str) -> None:
         """One Parquet table per part and a one-record `meta` with the dimensions."""

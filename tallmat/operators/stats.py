@@ -207,6 +207,28 @@ def squared_error(a: TallMatrix, left: TallMatrix, right: np.ndarray) -> DataFra
     return _errors(a, left, right).select(F.col("sse").alias("val"))
 
 
+def block_error(
+    a: TallMatrix | CooMatrix, approximate: Callable[[np.ndarray], np.ndarray]
+) -> DataFrame:
+    """One record (sse, ssq) for an approximation that depends on the rows alone.
+
+    Where the left factor is computed from A's own rows, this takes one pass and no
+    join: `approximate` maps a block of rows to the rows that stand for it.
+    """
+    df, read = a.blocks()
+
+    def run(batches):
+        sums = np.zeros((1, 2))
+        for batch in batches:
+            for _, x in read(batch):
+                diff = x - approximate(x)
+                sums += [(diff * diff).sum(), (x * x).sum()]
+        yield codec.sums_batch(sums)
+
+    partial = df.mapInArrow(run, "sse DOUBLE, ssq DOUBLE")
+    return partial.agg(F.sum("sse").alias("sse"), F.sum("ssq").alias("ssq"))
+
+
 def relative_error(a: TallMatrix, left: TallMatrix, right: np.ndarray) -> DataFrame:
     """One record `val`: ||A - L R|| / ||A||."""
     return _errors(a, left, right).select(F.sqrt(F.col("sse") / F.col("ssq")).alias("val"))

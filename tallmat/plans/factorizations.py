@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
-from tallmat.operators import cx, nnls, pca, preprocess, products, stats, svd, tsqr
+from tallmat.operators import cx, nnls, pca, preprocess, products, svd, tsqr
 from tallmat.operators.nmf import load_nmf, nmf
 from tallmat.plans import fixtures as fx
 from tallmat.plans.registry import long, query, rounded, sql_round
@@ -474,9 +474,7 @@ SELECT {sql_round("sqrt(sum(pow(a.val - w.w1 * h.h1 - w.w2 * h.h2, 2)) / sum(a.v
 FROM part_nation a JOIN w ON w.row_id = a.row_id JOIN h ON h.j = a.col_id""",
 )
 def fac17_error(spark, sf):
-    a = fx.part_nation(spark, sf).keep()
-    model = nmf(a, 2)
-    return rounded(stats.relative_error(a, model.w, model.h_local))
+    return rounded(nmf(fx.part_nation(spark, sf).keep(), 2).relative_error())
 
 
 @query(

@@ -13,6 +13,7 @@ from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.functions import arrays
 from tallmat.functions.noise import uniform
 from tallmat.operators.svd import gaussian_matrix  # noqa: F401  (a local source)
+from tallmat.session import MAX_BROADCAST_ROWS
 from tallmat.sources.index import number_rows
 
 # A table of up to this many file paths is broadcast.
@@ -25,14 +26,19 @@ MM_HEADER = "%%MatrixMarket matrix coordinate real general"
 # -- sparse entries -------------------------------------------------------
 
 
-def read_coo_csv(spark: SparkSession, path: str, n_cols: int | None = None) -> CooMatrix:
-    """Lines `col,row,value`, column first. Malformed lines raise when read."""
+def read_coo_csv(
+    spark: SparkSession, path: str, n_cols: int | None = None, unique: bool = False
+) -> CooMatrix:
+    """Lines `col,row,value`, column first. Malformed lines raise when read.
+
+    `unique` says that no position occurs twice, which saves the summing shuffle.
+    """
     raw = (
         spark.read.schema("col_id BIGINT, row_id BIGINT, val DOUBLE")
         .option("mode", "FAILFAST")
         .csv(path)
     )
-    return CooMatrix(raw, n_cols or _width(raw)).validated()
+    return CooMatrix(raw, n_cols or _width(raw), canonical=unique).validated()
 
 
 def _width(entries: DataFrame) -> int:
@@ -43,11 +49,8 @@ def _width(entries: DataFrame) -> int:
 
 
 def read_segments(spark: SparkSession, path: str, n_cols: int) -> CooMatrix:
-    """Saved rows (row_id, idx[], val[]) back to entries."""
-    rows = spark.read.parquet(path)
-    pairs = rows.select("row_id", F.explode(F.arrays_zip("idx", "val")).alias("e"))
-    entries = pairs.select("row_id", F.col("e.idx").alias("col_id"), F.col("e.val").alias("val"))
-    return CooMatrix(entries, n_cols)
+    """Rows saved by write_rows; their positions are distinct, so nothing is shuffled."""
+    return CooMatrix.from_segments(spark.read.parquet(path), n_cols)
 
 
 def read_compacted(
@@ -211,7 +214,9 @@ def from_blocks(blocks: DataFrame, n_cols: int) -> TallMatrix:
     Row numbers go on from block to block, so blocks may differ in height.
     """
     heights = blocks.select("block_id", F.size("rows").cast("bigint").alias("height"))
-    starts = _running_start(heights, "block_id", "height")
+    starts, n_blocks = _running_start(heights, "block_id", "height")
+    if n_blocks <= MAX_BROADCAST_ROWS:
+        starts = F.broadcast(starts)
     rows = blocks.join(starts, "block_id").select(
         "first", F.posexplode("rows").alias("pos", "v")
     )
@@ -219,11 +224,11 @@ def from_blocks(blocks: DataFrame, n_cols: int) -> TallMatrix:
     return TallMatrix.from_arrays(rows, n_cols)
 
 
-def _running_start(sizes: DataFrame, key: str, size: str) -> DataFrame:
-    """(key, first): the sum of `size` over all smaller keys, by partition sums first."""
+def _running_start(sizes: DataFrame, key: str, size: str) -> tuple[DataFrame, int]:
+    """(key, first): the sum of `size` over all smaller keys, and the number of keys."""
     from pyspark.sql import Window
 
-    ordered, _ = number_rows(sizes, [key], "number")
+    ordered, count = number_rows(sizes, [key], "number")
     # consecutive keys share a bucket, so a window never spans the whole table
     bucket = F.floor(F.col("number") / 65536)
     ordered = ordered.withColumn("bucket", bucket)
@@ -236,7 +241,7 @@ def _running_start(sizes: DataFrame, key: str, size: str) -> DataFrame:
     )
     within = F.coalesce(F.sum(size).over(inside), F.lit(0))
     placed = ordered.withColumn("within", within).join(before, "bucket")
-    return placed.select(key, (F.col("before") + F.col("within")).alias("first"))
+    return placed.select(key, (F.col("before") + F.col("within")).alias("first")), count
 
 
 # -- weights ----------------------------------------------------------------

@@ -190,6 +190,9 @@ def test_centering_loses_one_rank(make):
     centered = x - x.mean(1, keepdims=True)
     assert np.allclose(model.singular_values(), np.linalg.svd(centered, compute_uv=False)[:3])
     assert model.squared_error().first().val == pytest.approx(0, abs=1e-20)
+    two = pca(make(x), 2)
+    general = stats.squared_error(two.matrix, two.u, two.right_factor()).first().val
+    assert two.squared_error().first().val == pytest.approx(general)
 
 
 def test_smoke_shape_with_weights(spark, make):
@@ -309,6 +312,7 @@ def test_nmf_of_a_separable_matrix(make, score):
     h = model.h_local
     assert (h >= 0).all()
     got = stats.relative_error(a, model.w, h).first().val
+    assert model.relative_error().first().val == pytest.approx(got)
     assert got == pytest.approx(np.linalg.norm(x - x[:, model.picks] @ h) / np.linalg.norm(x))
     assert got < 0.5
     # the same selection from the table of A'A
@@ -318,6 +322,7 @@ def test_nmf_of_a_separable_matrix(make, score):
     for r in wide.h.collect():
         table[r.comp, r.col_id] = r.h
     assert np.allclose(table, h, atol=1e-6)
+    assert wide.relative_error().first().val == pytest.approx(got)
 
 
 def test_given_columns_reproduce_a_separable_matrix():

@@ -196,3 +196,26 @@ def test_normal_draws(spark):
     x = readers.random_rows(ids, 5, 1, draw=normal).to_numpy()
     assert abs(x.mean()) < 0.04 and abs(x.std() - 1) < 0.03
     assert np.allclose(np.corrcoef(x.T), np.eye(5), atol=0.08)
+
+
+def test_placed_matrices_combine_without_a_shuffle(make):
+    x, y = RNG.normal(size=(20, 3)), RNG.normal(size=(20, 3))
+    a, b = make(x).placed(6).keep(), make(y).placed(6).keep()
+    a.count(), b.count()
+    total = a + b
+    plan = total.df._jdf.queryExecution().executedPlan().toString()
+    joined = plan[: plan.index("InMemoryRelation")]
+    assert "Exchange" not in joined
+    assert np.array_equal(total.to_numpy(), x + y)
+    a.release(), b.release()
+
+
+def test_saved_rows_are_read_without_a_shuffle(spark, make_coo, tmp_path):
+    from tallmat.sources import sinks
+
+    x = RNG.integers(0, 3, size=(9, 6)).astype(float)
+    sinks.write_rows(make_coo(x), str(tmp_path / "rows"))
+    a = readers.read_segments(spark, str(tmp_path / "rows"), 6)
+    assert "Exchange" not in a.sparse_rows()._jdf.queryExecution().executedPlan().toString()
+    assert np.array_equal(dense(a, x.shape), x)
+    assert np.array_equal(dense(a.to_tall(), x.shape), x)
