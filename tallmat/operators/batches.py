@@ -55,8 +55,3 @@ def rows_batch(row_ids, x: np.ndarray):
 
 def sums_batch(sums: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(s) for s in sums.T], names=["sse", "ssq"])
-
-
-def numbered_batch(values: np.ndarray):
-    pos = pa.array(np.arange(len(values), dtype=np.int64))
-    return pa.RecordBatch.from_arrays([pos, pa.array(values)], names=["pos", "val"])

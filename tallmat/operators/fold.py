@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from tallmat.session import LARGE_PART_BYTES, MAX_LOCAL_ELEMS, PART_ELEMS
 
+# A sum of up to this many elements is merged by a built-in aggregate.
+SMALL_SUM = 1 << 12
+
 PART_SCHEMA = "slot INT, block INT, rows INT, part BINARY"
 
 Part = tuple[int, np.ndarray]
@@ -94,21 +97,63 @@ def fold(
     return parts.select("block", "rows", "part")
 
 
-def fold_sum(df: DataFrame, local, n_rows: int, n_cols: int) -> DataFrame:
-    """Sum of the n_rows x n_cols matrices that `local(batches)` returns per task.
+class MatrixSum:
+    """The sum over all tasks of the n_rows x n_cols matrices that `local(batches)` returns.
 
-    `local` returns None for a task without rows. The sum is cut into blocks of
-    rows; see block_rows.
+    `local` returns None for a task without rows. A small sum is emitted element by
+    element and added up by a built-in aggregate; a larger one travels in blocks of
+    rows (see block_rows) through the merge tree.
     """
-    step = block_rows(n_cols)
 
-    def blocks(batches):
-        x = local(batches)
-        if x is not None:
-            for block, start in enumerate(range(0, n_rows, step)):
-                yield block, x[start : start + step]
+    def __init__(self, df: DataFrame, local, n_rows: int, n_cols: int):
+        self.n_rows, self.n_cols = n_rows, n_cols
+        self.small = n_rows * n_cols <= SMALL_SUM
+        if self.small:
+
+            def elements(batches):
+                x = local(batches)
+                if x is not None:
+                    yield element_batch(np.ascontiguousarray(x).reshape(-1))
+
+            parts = df.mapInArrow(elements, "pos BIGINT, val DOUBLE")
+            self.parts = parts.groupBy("pos").agg(F.sum("val").alias("val"))
+        else:
+            step = block_rows(n_cols)
+
+            def blocks(batches):
+                x = local(batches)
+                if x is not None:
+                    for block, start in enumerate(range(0, n_rows, step)):
+                        yield block, x[start : start + step]
+
+            self.parts = fold(df, blocks, np.add, 8 * n_rows * n_cols)
+
+    def to_rows(self) -> DataFrame:
+        """(row_id, v), without visiting the driver."""
+        if not self.small:
+            return parts_to_rows(self.parts, self.n_cols)
+        row = F.floor(F.col("pos") / self.n_cols).alias("row_id")
+        # n_cols elements per row
+        rows = self.parts.groupBy(row).agg(
+            F.sort_array(F.collect_list(F.struct("pos", "val"))).alias("e")
+        )
+        return rows.select("row_id", F.col("e.val").alias("v"))
+
+    def to_numpy(self) -> np.ndarray:
+        """One local matrix, for bounded sizes only."""
+        if not self.small:
+            return parts_to_numpy(self.parts, self.n_rows, self.n_cols)
+        sums = self.parts.toArrow()
+        if sums.num_rows == 0:
+            raise ValueError("the matrix has no rows")
+        x = np.empty(self.n_rows * self.n_cols)
+        x[sums.column("pos").to_numpy()] = sums.column("val").to_numpy()
+        return x.reshape(self.n_rows, self.n_cols)
+
 
-    return fold(df, blocks, np.add, 8 * n_rows * n_cols)
+def element_batch(values: np.ndarray) -> pa.RecordBatch:
+    pos = pa.array(np.arange(len(values), dtype=np.int64))
+    return pa.RecordBatch.from_arrays([pos, pa.array(values)], names=["pos", "val"])
 
 
 def block_rows(n_cols: int) -> int:
@@ -116,7 +161,7 @@ def block_rows(n_cols: int) -> int:
 
 
 def parts_to_rows(parts: DataFrame, n_cols: int) -> DataFrame:
-    """The blocks of fold_sum as matrix rows (row_id, v), without visiting the driver."""
+    """Merged blocks of rows as matrix rows (row_id, v)."""
     from tallmat.frames import ROW_SCHEMA
     from tallmat.operators import batches as codec
 
@@ -132,7 +177,7 @@ def parts_to_rows(parts: DataFrame, n_cols: int) -> DataFrame:
 
 
 def parts_to_numpy(parts: DataFrame, n_rows: int, n_cols: int) -> np.ndarray:
-    """The blocks of fold_sum as one local matrix, for bounded sizes only."""
+    """Merged blocks of rows as one local matrix, for bounded sizes only."""
     check_local(n_rows, n_cols)
     blocks = [part for batch in parts.toArrow().to_batches() for part in unpack(batch)]
     if not blocks:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallmat.frames import ROW_SCHEMA, CooMatrix, TallMatrix
 from tallmat.operators import batches as codec
 from tallmat.operators import products, stats
-from tallmat.operators.fold import check_local, fold_sum, parts_to_numpy, ship
+from tallmat.operators.fold import MatrixSum, check_local, ship
 from tallmat.operators.nnls import solve_nnls
 from tallmat.operators.preprocess import non_negative, unit_l1_factors
 from tallmat.operators.products import residual_correlation
@@ -152,8 +152,8 @@ def _wide_nmf(a: TallMatrix, r: int, score: str, scale_columns: bool, return_w:
     held.release()
     picks, gk, norms = [], np.zeros((0, n)), None
     for _ in range(r):
-        parts = fold_sum(g.df, _score_rows(n, picks, gk, down, score), n, 2)
-        squares, diagonal = parts_to_numpy(parts, n, 2).T
+        scores = MatrixSum(g.df, _score_rows(n, picks, gk, down, score), n, 2)
+        squares, diagonal = scores.to_numpy().T
         norms = np.sqrt(diagonal)
         if (norms > 0).sum() < r:
             raise ValueError(f"{r} columns asked for, {(norms > 0).sum()} of {n} are not zero")

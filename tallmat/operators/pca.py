@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
-from tallmat.operators.fold import ship
+from tallmat.operators.fold import fits_locally, ship
 from tallmat.operators.preprocess import preprocess as prepare
-from tallmat.operators.stats import block_error, row_mean_std
+from tallmat.operators.stats import block_error, frobenius, row_mean_std
 from tallmat.operators.svd import TruncatedSvd, exact_svd, randomized_svd
 from tallmat.session import MAX_DIRECT_COLS
 
@@ -51,9 +51,14 @@ class PcaModel:
     def squared_error(self) -> DataFrame:
         """One record `val`: squared error of the rank-k approximation.
 
-        U S V' is A V V', so the rows of A suffice. A loaded model has no matrix; use
+        U S V' is A V V', so the rows of A suffice. With a V too large for a task it is
+        ||A||^2 minus the squared singular values. A loaded model has no matrix; use
         stats.squared_error with u and right_factor().
         """
+        if not fits_locally(self.meta["n"], self.k):
+            explained = float((self.singular_values() ** 2).sum())
+            norm = frobenius(self.matrix)
+            return norm.select((F.col("val") * F.col("val") - explained).alias("val"))
         v = ship(self.s.sparkSession, self.v.to_numpy())
         errors = block_error(self.matrix, lambda x: (x @ v()) @ v().T)
         return errors.select(F.col("sse").alias("val"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallmat.frames import ROW_SCHEMA, CooMatrix, TallMatrix
 from tallmat.operators import batches as codec
-from tallmat.operators.fold import fold_sum, parts_to_numpy, parts_to_rows, ship
+from tallmat.operators.fold import MatrixSum, ship
 from tallmat.session import MAX_DIRECT_COLS
 
 
@@ -60,7 +60,7 @@ def _row_sums(rows, cols, vals, rhs, batch) -> np.ndarray:
     return y
 
 
-def _gram_times_parts(a: TallMatrix | CooMatrix, b: np.ndarray) -> DataFrame:
+def _gram_times_sum(a: TallMatrix | CooMatrix, b: np.ndarray) -> MatrixSum:
     _check_inner(a.n_cols, b.shape[0])
     n, k = b.shape
     get = ship(a.df.sparkSession, b)
@@ -85,18 +85,18 @@ def _gram_times_parts(a: TallMatrix | CooMatrix, b: np.ndarray) -> DataFrame:
 
     if isinstance(a, TallMatrix):
         df, read = a.blocks()
-        return fold_sum(df, dense, n, k)
-    return fold_sum(a.sparse_rows(), sparse, n, k)
+        return MatrixSum(df, dense, n, k)
+    return MatrixSum(a.sparse_rows(), sparse, n, k)
 
 
 def gram_times(a: TallMatrix | CooMatrix, b: np.ndarray) -> TallMatrix:
     """A'A B as an n x k table."""
-    return TallMatrix(parts_to_rows(_gram_times_parts(a, b), b.shape[1]), b.shape[1])
+    return TallMatrix(_gram_times_sum(a, b).to_rows(), b.shape[1])
 
 
 def gram_times_local(a: TallMatrix | CooMatrix, b: np.ndarray) -> np.ndarray:
     """A'A B brought to the driver, for iterations that go on from it."""
-    return parts_to_numpy(_gram_times_parts(a, b), *b.shape)
+    return _gram_times_sum(a, b).to_numpy()
 
 
 def covariance_times(a: TallMatrix | CooMatrix, b: np.ndarray, n_rows: int) -> TallMatrix:
@@ -104,14 +104,14 @@ def covariance_times(a: TallMatrix | CooMatrix, b: np.ndarray, n_rows: int) -> T
     return gram_times(a, b) * (1.0 / n_rows)
 
 
-def _gram_parts(a: TallMatrix | CooMatrix) -> DataFrame:
+def _gram_sum(a: TallMatrix | CooMatrix) -> MatrixSum:
     n = a.n_cols
     if n > MAX_DIRECT_COLS:
         raise ValueError(f"the whole Gram matrix of {n} columns is not formed; use gram_times")
-    return _gram_columns_parts(a, 0, n)
+    return _gram_columns_sum(a, 0, n)
 
 
-def _gram_columns_parts(a: TallMatrix | CooMatrix, start: int, stop: int) -> DataFrame:
+def _gram_columns_sum(a: TallMatrix | CooMatrix, start: int, stop: int) -> MatrixSum:
     df, read = a.blocks()
 
     def local(batches):
@@ -122,22 +122,21 @@ def _gram_columns_parts(a: TallMatrix | CooMatrix, start: int, stop: int) -> Dat
                 acc = g if acc is None else np.add(acc, g, out=acc)
         return acc
 
-    return fold_sum(df, local, a.n_cols, stop - start)
+    return MatrixSum(df, local, a.n_cols, stop - start)
 
 
 def gram(a: TallMatrix | CooMatrix) -> TallMatrix:
     """A'A as an n x n table."""
-    return TallMatrix(parts_to_rows(_gram_parts(a), a.n_cols), a.n_cols)
+    return TallMatrix(_gram_sum(a).to_rows(), a.n_cols)
 
 
 def gram_columns(a: TallMatrix | CooMatrix, start: int, stop: int) -> TallMatrix:
     """Columns [start, stop) of A'A as a table of n rows."""
-    width = stop - start
-    return TallMatrix(parts_to_rows(_gram_columns_parts(a, start, stop), width), width)
+    return TallMatrix(_gram_columns_sum(a, start, stop).to_rows(), stop - start)
 
 
 def gram_local(a: TallMatrix | CooMatrix) -> np.ndarray:
-    return parts_to_numpy(_gram_parts(a), a.n_cols, a.n_cols)
+    return _gram_sum(a).to_numpy()
 
 
 def transpose_times(a: TallMatrix, b: TallMatrix) -> TallMatrix:
@@ -152,7 +151,7 @@ def transpose_times(a: TallMatrix, b: TallMatrix) -> TallMatrix:
         return acc
 
     paired = paired_rows(a, b)
-    return TallMatrix(parts_to_rows(fold_sum(paired, local, n, k), k), k)
+    return TallMatrix(MatrixSum(paired, local, n, k).to_rows(), k)
 
 
 def paired_rows(a: TallMatrix, b: TallMatrix) -> DataFrame:

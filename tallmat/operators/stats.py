@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.functions import arrays
 from tallmat.operators import batches as codec
-from tallmat.operators.fold import fold, fold_sum, parts_to_rows, ship, unpack
+from tallmat.operators.fold import MatrixSum, element_batch, fold, ship, unpack
 from tallmat.operators.products import paired_rows
 
 # Up to this width a column reduction is one built-in aggregate per column.
@@ -75,7 +75,7 @@ def aggregate_blocks(
 def _part_values(batches):
     for batch in batches:
         for _, x in unpack(batch):
-            yield codec.numbered_batch(x[:, 0])
+            yield element_batch(x[:, 0])
 
 
 def reduce_with(a: TallMatrix | CooMatrix, f: np.ufunc) -> DataFrame:
@@ -127,7 +127,7 @@ def _sum_cols(a: TallMatrix, column: Callable, block: Callable) -> DataFrame:
                 acc = s if acc is None else acc + s
         return acc
 
-    sums = parts_to_rows(fold_sum(df, local, a.n_cols, 1), 1)
+    sums = MatrixSum(df, local, a.n_cols, 1).to_rows()
     return sums.select(F.col("row_id").alias("col_id"), F.col("v")[0].alias("val"))
 
 
