@@ -13,7 +13,8 @@ from tallmat.functions import arrays
 from tallmat.session import MAX_BROADCAST_ROWS, MAX_LOCAL_ELEMS, PART_ELEMS, keep
 
 ROW_SCHEMA = "row_id BIGINT, v ARRAY<DOUBLE>"
-SPARSE_ROW_SCHEMA = "row_id BIGINT, idx ARRAY<BIGINT>, val ARRAY<DOUBLE>"
+# Array types that numpy widens to double exactly as a cast does.
+NUMPY_ARRAYS = ("array<float>", "array<double>", "array<int>", "array<smallint>", "array<tinyint>")
 
 
 Blocks = tuple[DataFrame, Callable[[Any], Iterator[tuple[Any, np.ndarray]]]]
@@ -67,10 +68,8 @@ class TallMatrix:
         cls, df: DataFrame, n_cols: int | None = None, row_id: str = "row_id", v: str = "v"
     ):
         """An array column of any numeric type. Counts the columns when not told."""
-        df = df.select(
-            F.col(row_id).cast("bigint").alias("row_id"),
-            arrays.finite(F.col(v).cast("array<double>")).alias("v"),
-        )
+        raw = df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(v).alias("v"))
+        df = raw.select("row_id", arrays.finite(F.col("v").cast("array<double>")).alias("v"))
         if n_cols is None:
             low, high = df.select(F.min(F.size("v")), F.max(F.size("v"))).first()
             if high is None:
@@ -78,6 +77,9 @@ class TallMatrix:
             if low != high:
                 raise ValueError(f"rows have between {low} and {high} values")
             n_cols = high
+        if dict(raw.dtypes)["v"] in NUMPY_ARRAYS:
+            # tasks widen and check whole blocks
+            return cls(df, n_cols, blocks=(raw, _dense_blocks(n_cols)))
         return cls(df, n_cols)
 
     # -- shape and placement ----------------------------------------------

@@ -10,7 +10,8 @@ DENSE_BLOCK_ELEMS = 1 << 22
 
 
 def _values(column) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
+    # integers with a NULL arrive as floats with NaN
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if column.null_count or not np.isfinite(values).all():
         raise ValueError("matrix values must not be NULL, NaN or infinite")
     return values

@@ -91,10 +91,13 @@ def nnls_rows(
     gram = scaled @ basis.T
     get = ship(targets.df.sparkSession, scaled.T)
 
+    df, read = targets.blocks()
+
     def run(batches):
         for batch in batches:
-            h, ok = solve_nnls(gram, codec.dense_block(batch.column("v"), n) @ get())
-            columns = [batch.column("row_id"), codec.list_column(h), pa.array(ok)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "h", "converged"])
+            for row_ids, x in read(batch):
+                h, ok = solve_nnls(gram, x @ get())
+                columns = [row_ids, codec.list_column(h), pa.array(ok)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row_id", "h", "converged"])
 
-    return targets.df.mapInArrow(run, "row_id BIGINT, h ARRAY<DOUBLE>, converged BOOLEAN")
+    return df.mapInArrow(run, "row_id BIGINT, h ARRAY<DOUBLE>, converged BOOLEAN")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tallmat.frames import TallMatrix
 from tallmat.functions import arrays
-from tallmat.operators import batches as codec
 
 # fixed names of the preprocessing methods
 METHODS = (
@@ -19,6 +18,7 @@ METHODS = (
 )
 
 NEGATIVES = ("keep", "error", "clamp_log")
+NEGATIVE = "matrix has a negative element"
 
 
 def center_rows(a: TallMatrix, stats: DataFrame | None = None) -> TallMatrix:
@@ -76,13 +76,13 @@ def preprocess(
     if weighted and weights is None:
         raise ValueError(f"{method} needs weights(row_id, weight)")
 
-    base = a.df
-    if weighted:
-        base = base.join(weights.select("row_id", "weight"), "row_id", "left")
-        base = base.withColumn("weight", _required(F.col("weight"), "no weight for row "))
-    else:
-        base = base.withColumn("weight", F.lit(1.0))
+    def weigh(df: DataFrame) -> DataFrame:
+        if not weighted:
+            return df.withColumn("weight", F.lit(1.0))
+        df = df.join(weights.select("row_id", "weight"), "row_id", "left")
+        return df.withColumn("weight", _required(F.col("weight"), "no weight for row "))
 
+    base = weigh(a.df)
     v = F.col("v")
     raw_std = arrays.deviation(v)
     stats = base.select("row_id", "weight", arrays.mean(v).alias("mean"), raw_std.alias("raw"))
@@ -103,23 +103,27 @@ def preprocess(
     if weighted:
         v = arrays.scaled(v, F.col("weight"))
     prepared = base.select("row_id", v.alias("v"))
-    read = _prepared_blocks(a.n_cols, method, weighted)
-    return TallMatrix(prepared, a.n_cols, blocks=(base, read)), row_stats
+    source, read = a.blocks()
+    source = weigh(source) if weighted else source
+    read = _prepared_blocks(read, a.n_cols, method, weighted)
+    return TallMatrix(prepared, a.n_cols, blocks=(source, read)), row_stats
 
 
-def _prepared_blocks(n: int, method: str, weighted: bool):
-    """The same preparation on numpy blocks of (row_id, v, weight)."""
+def _prepared_blocks(read_raw, n: int, method: str, weighted: bool):
+    """The same preparation on the numpy blocks of `read_raw`, with a weight per row."""
 
     def read(batch):
-        x = codec.dense_block(batch.column("v"), n)
-        if method != "none":
-            x = x - x.mean(axis=1, keepdims=True)
-        if method == "standardizeEach" and n > 1:
-            std = np.sqrt((x * x).sum(axis=1, keepdims=True) / (n - 1))
-            x = x / np.where(std < arrays.LOW_STD, 1.0, std)
-        if weighted:
-            x = x * batch.column("weight").to_numpy()[:, None]
-        yield batch.column("row_id"), x
+        start = 0
+        for row_ids, x in read_raw(batch):
+            if method != "none":
+                x = x - x.mean(axis=1, keepdims=True)
+            if method == "standardizeEach" and n > 1:
+                std = np.sqrt((x * x).sum(axis=1, keepdims=True) / (n - 1))
+                x = x / np.where(std < arrays.LOW_STD, 1.0, std)
+            if weighted:
+                x = x * batch.column("weight").to_numpy()[start : start + len(x), None]
+            start += len(x)
+            yield row_ids, x
 
     return read
 
@@ -131,9 +135,9 @@ def clamp_log(a: TallMatrix) -> TallMatrix:
 
 def count_negative(a: TallMatrix) -> DataFrame:
     """One record: how many rows hold a negative element, and the smallest element."""
-    has = F.exists("v", lambda x: x < 0)
-    return a.df.agg(
-        F.count_if(has).alias("rows_with_negative"), F.min(F.array_min("v")).alias("smallest")
+    lowest = a.df.select(F.array_min("v").alias("low"))
+    return lowest.agg(
+        F.count_if(F.col("low") < 0).alias("rows_with_negative"), F.min("low").alias("smallest")
     )
 
 
@@ -143,10 +147,31 @@ def non_negative(a: TallMatrix, negatives: str = "error") -> TallMatrix:
         raise ValueError(f"unknown mode {negatives!r}; one of {', '.join(NEGATIVES)}")
     if negatives == "keep":
         return a
+    source, read = a.blocks()
     if negatives == "clamp_log":
-        return clamp_log(a)
-    failure = F.raise_error(F.lit("matrix has a negative element")).cast("array<double>")
-    return a.with_v(F.when(F.exists("v", lambda x: x < 0), failure).otherwise(F.col("v")))
+        blocks = (source, _clamp_log_blocks(read))
+        return TallMatrix(clamp_log(a).df, a.n_cols, blocks)
+    failure = F.raise_error(F.lit(NEGATIVE)).cast("array<double>")
+    checked = F.when(F.array_min("v") < 0, failure).otherwise(F.col("v"))
+    return TallMatrix(a.with_v(checked).df, a.n_cols, (source, _checked_blocks(read)))
+
+
+def _clamp_log_blocks(read_raw):
+    def read(batch):
+        for row_ids, x in read_raw(batch):
+            yield row_ids, np.log1p(np.maximum(x, 0.0))
+
+    return read
+
+
+def _checked_blocks(read_raw):
+    def read(batch):
+        for row_ids, x in read_raw(batch):
+            if (x < 0).any():
+                raise ValueError(NEGATIVE)
+            yield row_ids, x
+
+    return read
 
 
 def unit_l1_factors(col_l1: np.ndarray) -> np.ndarray:

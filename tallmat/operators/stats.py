@@ -11,25 +11,23 @@ from pyspark.sql import functions as F
 from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.functions import arrays
 from tallmat.operators import batches as codec
-from tallmat.operators.fold import MatrixSum, element_batch, fold, ship, unpack
+from tallmat.operators.fold import element_batch, fold, ship, unpack
 from tallmat.operators.products import paired_rows
 
 # Up to this width a column reduction is one built-in aggregate per column.
-UNROLLED_COLS = 200
-# Wider column sums go through numpy blocks, which beats that many aggregates.
-BUILT_IN_SUMS = 32
+UNROLLED_COLS = 32
 
-WHOLE = {
-    "sum": lambda v: F.sum(arrays.total(v)),
-    "min": lambda v: F.min(F.array_min(v)),
-    "max": lambda v: F.max(F.array_max(v)),
-    "product": lambda v: F.product(arrays.reduce_elements(v, lambda a, x: a * x)),
-}
+# Exploded elements are aggregated in compiled code, which a lambda per row is not.
+WHOLE = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product}
+
+
+def _elements(a: TallMatrix) -> DataFrame:
+    return a.df.select(F.explode("v").alias("x"))
 
 
 def reduce_all(a: TallMatrix, how: str) -> DataFrame:
     """One record `val`: sum, min, max or product of all elements."""
-    return a.df.agg(WHOLE[how](F.col("v")).alias("val"))
+    return _elements(a).agg(WHOLE[how]("x").alias("val"))
 
 
 def aggregate_all(
@@ -113,42 +111,23 @@ def row_sums(a: TallMatrix) -> DataFrame:
     return a.df.select("row_id", arrays.total(F.col("v")).alias("val"))
 
 
-def _sum_cols(a: TallMatrix, column: Callable, block: Callable) -> DataFrame:
-    """(col_id, val): sums over columns, built-in for a few columns, else by numpy blocks."""
-    if a.n_cols <= BUILT_IN_SUMS:
-        return reduce_cols(a, lambda x: F.sum(column(x)))
-    df, read = a.blocks()
-
-    def local(batches):
-        acc = None
-        for batch in batches:
-            for _, x in read(batch):
-                s = block(x).sum(axis=0)[:, None]
-                acc = s if acc is None else acc + s
-        return acc
-
-    sums = MatrixSum(df, local, a.n_cols, 1).to_rows()
-    return sums.select(F.col("row_id").alias("col_id"), F.col("v")[0].alias("val"))
-
-
 def col_sums(a: TallMatrix) -> DataFrame:
-    return _sum_cols(a, lambda x: x, lambda x: x)
+    return reduce_cols(a, F.sum)
 
 
 def col_norms_l1(a: TallMatrix) -> DataFrame:
-    return _sum_cols(a, F.abs, np.abs)
+    return reduce_cols(a, lambda x: F.sum(F.abs(x)))
 
 
 def col_norms_l2(a: TallMatrix) -> DataFrame:
-    squares = _sum_cols(a, lambda x: x * x, np.square)
-    return squares.select("col_id", F.sqrt("val").alias("val"))
+    return reduce_cols(a, lambda x: F.sqrt(F.sum(x * x)))
 
 
 def frobenius(a: TallMatrix | CooMatrix) -> DataFrame:
     """One record `val`: the square root of the sum of squares."""
     if isinstance(a, CooMatrix):
         return a.df.agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("val"))
-    return a.df.agg(F.sqrt(F.sum(arrays.total_squares(F.col("v")))).alias("val"))
+    return _elements(a).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("val"))
 
 
 def row_means(a: TallMatrix | CooMatrix) -> DataFrame:

@@ -103,31 +103,38 @@ class LeastSquaresFit:
     residual: np.ndarray
 
 
-def _reduced_system(a: TallMatrix, b: TallMatrix):
-    """R and Q'b from one TSQR of [A | b]; the rest of the factor holds the residuals."""
-    n, q = a.n_cols, b.n_cols
-    paired = paired_rows(a, b)
+def _reduced_system(a: TallMatrix, b: TallMatrix | int):
+    """R and Q'b from one TSQR of [A | b]; the rest of the factor holds the residuals.
 
-    def read(batch):
-        left = codec.dense_block(batch.column("a"), n)
-        x = np.hstack([left, codec.dense_block(batch.column("b"), q)])
-        yield batch.column("row_id"), x
-
-    r = _tsqr(paired, read, n + q).r
+    An integer b says how many trailing columns of `a` are the right-hand sides, which
+    needs no join.
+    """
+    if isinstance(b, int):
+        n, q = a.n_cols - b, b
+        r = tsqr(a).r
+    else:
+        n, q = a.n_cols, b.n_cols
+
+        def read(batch):
+            left = codec.dense_block(batch.column("a"), n)
+            x = np.hstack([left, codec.dense_block(batch.column("b"), q)])
+            yield batch.column("row_id"), x
+
+        r = _tsqr(paired_rows(a, b), read, n + q).r
     square = np.zeros((n + q, n + q))
     square[: r.shape[0]] = r
     return square[:n, :n], square[:n, n:], square[n:, n:]
 
 
-def least_squares(a: TallMatrix, b: TallMatrix) -> LeastSquaresFit:
-    """argmin ||A x - b|| for every column of b."""
+def least_squares(a: TallMatrix, b: TallMatrix | int) -> LeastSquaresFit:
+    """argmin ||A x - b|| for every column of b, or for the last b columns of a."""
     r, qtb, rest = _reduced_system(a, b)
     if not has_full_rank(r):
         raise ValueError("least squares needs a matrix of full column rank; use ridge")
     return LeastSquaresFit(np.linalg.solve(r, qtb), np.linalg.norm(rest, axis=0))
 
 
-def ridge(a: TallMatrix, b: TallMatrix, lambdas: Sequence[float]) -> list[np.ndarray]:
+def ridge(a: TallMatrix, b: TallMatrix | int, lambdas: Sequence[float]) -> list[np.ndarray]:
     """argmin ||A x - b||^2 + lambda ||x||^2 for every lambda, all from one pass."""
     r, qtb, _ = _reduced_system(a, b)
     n = r.shape[0]

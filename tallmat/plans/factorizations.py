@@ -470,7 +470,8 @@ def fac17(spark, sf):
 w AS (SELECT row_id, max(CASE WHEN col_id = (SELECT j FROM k1) THEN val END) AS w1,
              max(CASE WHEN col_id = (SELECT j FROM k2) THEN val END) AS w2
       FROM part_nation GROUP BY 1)
-SELECT {sql_round("sqrt(sum(pow(a.val - w.w1 * h.h1 - w.w2 * h.h2, 2)) / sum(a.val * a.val))")} AS val
+SELECT {sql_round("sqrt(sum(pow(a.val - w.w1 * h.h1 - w.w2 * h.h2, 2)) / sum(a.val * a.val))")}
+       AS val
 FROM part_nation a JOIN w ON w.row_id = a.row_id JOIN h ON h.j = a.col_id""",
 )
 def fac17_error(spark, sf):
@@ -550,14 +551,13 @@ def fac15_roots(spark, sf):
     return _exploded(nnls.nnls_rows(targets, _BASIS[:1], _WEIGHTS, weights_are_roots=True))
 
 
-def _regression(spark, sf) -> tuple[TallMatrix, TallMatrix]:
-    """Order price (in thousands) and tax against quantity and a constant."""
+def _regression(spark, sf) -> TallMatrix:
+    """Quantity and a constant, then order price (in thousands) and tax as the targets."""
     df = fx.order_measures(spark, sf).select(
         "row_id", "l_quantity", F.lit(1.0).alias("one"),
         (F.col("l_extendedprice") / 1000).alias("price"), "l_tax",
     )
-    a = TallMatrix.from_columns(df, ["l_quantity", "one"])
-    return a, TallMatrix.from_columns(df, ["price", "l_tax"])
+    return TallMatrix.from_columns(df, ["l_quantity", "one", "price", "l_tax"])
 
 
 _REGRESSION = """o AS MATERIALIZED (
@@ -575,7 +575,7 @@ SELECT target, {sql_round("regr_slope(y, x)", 1, 7)} AS slope,
 FROM t GROUP BY 1""",
 )
 def fac18(spark, sf):
-    fit = tsqr.least_squares(*_regression(spark, sf))
+    fit = tsqr.least_squares(_regression(spark, sf), 2)
     rows = [
         (t, float(fit.x[0, t]), float(fit.x[1, t]), float(fit.residual[t])) for t in range(2)
     ]
@@ -603,7 +603,8 @@ SELECT lam AS lambda, target, {sql_round("(c * p - b * q) / (a * c - b * b)", 1,
 FROM t""",
 )
 def fac19(spark, sf):
-    solutions = tsqr.ridge(*_regression(spark, sf), _LAMBDAS)
+    both = _regression(spark, sf)
+    solutions = tsqr.ridge(both.col_slice(0, 2), both.col_slice(2, 4), _LAMBDAS)
     rows = [
         (lam, t, float(x[0, t]), float(x[1, t]))
         for lam, x in zip(_LAMBDAS, solutions)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.functions.noise import normal
 from tallmat.operators import pca, preprocess
 from tallmat.operators.cx import CxScores, cx_scores

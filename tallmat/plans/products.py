@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallmat.frames import CooMatrix, TallMatrix
+from tallmat.frames import TallMatrix
 from tallmat.operators import products
 from tallmat.operators.joined import JoinedMatrix
 from tallmat.operators.nnls import solve_nnls
 from tallmat.plans import fixtures as fx
-from tallmat.plans.registry import long, query, rounded, sql_round
+from tallmat.plans.registry import long, query, sql_round
 
 
 def factor(n: int, k: int) -> np.ndarray:

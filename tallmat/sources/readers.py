@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.functions import arrays
 from tallmat.functions.noise import uniform
-from tallmat.operators.svd import gaussian_matrix  # noqa: F401  (a local source)
 from tallmat.session import MAX_BROADCAST_ROWS
 from tallmat.sources.index import number_rows
 

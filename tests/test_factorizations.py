@@ -141,6 +141,8 @@ def test_least_squares_and_ridge(make):
     want = np.linalg.lstsq(x, b, rcond=None)[0]
     assert np.allclose(fit.x, want)
     assert np.allclose(fit.residual, np.linalg.norm(x @ want - b, axis=0))
+    inside = tsqr.least_squares(make(np.hstack([x, b])), 2)
+    assert np.allclose(inside.x, want) and np.allclose(inside.residual, fit.residual)
     for lam, got in zip([0.0, 2.0], tsqr.ridge(make(x), make(b), [0.0, 2.0])):
         assert np.allclose(got, np.linalg.solve(x.T @ x + lam * np.eye(3), x.T @ b))
     with pytest.raises(ValueError, match="rank"):

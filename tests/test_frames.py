@@ -113,7 +113,7 @@ def test_reductions_do_not_start_from_zero(make):
     assert [r.val for r in rows] == pytest.approx(list(x[:, 0]))
 
 
-def test_wide_column_sums_use_blocks(make):
+def test_column_sums_of_any_width(make):
     x = RNG.normal(size=(9, 40))
     for f, want in (
         (stats.col_sums, x.sum(0)),
@@ -174,11 +174,18 @@ def test_smoke_latitudes(spark):
 
 
 def test_negative_modes(make):
+    from tallmat.operators.products import map_blocks
+
     a = make([[-1.0, 2.0]])
-    assert np.allclose(pre.non_negative(a, "clamp_log").to_numpy(), [[0, np.log(3)]])
+    clamped = pre.non_negative(a, "clamp_log")
+    assert np.allclose(clamped.to_numpy(), [[0, np.log(3)]])
+    assert np.allclose(map_blocks(clamped, lambda x: x).to_numpy(), [[0, np.log(3)]])
     assert np.allclose(pre.non_negative(a, "keep").to_numpy(), [[-1, 2]])
     with pytest.raises(Exception, match="negative element"):
         pre.non_negative(a).df.collect()
+    with pytest.raises(Exception, match="negative element"):
+        map_blocks(pre.non_negative(a), lambda x: x).df.collect()
+    assert np.allclose(pre.non_negative(make([[1.0, 2.0]])).to_numpy(), [[1, 2]])
 
 
 def test_random_values_do_not_depend_on_partitions(spark):

@@ -1,9 +1,8 @@
 import numpy as np
 import pytest
 from conftest import dense
-from pyspark.sql import functions as F
 
-from tallmat import PcaModel, TallMatrix, pca
+from tallmat import PcaModel, pca
 from tallmat.sources import index, readers, sinks
 
 RNG = np.random.default_rng(8)
