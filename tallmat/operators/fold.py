@@ -21,6 +21,9 @@ from tallmat.session import LARGE_PART_BYTES, MAX_LOCAL_ELEMS, PART_ELEMS
 # A sum of up to this many elements is merged by a built-in aggregate.
 SMALL_SUM = 1 << 12
 
+# A matrix of up to this size travels with the task function.
+CLOSURE_BYTES = 1 << 16
+
 PART_SCHEMA = "slot INT, block INT, rows INT, part BINARY"
 
 Part = tuple[int, np.ndarray]
@@ -194,10 +197,23 @@ def check_local(rows: int, cols: int) -> None:
         raise ValueError(f"a {rows} x {cols} matrix is too large to hold in one process")
 
 
-def ship(spark: SparkSession, x: np.ndarray) -> Callable[[], np.ndarray]:
-    """A small matrix for use in tasks: in the closure if tiny, else broadcast."""
-    check_local(*x.shape)
-    if x.nbytes <= 1 << 16:
-        return lambda: x
-    shipped = spark.sparkContext.broadcast(x)
-    return lambda: shipped.value
+class Shipped:
+    """A small matrix for use in tasks: part of the closure if tiny, else broadcast."""
+
+    def __init__(self, spark: SparkSession, x: np.ndarray):
+        check_local(*x.shape)
+        tiny = x.nbytes <= CLOSURE_BYTES
+        self._x = x if tiny else None
+        self._broadcast = None if tiny else spark.sparkContext.broadcast(x)
+
+    def __call__(self) -> np.ndarray:
+        return self._broadcast.value if self._x is None else self._x
+
+    def release(self) -> None:
+        """Drop the copies, once every job that uses the matrix is done."""
+        if self._broadcast is not None:
+            self._broadcast.destroy()
+
+
+def ship(spark: SparkSession, x: np.ndarray) -> Shipped:
+    return Shipped(spark, x)

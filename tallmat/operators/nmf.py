@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallmat.frames import ROW_SCHEMA, CooMatrix, TallMatrix
 from tallmat.operators import batches as codec
 from tallmat.operators import products, stats
-from tallmat.operators.fold import MatrixSum, check_local, ship
+from tallmat.operators.fold import MatrixSum, Shipped, check_local, ship
 from tallmat.operators.nnls import solve_nnls
 from tallmat.operators.preprocess import non_negative, unit_l1_factors
 from tallmat.operators.products import residual_correlation
@@ -152,8 +152,10 @@ def _wide_nmf(a: TallMatrix, r: int, score: str, scale_columns: bool, return_w:
     held.release()
     picks, gk, norms = [], np.zeros((0, n)), None
     for _ in range(r):
-        scores = MatrixSum(g.df, _score_rows(n, picks, gk, down, score), n, 2)
+        shipped = ship(spark, np.vstack([down, gk]))
+        scores = MatrixSum(g.df, _score_rows(n, picks, shipped, score), n, 2)
         squares, diagonal = scores.to_numpy().T
+        shipped.release()
         norms = np.sqrt(diagonal)
         if (norms > 0).sum() < r:
             raise ValueError(f"{r} columns asked for, {(norms > 0).sum()} of {n} are not zero")
@@ -165,7 +167,7 @@ def _wide_nmf(a: TallMatrix, r: int, score: str, scale_columns: bool, return_w:
         picks.append(best)
         gk = np.vstack([gk, np.array(row) * down * down[best]])
     up = np.divide(1.0, down, out=np.zeros_like(down), where=down > 0)
-    factor_rows = _coefficient_rows(g, picks, gk, down, up)
+    factor_rows = _coefficient_rows(g, picks, ship(spark, np.vstack([down, up, gk])))
     h = factor_rows.select(
         F.col("pos").cast("bigint").alias("comp"), F.col("row_id").alias("col_id"), "h"
     )
@@ -173,11 +175,12 @@ def _wide_nmf(a: TallMatrix, r: int, score: str, scale_columns: bool, return_w:
     return NmfModel(columns, h, a.gather(picks) if return_w else None, picks, None, a)
 
 
-def _score_rows(n: int, picks: list[int], gk: np.ndarray, down: np.ndarray, score: str):
+def _score_rows(n: int, picks: list[int], shipped: Shipped, score: str):
     """Per task: squared residual correlations of every column, and the diagonal of G."""
 
     def local(batches):
         acc = None
+        down, gk = shipped()[0], shipped()[1:]
         for batch in batches:
             ids = batch.column("row_id").to_numpy()
             x = codec.dense_block(batch.column("v"), n) * down * down[ids][:, None]
@@ -192,19 +195,17 @@ def _score_rows(n: int, picks: list[int], gk: np.ndarray, down: np.ndarray, scor
     return local
 
 
-def _coefficient_rows(g: TallMatrix, picks, gk, down, up) -> DataFrame:
+def _coefficient_rows(g: TallMatrix, picks: list[int], shipped: Shipped) -> DataFrame:
     """(row_id, pos, h): the coefficients of every column, back on A's scale."""
     n = g.n_cols
 
-    def solve(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        scaled = x[:, picks] * down[picks] * down[ids][:, None]
-        return solve_nnls(gk[:, picks], scaled)[0] * up[ids][:, None] / up[picks]
-
     def run(batches):
+        down, up, gk = shipped()[0], shipped()[1], shipped()[2:]
         for batch in batches:
-            x = codec.dense_block(batch.column("v"), n)
-            ids = batch.column("row_id")
-            yield codec.rows_batch(ids, solve(x, ids.to_numpy()))
+            ids = batch.column("row_id").to_numpy()
+            x = codec.dense_block(batch.column("v"), n)[:, picks]
+            h = solve_nnls(gk[:, picks], x * down[picks] * down[ids][:, None])[0]
+            yield codec.rows_batch(batch.column("row_id"), h * up[ids][:, None] / up[picks])
 
     rows = g.df.mapInArrow(run, ROW_SCHEMA)
     return rows.select("row_id", F.posexplode("v").alias("pos", "h"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallmat.frames import ROW_SCHEMA, CooMatrix, TallMatrix
 from tallmat.operators import batches as codec
-from tallmat.operators.fold import MatrixSum, ship
+from tallmat.operators.fold import MatrixSum, Shipped, ship
 from tallmat.session import MAX_DIRECT_COLS
 
 
@@ -60,10 +60,9 @@ def _row_sums(rows, cols, vals, rhs, batch) -> np.ndarray:
     return y
 
 
-def _gram_times_sum(a: TallMatrix | CooMatrix, b: np.ndarray) -> MatrixSum:
+def _gram_times_sum(a: TallMatrix | CooMatrix, b: np.ndarray, get: Shipped) -> MatrixSum:
     _check_inner(a.n_cols, b.shape[0])
     n, k = b.shape
-    get = ship(a.df.sparkSession, b)
 
     def dense(batches):
         acc, rhs = None, get()
@@ -91,12 +90,17 @@ def _gram_times_sum(a: TallMatrix | CooMatrix, b: np.ndarray) -> MatrixSum:
 
 def gram_times(a: TallMatrix | CooMatrix, b: np.ndarray) -> TallMatrix:
     """A'A B as an n x k table."""
-    return TallMatrix(_gram_times_sum(a, b).to_rows(), b.shape[1])
+    shipped = ship(a.df.sparkSession, b)
+    return TallMatrix(_gram_times_sum(a, b, shipped).to_rows(), b.shape[1])
 
 
 def gram_times_local(a: TallMatrix | CooMatrix, b: np.ndarray) -> np.ndarray:
     """A'A B brought to the driver, for iterations that go on from it."""
-    return _gram_times_sum(a, b).to_numpy()
+    shipped = ship(a.df.sparkSession, b)
+    try:
+        return _gram_times_sum(a, b, shipped).to_numpy()
+    finally:
+        shipped.release()
 
 
 def covariance_times(a: TallMatrix | CooMatrix, b: np.ndarray, n_rows: int) -> TallMatrix:

@@ -333,8 +333,12 @@ def snk4(spark, sf):
     path = scratch_path(spark, "cx")
     cx_scores(fx.user_event(spark, sf).to_coo(), 2, 3, 3).save(path)
     scores = CxScores.load(spark, path)
-    s = scores.s.select(F.lit("s").alias("part"), F.col("comp").alias("id"), (F.col("s") / 1000).alias("val"))
-    col = scores.col_lev.select(F.lit("col").alias("part"), F.col("col_id").alias("id"), F.col("p").alias("val"))
+
+    def part(name, df, key, value):
+        return df.select(F.lit(name).alias("part"), F.col(key).alias("id"), value.alias("val"))
+
+    s = part("s", scores.s, "comp", F.col("s") / 1000)
+    col = part("col", scores.col_lev, "col_id", F.col("p"))
     row = scores.row_lev.agg(F.sum("p").alias("val")).select(
         F.lit("row").alias("part"), F.lit(-1).cast("bigint").alias("id"), "val"
     )

@@ -416,3 +416,16 @@ def test_cx_fit(make_coo, spark):
     assert np.allclose(got, best)
     scaled = cx.chosen_columns(a, chosen.withColumn("scale", F.lit(2.0)), 3, scaled=True)
     assert np.allclose(dense(scaled, (40, 3)), 2 * x[:, [4, 1, 4]])
+
+
+def test_large_factors_are_broadcast(make, monkeypatch):
+    monkeypatch.setattr(fold, "CLOSURE_BYTES", 0)
+    x = RNG.random((30, 12))
+    b = RNG.normal(size=(12, 2))
+    assert np.allclose(products.times(make(x), b).to_numpy(), x @ b)
+    assert np.allclose(products.gram_times(make(x), b).to_numpy(), x.T @ x @ b)
+    assert np.allclose(products.gram_times_local(make(x), b), x.T @ x @ b)
+    wide, direct = nmf(make(x), 3, max_direct_cols=4), nmf(make(x), 3)
+    assert wide.picks == direct.picks
+    assert wide.relative_error().first().val == pytest.approx(direct.relative_error().first().val)
+    assert np.allclose(svd.randomized_svd(make(x), 2, 10, 2).s, svd.direct_svd(make(x), 2).s)
