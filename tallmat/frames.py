@@ -191,7 +191,16 @@ class TallMatrix:
 
     def to_coo(self) -> CooMatrix:
         nonzero = self.entries().where(F.col("val") != 0)
-        return CooMatrix(nonzero, self.n_cols, canonical=True)
+        a = CooMatrix(nonzero, self.n_cols, canonical=True)
+        # the sparse rows come from the dense ones without a shuffle
+        positions = F.sequence(F.lit(0).cast("bigint"), F.lit(self.n_cols - 1).cast("bigint"))
+        rows = self.df.select(
+            "row_id",
+            F.filter(positions, lambda i: F.get("v", i.cast("int")) != 0).alias("idx"),
+            F.filter("v", lambda x: x != 0).alias("val"),
+        )
+        a._rows = rows.where(F.size("idx") > 0)
+        return a
 
 
 class CooMatrix:

@@ -33,11 +33,16 @@ def sparse_block(batch):
     return rows, idx.flatten().to_numpy(zero_copy_only=False), _values(batch.column("val"))
 
 
+def pieces(batch, width: int):
+    """A batch in slices whose rows times `width` stay bounded."""
+    step = max(1, DENSE_BLOCK_ELEMS // width)
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def scatter_blocks(batch, n: int):
     """Sparse rows as dense (row ids, block) pairs of bounded size."""
-    step = max(1, DENSE_BLOCK_ELEMS // n)
-    for start in range(0, batch.num_rows, step):
-        piece = batch.slice(start, step)
+    for piece in pieces(batch, n):
         rows, cols, vals = sparse_block(piece)
         x = np.zeros((piece.num_rows, n))
         x[rows, cols] = vals

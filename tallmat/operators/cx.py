@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.functions import arrays
-from tallmat.operators.fold import check_local
+from tallmat.operators import batches as codec
+from tallmat.operators.fold import MatrixSum, check_local, fits_locally
 from tallmat.operators.joined import JoinedMatrix
 from tallmat.operators.svd import TruncatedSvd, randomized_svd, right
 from tallmat.operators.tsqr import tsqr
@@ -114,6 +115,29 @@ def chosen_columns(a: CooMatrix, chosen: DataFrame, c: int, scaled: bool = False
     return CooMatrix(picked.select("row_id", F.col("pos").alias("col_id"), val.alias("val")), c, True)
 
 
+def _gram_rows(a: CooMatrix, chosen: DataFrame, c: int) -> TallMatrix:
+    """A'C as a table of n rows; only the c chosen ids visit the driver."""
+    n = a.n_cols
+    ids = chosen.orderBy("pos").toArrow().column("col_id").to_numpy()
+    distinct, place = np.unique(ids, return_inverse=True)
+
+    def local(batches):
+        acc = None
+        where = np.full(n, -1)
+        where[distinct] = np.arange(len(distinct))
+        for piece in (p for batch in batches for p in codec.pieces(batch, len(distinct))):
+            rows, cols, vals = codec.sparse_block(piece)
+            picked = where[cols] >= 0
+            x = np.zeros((piece.num_rows, len(distinct)))
+            x[rows[picked], where[cols[picked]]] = vals[picked]
+            acc = np.zeros((n, len(distinct))) if acc is None else acc
+            for j in range(len(distinct)):
+                acc[:, j] += np.bincount(cols, vals * x[rows, j], minlength=n)
+        return acc if acc is None else acc[:, place]
+
+    return TallMatrix(MatrixSum(a.sparse_rows(), local, n, c).to_rows(), c)
+
+
 @dataclass
 class CxFit:
     """x(row_id = column of A, v[c]) with A ~ C X, and relative_error(val)."""
@@ -122,11 +146,20 @@ class CxFit:
     relative_error: DataFrame
 
 
-def fit_x(a: CooMatrix, c: CooMatrix) -> CxFit:
-    """X = argmin ||A - C X|| for given columns C; dependent columns are allowed."""
-    inverse = np.linalg.pinv(tsqr(c).r)
-    joined = JoinedMatrix(a)
-    correlation = joined.transpose_times(c.to_tall())
+def fit_x(a: CooMatrix, chosen: DataFrame, c: int, basis: str = "auto") -> CxFit:
+    """X = argmin ||A - C X|| for C = A[:, chosen(col_id, pos)]; columns may be dependent.
+
+    C'A is a set of rows of A'A, so while n x c values fit a task it takes one pass;
+    beyond that it is a join of A with C.
+    """
+    columns = chosen_columns(a, chosen, c)
+    inverse = np.linalg.pinv(tsqr(columns).r)
+    if basis == "auto":
+        basis = "local" if fits_locally(a.n_cols, c) else "table"
+    if basis == "local":
+        correlation = _gram_rows(a, chosen, c)
+    else:
+        correlation = JoinedMatrix(a).transpose_times(columns.to_tall())
     x = right(correlation, inverse @ inverse.T)
     # C X is a projection of A, so ||A - CX||^2 = ||A||^2 - <C'A, X>
     both = correlation.df.withColumnRenamed("v", "b").join(x.df, "row_id")

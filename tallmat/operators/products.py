@@ -45,18 +45,19 @@ def times(a: TallMatrix | CooMatrix, b: np.ndarray) -> TallMatrix:
 
     def run(batches):
         rhs = get()
-        for batch in batches:
-            rows, cols, vals = codec.sparse_block(batch)
-            yield codec.rows_batch(batch.column("row_id"), _row_sums(rows, cols, vals, rhs, batch))
+        for piece in (p for batch in batches for p in codec.pieces(batch, k)):
+            rows, cols, vals = codec.sparse_block(piece)
+            y = _row_sums(rows, cols, vals, rhs, piece.num_rows)
+            yield codec.rows_batch(piece.column("row_id"), y)
 
     return TallMatrix(a.sparse_rows().mapInArrow(run, ROW_SCHEMA), k)
 
 
-def _row_sums(rows, cols, vals, rhs, batch) -> np.ndarray:
+def _row_sums(rows, cols, vals, rhs, n_rows: int) -> np.ndarray:
     """Sparse block times rhs, column by column to keep the temporaries small."""
-    y = np.empty((batch.num_rows, rhs.shape[1]))
+    y = np.empty((n_rows, rhs.shape[1]))
     for j in range(rhs.shape[1]):
-        y[:, j] = np.bincount(rows, vals * rhs[cols, j], minlength=batch.num_rows)
+        y[:, j] = np.bincount(rows, vals * rhs[cols, j], minlength=n_rows)
     return y
 
 
@@ -74,9 +75,9 @@ def _gram_times_sum(a: TallMatrix | CooMatrix, b: np.ndarray, get: Shipped) -> M
 
     def sparse(batches):
         acc, rhs = None, get()
-        for batch in batches:
-            rows, cols, vals = codec.sparse_block(batch)
-            y = _row_sums(rows, cols, vals, rhs, batch)
+        for piece in (p for batch in batches for p in codec.pieces(batch, k)):
+            rows, cols, vals = codec.sparse_block(piece)
+            y = _row_sums(rows, cols, vals, rhs, piece.num_rows)
             acc = np.zeros((n, k)) if acc is None else acc
             for j in range(k):
                 acc[:, j] += np.bincount(cols, vals * y[rows, j], minlength=n)

@@ -341,12 +341,11 @@ x AS MATERIALIZED (
     "cx4_fitted_x",
     f"""{_FIT}
 SELECT col AS row_id, c.col_id, {sql_round("CASE c.col_id WHEN 0 THEN x0 ELSE x1 END")} AS val
-FROM x JOIN g ON g.i = col AND g.j = col CROSS JOIN (SELECT unnest(range(2)) AS col_id) c
-WHERE g.g > 0""",
+FROM x CROSS JOIN (SELECT unnest(range(2)) AS col_id) c""",
 )
 def cx4_x(spark, sf):
     a, chosen = _with_chosen(spark, sf)
-    return long(cx.fit_x(a, cx.chosen_columns(a, chosen, 2)).x)
+    return long(cx.fit_x(a, chosen, 2).x)
 
 
 @query(
@@ -357,7 +356,18 @@ FROM part_nation""",
 )
 def cx4_error(spark, sf):
     a, chosen = _with_chosen(spark, sf)
-    return rounded(cx.fit_x(a, cx.chosen_columns(a, chosen, 2)).relative_error)
+    return rounded(cx.fit_x(a, chosen, 2).relative_error)
+
+
+@query(
+    "cx4_relative_error_joined",
+    f"""{_FIT}
+SELECT {sql_round("sqrt(1 - (SELECT sum(p * x0 + q * x1) FROM x) / sum(val * val))")} AS val
+FROM part_nation""",
+)
+def cx4_error_joined(spark, sf):
+    a, chosen = _with_chosen(spark, sf)
+    return rounded(cx.fit_x(a, chosen, 2, basis="table").relative_error)
 
 
 # -- NMF --------------------------------------------------------------------------

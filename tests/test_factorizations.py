@@ -402,13 +402,14 @@ def test_sampling_follows_the_probabilities(spark, monkeypatch):
     assert {(r.pos, r.col_id) for r in drawn} == {(r.pos, r.col_id) for r in again}
 
 
-def test_cx_fit(make_coo, spark):
+@pytest.mark.parametrize("basis", ["local", "table"])
+def test_cx_fit(make_coo, spark, basis):
     x = low_rank(40, 10, [9, 5, 2, 1])
     a = make_coo(x)
     chosen = spark.createDataFrame([(4, 0), (1, 1), (4, 2)], "col_id BIGINT, pos BIGINT")
     c = cx.chosen_columns(a, chosen, 3)
     assert np.allclose(dense(c, (40, 3)), x[:, [4, 1, 4]])
-    fit = cx.fit_x(a, c)
+    fit = cx.fit_x(a, chosen, 3, basis=basis)
     best = x[:, [4, 1]] @ np.linalg.lstsq(x[:, [4, 1]], x, rcond=None)[0]
     want = np.linalg.norm(x - best) / np.linalg.norm(x)
     assert fit.relative_error.first().val == pytest.approx(want)

@@ -93,15 +93,26 @@ def test_segments_bound_the_record(make_coo):
 def test_sparse_dense_conversions(make_coo, make):
     x = RNG.integers(0, 3, size=(7, 5)).astype(float)
     assert np.array_equal(dense(make_coo(x).to_tall(), x.shape), x)
-    assert np.array_equal(dense(make(x).to_coo(), x.shape), x)
+    sparse = make(np.vstack([x, np.zeros((1, 5))])).to_coo()
+    assert np.array_equal(dense(sparse, (8, 5)), np.vstack([x, np.zeros((1, 5))]))
+    rows = {r.row_id: (r.idx, r.val) for r in sparse.sparse_rows().collect()}
+    assert rows == {
+        i: (list(np.flatnonzero(x[i])), list(x[i][x[i] != 0])) for i in range(7) if x[i].any()
+    }
 
 
 def test_dense_blocks_are_cut(make_coo, monkeypatch):
     from tallmat.operators import batches
 
     monkeypatch.setattr(batches, "DENSE_BLOCK_ELEMS", 10)
+    from tallmat.operators import products
+
     x = RNG.integers(0, 3, size=(23, 4)).astype(float)
-    assert np.array_equal(dense(make_coo(x).to_tall(), x.shape), x)
+    a, b = make_coo(x), RNG.normal(size=(4, 3))
+    assert np.array_equal(dense(a.to_tall(), x.shape), x)
+    assert np.allclose(products.gram_local(a), x.T @ x)
+    assert np.allclose(products.gram_times_local(a, b), x.T @ x @ b)
+    assert np.allclose(dense(products.times(a, b), (23, 3)), x @ b)
 
 
 def test_reductions_do_not_start_from_zero(make):
