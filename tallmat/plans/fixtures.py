@@ -197,25 +197,31 @@ def gram_sql(name: str, source: str) -> str:
   FROM {source} a JOIN {source} b ON a.row_id = b.row_id GROUP BY 1, 2)"""
 
 
-def top_eigen_sql(gram: str, k: int, rounds: int = 400) -> str:
+def top_eigen_sql(gram: str, k: int, squarings: int = 16) -> str:
     """CTEs v0..v{k-1}(i, x) and l0..l{k-1}(lam): leading eigenpairs of gram(i, j, g).
 
-    Power iteration with deflation; the largest entry of a vector is positive.
+    The matrix is squared and scaled again and again, which amounts to 2^squarings
+    rounds of power iteration, so that close eigenvalues are told apart too. A column
+    of what remains is the eigenvector; its largest entry is made positive. Then the
+    pair is subtracted and the next one follows.
     """
     ctes = []
     for c in range(k):
         source = gram if c == 0 else f"{gram}_d{c}"
-        ctes.append(f"""p{c}(it, i, x) AS (
-  SELECT 0, i, 1.0::DOUBLE + i * 0.1 FROM (SELECT DISTINCT i FROM {source})
+        ctes.append(f"""p{c}(it, i, j, m) AS (
+  SELECT 0, i, j, g / (SELECT sqrt(sum(g * g)) FROM {source}) FROM {source}
   UNION ALL
-  SELECT p{c}.it + 1, s.i,
-         sum(s.g * p{c}.x) / sqrt(sum(sum(s.g * p{c}.x) * sum(s.g * p{c}.x)) OVER ())
-  FROM p{c} JOIN {source} s ON s.j = p{c}.i
-  WHERE p{c}.it < {rounds} GROUP BY p{c}.it, s.i),
+  SELECT a.it + 1, a.i, b.j,
+         sum(a.m * b.m) / sqrt(sum(sum(a.m * b.m) * sum(a.m * b.m)) OVER ())
+  FROM p{c} a JOIN p{c} b ON b.it = a.it AND b.i = a.j
+  WHERE a.it < {squarings} GROUP BY a.it, a.i, b.j),
+q{c} AS MATERIALIZED (SELECT i, j, m FROM p{c} WHERE it = {squarings}),
+w{c} AS MATERIALIZED (
+  SELECT i, m / sqrt(sum(m * m) OVER ()) AS x FROM q{c}
+  WHERE j = (SELECT j FROM q{c} WHERE i = j ORDER BY m DESC, j LIMIT 1)),
 v{c} AS MATERIALIZED (
-  SELECT i, x * (SELECT sign(x) FROM p{c} WHERE it = {rounds}
-                 ORDER BY round(abs(x), 9) DESC, i LIMIT 1) AS x
-  FROM p{c} WHERE it = {rounds}),
+  SELECT i, x * (SELECT sign(x) FROM w{c} ORDER BY round(abs(x), 9) DESC, i LIMIT 1) AS x
+  FROM w{c}),
 l{c} AS MATERIALIZED (
   SELECT sum(a.x * s.g * b.x) AS lam
   FROM {source} s JOIN v{c} a ON a.i = s.i JOIN v{c} b ON b.i = s.j)""")
