@@ -1,4 +1,4 @@
 """All queries of this package and their SQL; importing the operator modules registers them."""
 
-from tallmat.llm import decontaminate, near_dedup, packing, quality_rules, substring_dedup, token_store  # noqa: F401
+from tallmat.llm import decontaminate, near_dedup, packing, quality_rules, substring_dedup, token_store, toxicity  # noqa: F401
 from tallmat.llm.common import ORACLES, QUERIES  # noqa: F401

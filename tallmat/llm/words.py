@@ -19,6 +19,9 @@ SLICE_BYTES = 2 << 20
 
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+# letters: a-z, A-Z and every byte of characters beyond ASCII
+LETTER_BYTE = np.zeros(256, bool)
+LETTER_BYTE[65:91] = LETTER_BYTE[97:123] = LETTER_BYTE[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -61,7 +64,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of some texts: `start` and `end` are byte places in `data`; text i has words first[i] to first[i + 1]."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, inside: np.ndarray = _WORD_BYTE):
         texts = texts.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
@@ -69,7 +72,7 @@ class Words:
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets - offsets[0]
         n = len(data)
-        inside = _WORD_BYTE[data]
+        inside = inside[data]
         before = np.zeros(n, bool)
         after = np.zeros(n, bool)
         if n:
