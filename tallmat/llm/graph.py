@@ -13,7 +13,7 @@ def _nearest(edges: DataFrame, larger: bool) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not larger:
         both = both.where("b < a")
-    least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low")))
+    least = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
     moved = both.join(least, "a")
     moved = moved.where("b > a") if larger else moved
     out = moved.select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -32,9 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
         before = state
-        current = cut_lineage(_nearest(cut_lineage(_nearest(current, True)), False))
+        current = cut_lineage(_nearest(_nearest(current, True), False))
     leaves = current.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return leaves.unionByName(current.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

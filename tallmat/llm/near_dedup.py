@@ -13,8 +13,9 @@ another component than that first document is then compared with every block of
 goes without comparison unless both are already in the component of its first document.
 
 Leaves compare 60 one-byte minwise sketches and give a spanning forest of the candidates, never all pairs. Components of
-these candidates that are small are settled exactly in one task with the full sets of their members; in large ones the
-edges are confirmed by joins on the full sets, strongest first, then those between different components.
+these candidates that are small are settled exactly in one task with the full sets of their members. In large ones,
+edges are confirmed by joins on the full sets: for each document its strongest edge and the one to the component's
+first document; then, between the components so found, all candidates that leaves have.
 
 Defined cases: a text of one word has one shingle, the word itself; NULL, empty and blank texts have none and are
 linked with nothing; rows with equal doc_id are versions of one document: links of any of them count; empty tables
@@ -35,7 +36,7 @@ from tallmat.llm.graph import components
 from tallmat.llm.words import Words, as_long, lists, mix, slices, window_starts, windows
 
 TREES = 10
-DEPTH = 6
+DEPTH = 4
 LEAF = 40
 PERCENT = 80
 # Minwise tokens of 60 that have to agree for a candidate: at similarity 0.8 fewer do with probability 5e-5.
@@ -43,7 +44,7 @@ MIN_AGREE = 36
 # Candidate components up to this size are settled in one task.
 SMALL = 64
 
-_COORDS = TREES * DEPTH
+_COORDS = 60
 _RANDOM = np.random.default_rng(11).integers(0, 1 << 63, (2, _COORDS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -247,35 +248,27 @@ def _relabelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> D
     return rows.join(labels, column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
 
 
-def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = _relabelled(_relabelled(edges, labels, "a", "ra"), labels, "b", "rb")
-    return rows.where("ra != rb").select("a", "b").distinct()
-
-
 def _settle_large(edges: DataFrame, leaves: DataFrame, cut: DataFrame, sketches: DataFrame, members: DataFrame) -> DataFrame:
     """Confirmed components of the candidate components that are too large for one task."""
     ends = edges.select("a", "b", "agree").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     strongest = ends.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("minus"))).alias("s"))
-    first = strongest.select(F.least("a", -F.col("s.minus")).alias("a"), F.greatest("a", -F.col("s.minus")).alias("b")).distinct()
-    links = _confirmed(first, members)
-    labels = cut_lineage(components(links))
-    links = links.unionByName(_confirmed(_between(edges, labels), members))
+    first = strongest.select("a", (-F.col("s.minus")).alias("b"))
+    first = first.unionByName(members.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    links = _confirmed(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members)
     labels = cut_lineage(components(links))
     inside = members.select("id")
     known = _relabelled(leaves.join(inside, "id", "left_semi"), labels, "id", "root")
-    mixed = cut_lineage(known.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("node"))
-    links = links.unionByName(_confirmed(_compare(known.join(mixed, "node", "left_semi"), sketches, True).select("a", "b").distinct(), members))
-    labels = cut_lineage(components(links))
+    mixed = known.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("node")
+    known = known.join(cut_lineage(mixed), "node", "left_semi").select("node", "id", "root")
     # documents of large nodes outside the component of its first document meet every block of the node
-    rows = _relabelled(_relabelled(cut.join(inside, "id", "left_semi"), labels, "id", "root"), labels, "pivot", "top")
-    outside = cut_lineage(rows.where("root != top").select("parent", "id", "root").distinct())
-    if outside.isEmpty():
-        return labels
-    concerned = rows.join(outside.select("parent").distinct(), "parent", "left_semi")
-    strangers = outside.join(concerned.select("parent", "node").distinct(), "parent").select("node", "id", "root")
-    again = concerned.select("node", "id", "root").unionByName(strangers).distinct()
-    links = links.unionByName(_confirmed(_compare(again, sketches, True).select("a", "b").distinct(), members))
-    return cut_lineage(components(links))
+    rows = cut_lineage(_relabelled(_relabelled(cut.join(inside, "id", "left_semi"), labels, "id", "root"), labels, "pivot", "top"))
+    outside = rows.where("root != top").select("parent", "id", "root").distinct()
+    blocks = rows.select("parent", "node").distinct()
+    strangers = outside.join(blocks, "parent").select("node", "id", "root")
+    concerned = rows.join(outside.select("parent").distinct(), "parent", "left_semi").select("node", "id", "root")
+    again = known.unionByName(strangers).unionByName(concerned).distinct()
+    pairs = _compare(again, sketches, True).select("a", "b").distinct()
+    return components(links.unionByName(_confirmed(pairs, members)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -301,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = stored(
         _compare(leaves, sketches, False).groupBy("a", "b").agg(F.max("agree").alias("agree")), "edges"
     )
-    groups = cut_lineage(components(edges))
+    groups = components(edges)
     sizes = cut_lineage(groups.groupBy("root").agg(F.count("*").alias("size")))
     members = stored(
         texts.select(F.col("doc_id").alias("id"), "text").join(groups.join(sizes, "root"), "id").select("id", "text", "root", "size"),
@@ -314,11 +307,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("root", "id")
         .mapInArrow(_settle_batches, "id LONG, root LONG")
     )
-    large = members.where(F.col("size") > SMALL).select("id", "text")
+    large = members.where(F.col("size") > SMALL).select("id", "text", "root")
     linked = small
     if not large.isEmpty():
         big_edges = edges.join(large.select(F.col("id").alias("a")), "a", "left_semi")
-        linked = small.unionByName(_settle_large(cut_lineage(big_edges), leaves, cut, sketches, large))
+        linked = small.unionByName(_settle_large(big_edges, leaves, cut, sketches, large))
     linked = stored(linked.groupBy("id").agg(F.min("root").alias("root")), "components")
     by_class = cut_lineage(_relabelled(classes, linked, "class_id", "component_id"))
     return (
