@@ -201,6 +201,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows that hold no copy of a test item, with all their columns."""
+    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(leaks, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+
+
 @query("op10_benchmark_decontamination")
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a test item that it holds, copied or edited."""

@@ -327,6 +327,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns; rows without an id stay."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    known = docs.where("doc_id IS NOT NULL")
+    kept = known.join(gone, known["doc_id"].cast("long") == F.col("_id"), "left_anti").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
 @query("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

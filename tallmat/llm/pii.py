@@ -286,7 +286,7 @@ def _names(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets; all other columns as they were."""
+    """The documents with every span replaced by its kind in brackets; `n_chars` follows, other columns stay."""
     model = learn(spans_table(docs))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
@@ -302,7 +302,11 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
     found = let(all_spans(base_spans(text), proposals(text), model), lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(F.col("text")))
-    return docs.withColumn("text", found)
+    out = docs.withColumn("text", found)
+    if "n_chars" in docs.columns:
+        changed = ~docs["text"].eqNullSafe(found)
+        out = docs.withColumns({"n_chars": F.when(changed, F.length(found).cast("long")).otherwise(docs["n_chars"]), "text": found})
+    return out
 
 
 @query("op5_personal_data")

@@ -93,7 +93,7 @@ def _dup_lines(text: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, lang, the counts of the rules, `chars` by class and `common` by word."""
+    """Per row: doc_id, lang, a hash of the text, the counts of the rules, `chars` by class and `common` by word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     base = base.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
@@ -106,6 +106,7 @@ def measured(docs: DataFrame) -> DataFrame:
     counts = base.select(
         "doc_id",
         "lang",
+        F.xxhash64("text").alias("text_hash"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SEPARATORS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -238,6 +239,14 @@ def _sql() -> str:
       FROM f LEFT JOIN chars_distance USING (rid) LEFT JOIN common_distance USING (rid)"""
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows that the rules keep, with all their columns."""
+    rejected = quality(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    text_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
+    return docs.join(rejected, same, "left_anti")
+
+
 @query("op6_quality_rules", _sql())
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(
