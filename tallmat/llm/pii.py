@@ -38,7 +38,9 @@ GENERATORS = [
     r"(?<![A-Za-z0-9])[+(]{0,2}[0-9](?:[().-]{0,2}[0-9])++",
     r"(?<![A-Za-z0-9])[+(]{0,2}[0-9](?:[\x20().-]{0,2}[0-9])++",
 ]
+# shorter numbers are proposed only where they look like an address
 MIN_DIGITS = 7
+FOUR_PARTS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 # fixed values: words before a number or address that tell what it is
 CONTEXT = [
     "call|phone|tel|telefon|telephone|mobile|fax|mail|email|e-mail|contact|kontakt|correo|courriel",
@@ -149,7 +151,9 @@ def proposals(text: Column) -> Column:
     for i, (pattern, hint) in enumerate(zip(GENERATORS, hints)):
         found = _found(text, pattern)
         if i:
-            found = F.filter(found, lambda x: F.length(_digits(x["hit"])) >= MIN_DIGITS)
+            found = F.filter(
+                found, lambda x: (F.length(_digits(x["hit"])) >= MIN_DIGITS) | F.regexp_like(x["hit"], F.lit(FOUR_PARTS))
+            )
         parts.append(F.when(F.regexp_like(text, F.lit(hint)), F.transform(found, described)).otherwise(none))
     return F.array_distinct(F.concat(*parts))
 
@@ -302,11 +306,15 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
     found = let(all_spans(base_spans(text), proposals(text), model), lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(F.col("text")))
-    out = docs.withColumn("text", found)
-    if "n_chars" in docs.columns:
-        changed = ~docs["text"].eqNullSafe(found)
-        out = docs.withColumns({"n_chars": F.when(changed, F.length(found).cast("long")).otherwise(docs["n_chars"]), "text": found})
-    return out
+    # a column of its own first: next to a new column named text, the lambdas above would take their text from that one
+    fresh = "redacted"
+    while fresh in docs.columns:
+        fresh += "_"
+    out = docs.withColumn(fresh, found)
+    changed = ~F.col("text").eqNullSafe(F.col(fresh))
+    length = F.when(changed, F.length(fresh).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    new = {"text": F.col(fresh), "n_chars": length}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op5_personal_data")

@@ -138,7 +138,8 @@ def _cut_batches(batches: Iterator, window: int) -> Iterator:
                 gone = np.cumsum(gone)[:-1] > 0
                 kept = [w for w, g in zip(own, gone) if not g]
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                rows.append((len(own), int(gone.sum()), _digest(kept), b" ".join(kept).decode(), edges.tolist()))
+                kept_text = b" ".join(kept).decode() if gone.any() else None
+                rows.append((len(own), int(gone.sum()), _digest(kept), kept_text, edges.tolist()))
             columns = list(zip(*rows))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
