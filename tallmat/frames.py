@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallmat.functions import arrays
-from tallmat.session import MAX_BROADCAST_ROWS, MAX_LOCAL_ELEMS, PART_ELEMS, keep
+from tallmat.session import MAX_BROADCAST_ROWS, MAX_LOCAL_ELEMS, PART_ELEMS, is_kept, keep
 
 ROW_SCHEMA = "row_id BIGINT, v ARRAY<DOUBLE>"
 # Array types that numpy widens to double exactly as a cast does.
@@ -44,6 +44,7 @@ class TallMatrix:
         self.df = df if df.columns == ["row_id", "v"] else df.select("row_id", "v")
         self.n_cols = n_cols
         self._blocks = blocks
+        self._callers = False
 
     def blocks(self) -> Blocks:
         """How tasks read the matrix: a table, and a function from its Arrow batches to
@@ -99,10 +100,15 @@ class TallMatrix:
         return self.df.count()
 
     def keep(self) -> TallMatrix:
-        return TallMatrix(keep(self.df), self.n_cols)
+        """A copy that stays in memory. Releasing it leaves a cache alone that was there before."""
+        before = is_kept(self.df)
+        kept = TallMatrix(keep(self.df), self.n_cols)
+        kept._callers = before
+        return kept
 
     def release(self) -> None:
-        self.df.unpersist()
+        if not self._callers:
+            self.df.unpersist()
 
     def coalesce(self, parts: int) -> TallMatrix:
         return TallMatrix(self.df.coalesce(parts), self.n_cols)
@@ -224,6 +230,7 @@ class CooMatrix:
         self.df = df
         self.n_cols = n_cols
         self._rows: DataFrame | None = None
+        self._callers = False
 
     @classmethod
     def from_segments(cls, rows: DataFrame, n_cols: int) -> CooMatrix:
@@ -238,7 +245,9 @@ class CooMatrix:
     def keep(self) -> CooMatrix:
         """A copy whose sparse rows stay in memory, for several passes over them."""
         kept = CooMatrix(self.df, self.n_cols, canonical=True)
-        kept._rows = keep(self.sparse_rows())
+        rows = self.sparse_rows()
+        kept._callers = is_kept(rows)
+        kept._rows = keep(rows)
         return kept
 
     def coalesce(self, parts: int) -> CooMatrix:
@@ -247,7 +256,7 @@ class CooMatrix:
         return fewer
 
     def release(self) -> None:
-        if self._rows is not None:
+        if self._rows is not None and not self._callers:
             self._rows.unpersist()
 
     def validated(self) -> CooMatrix:

@@ -14,8 +14,9 @@ from tallmat.functions import arrays
 from tallmat.operators import batches as codec
 from tallmat.operators.fold import MatrixSum, check_local, fits_locally
 from tallmat.operators.joined import JoinedMatrix
-from tallmat.operators.svd import TruncatedSvd, randomized_svd, right
+from tallmat.operators.svd import TruncatedSvd, all_ids, randomized_svd, right, with_rows
 from tallmat.operators.tsqr import tsqr
+from tallmat.session import cut_lineage
 
 # Columns per bucket when draws are located in the cumulated probabilities.
 BUCKET = 4096
@@ -67,8 +68,12 @@ def cx_scores(
 
 def top_columns(col_lev: DataFrame, c: int) -> DataFrame:
     """(col_id, p, pos) of the c columns with the highest score; ties to the smaller id."""
-    best = col_lev.orderBy(F.desc(F.round("p", 12)), "col_id").limit(c)
-    order = Window.orderBy(F.desc(F.round("p", 12)), "col_id")
+    # nine digits of each score, however small: rounding makes exact ties differ in the last bits
+    power = F.floor(F.log10(F.col("p") * (1 + 1e-10)))
+    digits = F.round(F.col("p") / F.pow(F.lit(10.0), power), 9)
+    ranking = [F.desc_nulls_last(power), F.desc_nulls_last(digits), F.col("col_id")]
+    best = col_lev.orderBy(*ranking).limit(c)
+    order = Window.orderBy(*ranking)
     return best.withColumn("pos", F.row_number().over(order).cast("bigint") - 1)
 
 
@@ -159,7 +164,12 @@ def fit_x(a: CooMatrix, chosen: DataFrame, c: int, basis: str = "auto") -> CxFit
     if basis == "local":
         correlation = _gram_rows(a, chosen, c)
     else:
-        correlation = JoinedMatrix(a).transpose_times(columns.to_tall())
+        joined = JoinedMatrix(a)
+        shared = joined.transpose_times(columns.to_tall())
+        # columns of A that share no row with C have coefficients 0, as in the local case
+        filled = with_rows(shared, all_ids(a.df.sparkSession, a.n_cols))
+        correlation = TallMatrix(cut_lineage(filled.df), c)
+        joined.release()
     x = right(correlation, inverse @ inverse.T)
     # C X is a projection of A, so ||A - CX||^2 = ||A||^2 - <C'A, X>
     both = correlation.df.withColumnRenamed("v", "b").join(x.df, "row_id")

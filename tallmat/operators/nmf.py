@@ -13,7 +13,7 @@ from tallmat.frames import ROW_SCHEMA, CooMatrix, TallMatrix
 from tallmat.operators import batches as codec
 from tallmat.operators import products, stats
 from tallmat.operators.fold import MatrixSum, Shipped, check_local, ship
-from tallmat.operators.nnls import solve_nnls
+from tallmat.operators.nnls import solved
 from tallmat.operators.preprocess import non_negative, unit_l1_factors
 from tallmat.operators.products import residual_correlation
 from tallmat.operators.tsqr import tsqr
@@ -47,7 +47,7 @@ def select_columns(
         np.divide(np.linalg.norm(part, axis=0), norms, out=values, where=norms > 0)
         values[picks] = -1.0
         picks.append(int(values.argmax()))
-        h = solve_nnls(g[np.ix_(picks, picks)], g[picks, :].T)[0].T
+        h = solved(g[np.ix_(picks, picks)], g[picks, :].T).T
     return picks, h
 
 
@@ -187,7 +187,7 @@ def _score_rows(n: int, picks: list[int], shipped: Shipped, score: str):
             acc = np.zeros((n, 2)) if acc is None else acc
             acc[ids, 1] = x[np.arange(len(ids)), ids]
             if picks:
-                x = x - solve_nnls(gk[:, picks], x[:, picks])[0] @ gk
+                x = x - solved(gk[:, picks], x[:, picks]) @ gk
             part = np.maximum(x, 0.0) if score == "positive_part" else x
             acc[:, 0] += (part * part).sum(axis=0)
         return acc
@@ -204,7 +204,7 @@ def _coefficient_rows(g: TallMatrix, picks: list[int], shipped: Shipped) -> Data
         for batch in batches:
             ids = batch.column("row_id").to_numpy()
             x = codec.dense_block(batch.column("v"), n)[:, picks]
-            h = solve_nnls(gk[:, picks], x * down[picks] * down[ids][:, None])[0]
+            h = solved(gk[:, picks], x * down[picks] * down[ids][:, None])
             yield codec.rows_batch(batch.column("row_id"), h * up[ids][:, None] / up[picks])
 
     rows = g.df.mapInArrow(run, ROW_SCHEMA)

@@ -11,6 +11,8 @@ from tallmat.operators import batches as codec
 from tallmat.operators.fold import ship
 
 DUAL_TOL = 1e-12
+# a gradient above this share of the largest one is no rounding error
+OPEN_TOL = 1e-8
 # weights up to this value count as 0
 ZERO_WEIGHT = 1e-20
 
@@ -67,6 +69,16 @@ def solve_nnls(g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, dual.max(axis=1, initial=-np.inf) <= limit
 
 
+def solved(g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """solve_nnls, which must have come to an end: raises where a gradient still points inward."""
+    x, done = solve_nnls(g, b)
+    if not done.all():
+        dual = np.where(x > 0, -np.inf, b - x @ g).max(axis=1, initial=-np.inf)
+        if (dual > OPEN_TOL * np.abs(b).max(axis=1, initial=0.0)).any():
+            raise RuntimeError("non-negative least squares did not converge")
+    return x
+
+
 def nnls_rows(
     targets: TallMatrix,
     basis: np.ndarray,

@@ -93,9 +93,14 @@ def reduce_rows(a: TallMatrix, f: Callable[[Column, Column], Column]) -> DataFra
 
 
 def reduce_cols(a: TallMatrix, agg: Callable[[Column], Column]) -> DataFrame:
-    """(col_id, val): a Spark aggregate (F.sum, F.max, ...) over each column."""
+    """(col_id, val): a Spark aggregate (F.sum, F.max, ...) over each column.
+
+    One record per column at every width; NULL when the matrix has no rows.
+    """
     if a.n_cols > UNROLLED_COLS:
-        return a.entries().groupBy("col_id").agg(agg(F.col("val")).alias("val"))
+        ids = a.df.sparkSession.range(a.n_cols).withColumnRenamed("id", "col_id")
+        values = a.entries().groupBy("col_id").agg(agg(F.col("val")).alias("val"))
+        return ids.join(values, "col_id", "left")
     columns = [agg(F.col("v")[j]).alias(f"c{j}") for j in range(a.n_cols)]
     wide = a.df.agg(*columns).select(F.array(*[f"c{j}" for j in range(a.n_cols)]).alias("v"))
     exploded = wide.select(F.posexplode("v").alias("col_id", "val"))

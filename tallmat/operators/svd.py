@@ -13,6 +13,7 @@ import logging
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
@@ -73,24 +74,43 @@ def _from_local_basis(a, s: np.ndarray, v: np.ndarray, k: int) -> TruncatedSvd:
     return TruncatedSvd(products.times(a, v / s), s, local_rows(a.df.sparkSession, v))
 
 
+def with_rows(x: TallMatrix, ids: DataFrame) -> TallMatrix:
+    """The matrix with one row for every id in `ids(row_id)`, zeros where it had none."""
+    zeros = F.array_repeat(F.lit(0.0), x.n_cols)
+    joined = ids.select("row_id").join(x.df, "row_id", "left")
+    return TallMatrix(joined.select("row_id", F.coalesce("v", zeros).alias("v")), x.n_cols)
+
+
+def all_ids(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).withColumnRenamed("id", "row_id")
+
+
 def _table_signs(v: TallMatrix) -> np.ndarray:
-    """sign_fix for a table: one max_by per column."""
+    """sign_fix for a table: the largest size, then one max_by per column."""
+    sizes = [F.max(F.abs(F.col("v")[j])).alias(f"c{j}") for j in range(v.n_cols)]
+    top = v.df.agg(*sizes).first()
     picks = []
     for j in range(v.n_cols):
         x = F.col("v")[j]
         # larger size first, then the smaller id
-        order = F.struct(F.round(F.abs(x), 12), -F.col("row_id"))
+        order = F.struct(F.round(F.abs(x) / top[j], 9), -F.col("row_id"))
         picks.append(F.max_by(x, order).alias(f"c{j}"))
     largest = np.array(v.df.agg(*picks).first(), dtype=float)
     return np.where(largest < 0, -1.0, 1.0)
 
 
-def _from_table_basis(joined: JoinedMatrix, s, basis: TallMatrix, rotation, k) -> TruncatedSvd:
+def _from_table_basis(a, joined: JoinedMatrix, s, basis: TallMatrix, rotation, k) -> TruncatedSvd:
+    """Rows as in the other regimes: every column of A in V, and in U every row that A has."""
     kept = _kept(s, k)
     s = s[:kept]
     v = right(basis, rotation[:, :kept])
     v = TallMatrix(cut_lineage(right(v, np.diag(_table_signs(v))).df), kept)
-    return TruncatedSvd(joined.times(right(v, np.diag(1.0 / s))), s, v)
+    u = joined.times(right(v, np.diag(1.0 / s)))
+    if isinstance(a, TallMatrix):
+        u = with_rows(u, a.df)
+    u = _saved(u)
+    joined.release()
+    return TruncatedSvd(u, s, with_rows(v, all_ids(a.df.sparkSession, a.n_cols)))
 
 
 def as_coo(a: TallMatrix | CooMatrix) -> CooMatrix:
@@ -124,11 +144,11 @@ def randomized_svd(
     if basis == "auto":
         basis = "local" if fits_locally(a.n_cols, width) else "table"
     if basis == "table":
-        return _randomized_tables(as_coo(a), k, width, power_iters, seed)
+        return _randomized_tables(a, k, width, power_iters, seed)
 
     held = a.keep()
     try:
-        y = gaussian_matrix(a.n_cols, width, seed)
+        y = gaussian_matrix(a.df.sparkSession, a.n_cols, width, seed)
         for _ in range(power_iters):
             y = np.linalg.qr(products.gram_times_local(held, y))[0]
         q = np.linalg.qr(y)[0]
@@ -138,9 +158,16 @@ def randomized_svd(
     return _from_local_basis(a, s, q @ wt.T, k)
 
 
-def gaussian_matrix(n: int, k: int, seed: int) -> np.ndarray:
-    """A standard normal start for a local basis."""
-    return np.random.default_rng(seed).standard_normal((n, k))
+def _draws(width: int, seed: int) -> Column:
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)), lambda j: normal(F.col("row_id"), j, seed)
+    )
+
+
+def gaussian_matrix(spark: SparkSession, n: int, k: int, seed: int) -> np.ndarray:
+    """A standard normal start for a local basis, with the values of gaussian_table."""
+    rows = all_ids(spark, n).select("row_id", _draws(k, seed).alias("v"))
+    return TallMatrix(rows, k).to_numpy()
 
 
 def orthonormal(y: TallMatrix) -> TallMatrix:
@@ -153,20 +180,17 @@ def orthonormal(y: TallMatrix) -> TallMatrix:
 
 
 def gaussian_table(joined: JoinedMatrix, width: int, seed: int) -> TallMatrix:
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)), lambda j: normal(F.col("row_id"), j, seed)
-    )
-    return TallMatrix(joined.column_ids().select("row_id", draws.alias("v")), width)
+    return TallMatrix(joined.column_ids().select("row_id", _draws(width, seed).alias("v")), width)
 
 
-def _randomized_tables(a: CooMatrix, k, width, power_iters, seed) -> TruncatedSvd:
-    joined = JoinedMatrix(a)
+def _randomized_tables(a, k, width, power_iters, seed) -> TruncatedSvd:
+    joined = JoinedMatrix(as_coo(a))
     y = orthonormal(_saved(gaussian_table(joined, width, seed)))
     for _ in range(power_iters):
         y = _saved(orthonormal(_saved(joined.gram_times(y))))
     aq = _saved(joined.times(y))
     _, s, wt = np.linalg.svd(tsqr(aq).r, full_matrices=False)
-    return _from_table_basis(joined, s, y, wt.T, k)
+    return _from_table_basis(a, joined, s, y, wt.T, k)
 
 
 def _saved(x: TallMatrix) -> TallMatrix:
@@ -188,30 +212,42 @@ def krylov_svd(
 
     The basis grows by the residuals of the leading Ritz vectors and is cut back to
     the best of them when it is full. Stops when every wanted residual is at most
-    tol times the Ritz value, or as small as rounding allows.
+    tol times the Ritz value, or as small as rounding allows; raises when that is not
+    reached in restarts * 5 steps.
     """
     _check_rank(a, k)
     block = min(k + 2, a.n_cols)
     longest = min(6 * block, a.n_cols)
     if basis == "auto":
         basis = "local" if fits_locally(a.n_cols, 2 * longest) else "table"
-    space = _LocalSpace(a, seed) if basis == "local" else _TableSpace(as_coo(a), seed)
+    space = _LocalSpace(a, seed) if basis == "local" else _TableSpace(a, seed)
+    try:
+        return _lanczos(space, a.n_cols, k, block, longest, tol, restarts * 5)
+    finally:
+        space.release()
+
+
+def _ritz(space) -> tuple[np.ndarray, np.ndarray]:
+    theta, z = np.linalg.eigh(space.projected())
+    return theta[::-1], z[:, ::-1]
+
+
+def _lanczos(space, n: int, k: int, block: int, longest: int, tol: float, steps: int) -> TruncatedSvd:
     space.start(block)
-    for _ in range(restarts * 5):
-        theta, z = np.linalg.eigh(space.projected())
-        theta, z = theta[::-1], z[:, ::-1]
+    for _ in range(steps):
+        theta, z = _ritz(space)
         lead = min(block, len(theta))
         sizes = space.residuals(z[:, :lead], theta[:lead])
         limit = np.maximum(tol * theta[:k], RESIDUAL_FLOOR * theta[0])
-        if (sizes[:k] <= limit).all() or space.width >= a.n_cols:
-            break
+        if (sizes[:k] <= limit).all() or space.width >= n:
+            return space.finish(z, k)
         if space.width + block > longest:
             space.restart(z[:, : min(2 * block, len(theta))])
         if not space.grow():
-            break
-    else:
-        log.warning("Lanczos stopped before reaching the tolerance")
-    return space.finish(z, k)
+            # nothing is outside the basis, which a restart may have turned
+            return space.finish(_ritz(space)[1], k)
+    worst = float((sizes[:k] / limit).max())
+    raise RuntimeError(f"Lanczos did not converge in {steps} steps: a residual is {worst:.2g} times its limit")
 
 
 class _LocalSpace:
@@ -221,7 +257,7 @@ class _LocalSpace:
         self.source, self.a, self.seed = a, a.keep(), seed
 
     def start(self, block: int) -> None:
-        self.v = np.linalg.qr(gaussian_matrix(self.a.n_cols, block, self.seed))[0]
+        self.v = np.linalg.qr(gaussian_matrix(self.a.df.sparkSession, self.a.n_cols, block, self.seed))[0]
         self.cv = products.gram_times_local(self.a, self.v)
 
     @property
@@ -255,15 +291,17 @@ class _LocalSpace:
     def finish(self, z, k: int) -> TruncatedSvd:
         q = np.linalg.qr(self.v @ z[:, :k])[0]
         _, s, wt = np.linalg.svd(tsqr(products.times(self.a, q)).r, full_matrices=False)
-        self.a.release()
         return _from_local_basis(self.source, s, q @ wt.T, k)
 
+    def release(self) -> None:
+        self.a.release()
+
 
 class _TableSpace:
     """The same with one table of rows [V | C V] per column of A."""
 
-    def __init__(self, a: CooMatrix, seed: int):
-        self.joined, self.seed = JoinedMatrix(a), seed
+    def __init__(self, a, seed: int):
+        self.source, self.joined, self.seed = a, JoinedMatrix(as_coo(a)), seed
 
     def start(self, block: int) -> None:
         v = _saved(orthonormal(_saved(gaussian_table(self.joined, block, self.seed))))
@@ -280,7 +318,7 @@ class _TableSpace:
 
     def projected(self) -> np.ndarray:
         self.g = products.gram_local(self.both)
-        t = self.g[: self.width, self.width :]
+        t = self.g[: self.width, self.width : 2 * self.width]
         return (t + t.T) / 2
 
     def residuals(self, z, theta) -> np.ndarray:
@@ -330,7 +368,10 @@ class _TableSpace:
         q = _saved(orthonormal(right(self.both, lifted)))
         aq = _saved(self.joined.times(q))
         _, s, wt = np.linalg.svd(tsqr(aq).r, full_matrices=False)
-        return _from_table_basis(self.joined, s, q, wt.T, k)
+        return _from_table_basis(self.source, self.joined, s, q, wt.T, k)
+
+    def release(self) -> None:
+        self.joined.release()
 
 
 def exact_svd(

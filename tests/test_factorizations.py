@@ -180,6 +180,66 @@ def test_svd_properties(make, make_coo, decaying, way):
     assert (v[np.abs(v).argmax(0), np.arange(k)] > 0).all()
 
 
+def test_regimes_agree_on_zero_rows_and_columns(make, make_coo):
+    """Same row sets, values and signs whether the basis is local or a table."""
+    x = low_rank(20, 6, [9, 4, 1])
+    x[4], x[:, 2] = 0, 0
+    found = [
+        svd.direct_svd(make(x), 2),
+        svd.krylov_svd(make(x), 2, basis="local"),
+        svd.krylov_svd(make(x), 2, tol=1e-10, basis="table"),
+        svd.randomized_svd(make(x), 2, 2, 8, basis="local"),
+        svd.randomized_svd(make(x), 2, 2, 8, basis="table"),
+    ]
+    want = found[0].u.to_numpy(), found[0].s, found[0].v.to_numpy()
+    for f in found:
+        assert f.u.count() == 20 and f.v.count() == 6
+        for got, expected in zip((f.u.to_numpy(), f.s, f.v.to_numpy()), want):
+            assert np.allclose(got, expected, atol=1e-6)
+    coo = svd.krylov_svd(make_coo(x), 2, tol=1e-10, basis="table")
+    assert coo.u.count() == 19 and coo.v.count() == 6
+
+
+@pytest.mark.parametrize("basis", ["local", "table"])
+def test_krylov_raises_at_the_cap(make, basis):
+    x = np.random.default_rng(5).normal(size=(90, 60))
+    with pytest.raises(RuntimeError, match="did not converge"):
+        svd.krylov_svd(make(x), 1, restarts=1, basis=basis)
+
+
+def test_start_vectors_do_not_depend_on_the_regime(spark, make_coo):
+    local = svd.gaussian_matrix(spark, 5, 3, 8)
+    assert np.allclose(svd.gaussian_table(joined.JoinedMatrix(make_coo(np.ones((4, 5)))), 3, 8).to_numpy(), local)
+
+
+def test_a_callers_cache_survives(make, decaying):
+    a = make(decaying).keep()
+    a.count()
+    svd.randomized_svd(a, 2, 3, 1)
+    svd.krylov_svd(a, 2)
+    assert a.df.storageLevel.useMemory
+    a.release()
+    assert not a.df.storageLevel.useMemory
+
+
+def test_column_reductions_of_an_empty_matrix(spark):
+    for n in (32, 33):
+        empty = TallMatrix(spark.createDataFrame([], "row_id BIGINT, v ARRAY<DOUBLE>"), n)
+        rows = stats.col_sums(empty).orderBy("col_id").collect()
+        assert [r.col_id for r in rows] == list(range(n)) and all(r.val is None for r in rows)
+
+
+def test_top_columns_of_small_scores(spark):
+    scores = spark.createDataFrame([(i, (i + 1) * 1e-13) for i in range(5)] + [(9, 0.0), (7, 5e-13)], "col_id BIGINT, p DOUBLE")
+    assert [(r.col_id, r.pos) for r in cx.top_columns(scores, 3).orderBy("pos").collect()] == [(4, 0), (7, 1), (3, 2)]
+
+
+def test_unfinished_least_squares_raise(monkeypatch):
+    monkeypatch.setattr(nnls, "solve_nnls", lambda g, b: (np.zeros_like(b), np.zeros(len(b), bool)))
+    with pytest.raises(RuntimeError, match="did not converge"):
+        nnls.solved(np.eye(2), np.ones((1, 2)))
+
+
 def test_krylov_restarts_on_a_flat_spectrum(make):
     x = RNG.normal(size=(80, 40))
     f = svd.krylov_svd(make(x), 2)
