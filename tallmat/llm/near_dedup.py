@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallmat.llm.common import cut_lineage, query, stored, table, texts_of
@@ -198,37 +198,48 @@ def _confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _leaves(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, id) rows of all leaves, and (node, id, parent, pivot) of the nodes that had to be cut into blocks."""
-    active = sketches.select(
-        "id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.get("sig", t * DEPTH)))).alias("tree", "node")
+    """(node, id) rows of all leaves, and (node, id, parent, pivot) of the nodes that had to be cut into blocks.
+
+    The whole path of a document through a tree follows from its sketch. Nodes of the first branching are counted for
+    all documents, those of the others only below nodes that are still large.
+    """
+    names = [f"n{k}" for k in range(1, DEPTH + 1)]
+
+    def path(tree: Column) -> Column:
+        node, nodes = tree, []
+        for k, name in enumerate(names):
+            node = F.xxhash64(node, F.get("sig", tree * DEPTH + k))
+            nodes.append(node.alias(name))
+        return F.struct(*nodes)
+
+    paths = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), path)
+    active = sketches.select("id", F.explode(paths).alias("path")).select("id", "path.*")
+    size = [F.count("*").alias("size"), F.min("id").alias("pivot")]
+    placed = stored(active.join(active.groupBy("n1").agg(*size).where("size > 1"), "n1"), "nodes")
+    large = placed.where(F.col("size") > LEAF)
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.col(name).alias("node")) for k, name in enumerate(names, 1)])
+    below = large.select("id", F.col(names[-1]).alias("last"), F.explode(levels).alias("at")).select("id", "last", "at.*")
+    found = F.struct("level", "node", "size", "pivot")
+    ends = stored(
+        below.join(below.groupBy("node").agg(*size), "node")
+        .groupBy("id", "last")
+        .agg(F.min(F.when(F.col("size") <= LEAF, found)).alias("leaf"), F.max(found).alias("deepest")),
+        "nodes",
     )
-    leaves = []
-    for level in range(1, DEPTH + 1):
-        sizes = cut_lineage(
-            active.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
-        )
-        placed = cut_lineage(active.join(sizes, "node"))
-        leaves.append(placed.where(F.col("size") <= LEAF).select("node", "id"))
-        large = placed.where(F.col("size") > LEAF)
-        if level < DEPTH:
-            coordinate = F.get("sig", F.col("tree") * DEPTH + level)
-            active = large.join(sketches.select("id", "sig"), "id").select(
-                "id", "tree", F.xxhash64("node", coordinate).alias("node")
-            )
+    still = ends.where("leaf IS NULL").select("id", "deepest.*")
     blocks = F.ceil(F.col("size") / LEAF)
-    cut = large.select(
+    cut = still.select(
         "id", "pivot", F.col("node").alias("parent"), F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), blocks)).alias("node")
     )
     first = (
-        large.select("node", "size", "pivot")
+        still.select("node", "size", "pivot")
         .distinct()
         .select(F.col("pivot").alias("id"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.xxhash64("node", k))).alias("node"))
     )
-    leaves += [cut.select("node", "id"), first.select("node", "id")]
-    out = leaves[0]
-    for more in leaves[1:]:
+    out = placed.where(F.col("size") <= LEAF).select(F.col("n1").alias("node"), "id")
+    for more in (ends.where("leaf.size > 1").select("leaf.node", "id"), cut.select("node", "id"), first.select("node", "id")):
         out = out.unionByName(more)
-    return out.distinct(), cut
+    return stored(out.distinct(), "leaves"), cut
 
 
 def _compare(leaves: DataFrame, sketches: DataFrame, labelled: bool) -> DataFrame:
@@ -257,9 +268,9 @@ def _settle_large(edges: DataFrame, leaves: DataFrame, cut: DataFrame, sketches:
     links = _confirmed(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members)
     labels = cut_lineage(components(links))
     inside = members.select("id")
-    known = _relabelled(leaves.join(inside, "id", "left_semi"), labels, "id", "root")
+    known = cut_lineage(_relabelled(leaves.join(inside, "id", "left_semi"), labels, "id", "root"))
     mixed = known.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("node")
-    known = known.join(cut_lineage(mixed), "node", "left_semi").select("node", "id", "root")
+    known = known.join(mixed, "node", "left_semi").select("node", "id", "root")
     # documents of large nodes outside the component of its first document meet every block of the node
     rows = cut_lineage(_relabelled(_relabelled(cut.join(inside, "id", "left_semi"), labels, "id", "root"), labels, "pivot", "top"))
     outside = rows.where("root != top").select("parent", "id", "root").distinct()
@@ -290,7 +301,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
     leaves, cut = _leaves(sketches)
-    leaves, cut = stored(leaves, "leaves"), stored(cut, "blocks")
     edges = stored(
         _compare(leaves, sketches, False).groupBy("a", "b").agg(F.max("agree").alias("agree")), "edges"
     )
