@@ -1,8 +1,9 @@
 """Benchmark decontamination: find copies of test items in documents, edited ones included.
 
-Seeds are 3-word runs of the items. Their occurrences in all documents are counted first, and of the runs that occur
-an item keeps as seeds the rarer half (all up to the median count). Where a seed occurs in a document, the item is aligned with the
-surrounding words by Smith-Waterman; the score is relative to that of a whole exact copy.
+Seeds are 3-word runs of the items, all that occur in any document. Their occurrences are counted first: within a
+document an item is aligned with the words around its rarest seeds first, by Smith-Waterman, and with those around the
+others only where the item's words present there can still reach the limit and the best score so far; no alignment is
+lost by that. The score is relative to that of a whole exact copy.
 
 The items are the query set: they come in blocks of bounded size, each broadcast in turn, and every document meets
 every block. Documents are never shuffled.
@@ -14,7 +15,6 @@ alignment counts, ties going to the first place; empty tables give no rows; extr
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallmat.llm.common import query, table, texts_of
-from tallmat.llm.words import Words, slices, window_starts, windows
+from tallmat.llm.words import Words, ranges, slices, window_starts, windows
 
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -95,21 +95,37 @@ def _count_batches(batches: Iterator, seeds) -> Iterator:
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["place", "n"])
 
 
-def _stretches(starts: np.ndarray, length: int, limit: int) -> list[tuple[int, int]]:
-    """Stretches of text that hold every alignment begun at these diagonals, overlapping ones joined."""
+def _stretches(starts: np.ndarray, counts: np.ndarray, length: int, limit: int) -> list[tuple[int, int, int]]:
+    """Stretches of text that hold every alignment begun at these diagonals, overlapping ones joined: the least count
+    of their seeds, begin and end; rarest first."""
     pad = length // 2 + 2
-    out: list[tuple[int, int]] = []
-    for s in np.unique(starts).tolist():
+    out: list[tuple[int, int, int]] = []
+    order = np.argsort(starts, kind="stable")
+    for s, n in zip(starts[order].tolist(), counts[order].tolist()):
         a, b = max(0, s - pad), min(limit, s + length + pad)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+        if out and a <= out[-1][2]:
+            out[-1] = (min(n, out[-1][0]), out[-1][1], b)
         else:
-            out.append((a, b))
-    return out
+            out.append((n, a, b))
+    return sorted(out)
+
+
+def _best_alignment(item: np.ndarray, own: np.ndarray, stretches: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """Score, start and end of the best alignment in any stretch, the first one among equals; zeros below the limit."""
+    best = (0, 0, 0)
+    for _, a, b in stretches:
+        # each word of the item matches once at most
+        bound = MATCH * int(np.isin(item, own[a:b]).sum())
+        if bound < MIN_SCORE * MATCH * len(item) or bound < best[0]:
+            continue
+        score, begin, end = smith_waterman(item, own[a:b])
+        if score > best[0] or score == best[0] and a + begin < best[1]:
+            best = (score, a + begin, a + end)
+    return best
 
 
 def _align_batches(batches: Iterator, block) -> Iterator:
-    seeds, owner_first, owner_item, owner_at, items = block.value
+    seeds, counts, owner_first, owner_item, runs, items = block.value
     for batch in batches:
         for piece in slices(batch):
             words = Words(piece.column("text"))
@@ -120,23 +136,36 @@ def _align_batches(batches: Iterator, block) -> Iterator:
             hit, place = seeds.find(windows(x, SEED_WORDS)[starts])
             hit = starts[hit]
             text = np.searchsorted(words.first, hit, side="right") - 1
-            diagonals = defaultdict(list)
-            for at, t, p in zip(hit.tolist(), text.tolist(), place.tolist()):
-                for k in range(owner_first[p], owner_first[p + 1]):
-                    diagonals[t, owner_item[k]].append(at - words.first[t] - owner_at[k])
             ids = piece.column("doc_id").to_pylist()
             rows = []
-            for (t, i), found in diagonals.items():
+            cuts = np.flatnonzero(np.diff(text)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(text)]):
+                if lo == hi:
+                    continue
+                t = int(text[lo])
                 own = x[words.first[t] : words.first[t + 1]]
-                item_id, item = items[i]
-                best = (0, 0, 0)
-                for a, b in _stretches(np.array(found), len(item), len(own)):
-                    score, begin, end = smith_waterman(item, own[a:b])
-                    if score > best[0]:
-                        best = (score, a + begin, a + end)
-                share = best[0] / (MATCH * len(item))
-                if share >= MIN_SCORE:
-                    rows.append((ids[t], item_id, share, best[1], best[2]))
+                order = lo + np.argsort(place[lo:hi], kind="stable")
+                at, seed = hit[order] - words.first[t], place[order]
+                known, first = np.unique(seed, return_index=True)
+                first = np.append(first, len(seed))
+                many = owner_first[known + 1] - owner_first[known]
+                near = np.unique(owner_item[np.repeat(owner_first[known], many) + ranges(many)])
+                vocabulary = np.unique(own)
+                for i in near.tolist():
+                    item_id, item = items[i]
+                    found = np.minimum(np.searchsorted(vocabulary, item), len(vocabulary) - 1)
+                    if (vocabulary[found] == item).sum() < MIN_SCORE * len(item):
+                        continue
+                    which = np.minimum(np.searchsorted(known, runs[i]), len(known) - 1)
+                    offset = np.flatnonzero(known[which] == runs[i])
+                    which = which[offset]
+                    n = first[which + 1] - first[which]
+                    diagonals = at[np.repeat(first[which], n) + ranges(n)] - np.repeat(offset, n)
+                    stretches = _stretches(diagonals, np.repeat(counts[known[which]], n), len(item), len(own))
+                    best = _best_alignment(item, own, stretches)
+                    share = best[0] / (MATCH * len(item))
+                    if share >= MIN_SCORE:
+                        rows.append((ids[t], item_id, share, best[1], best[2]))
             if rows:
                 columns = list(zip(*rows))
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
@@ -176,19 +205,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
         total = np.zeros(len(grams), np.int64)
         for r in counted.groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator():
             total[r.place] = r.n
-        item_of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-        at = np.concatenate([np.arange(len(r)) for r in runs])
-        by_item = np.split(total[place], np.cumsum([len(r) for r in runs])[:-1])
-        medians = np.array([np.median(n[n > 0]) if n.any() else 0 for n in by_item])
-        rare = (total[place] > 0) & (total[place] <= medians[item_of])
-        kept, owner = np.unique(place[rare], return_inverse=True)
-        order = np.argsort(owner, kind="stable")
-        first = np.searchsorted(owner[order], np.arange(len(kept) + 1))
+        kept = np.flatnonzero(total)
         if not len(kept):
             continue
-        block = spark.sparkContext.broadcast(
-            (Seeds(grams[kept]), first.tolist(), item_of[rare][order].tolist(), at[rare][order].tolist(), items)
-        )
+        item_of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+        number = np.full(len(grams), -1)
+        number[kept] = np.arange(len(kept))
+        owner = number[place]
+        order = np.argsort(owner, kind="stable")[(owner < 0).sum() :]
+        first = np.searchsorted(owner[order], np.arange(len(kept) + 1))
+        by_item = np.split(owner, np.cumsum([len(r) for r in runs])[:-1])
+        block = spark.sparkContext.broadcast((Seeds(grams[kept]), total[kept], first, item_of[order], by_item, items))
         aligned = texts.mapInArrow(
             lambda b, block=block: _align_batches(b, block), "doc_id LONG, item_id LONG, score DOUBLE, start INT, end INT"
         )

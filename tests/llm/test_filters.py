@@ -111,6 +111,20 @@ def test_decontamination(spark, empty):
     assert sorted(r.doc_id for r in decontaminate.clean(frame, bench).collect()) == [*range(20, 60), 100, 101]
 
 
+def test_frequent_seeds_still_find_their_documents(spark):
+    """Many documents hold the same edited copy, one holds the exact copy: the rarer runs are those of the exact one."""
+    rng = random.Random(12)
+    item = [f"i{k}" for k in range(40)]
+    edited = [f"e{k}" if k % 4 == 3 else w for k, w in enumerate(item)]
+    docs = [(k, f"{sentence(rng, 30)} {' '.join(edited)} {sentence(rng, 30)}") for k in range(60)]
+    docs += [(60, " ".join(item)), (61, sentence(rng, 80))]
+    frame = spark.createDataFrame(docs, "doc_id LONG, text STRING").repartition(3)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id LONG, text STRING")
+    found = {r.doc_id: (r.start, r.end) for r in decontaminate.contaminated(frame, bench).collect()}
+    assert found == {**{k: (30, 69) for k in range(60)}, 60: (0, 40)}
+    assert [r.doc_id for r in decontaminate.clean(frame, bench).collect()] == [61]
+
+
 def spans_by_hand(t):
     t = t or ""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
