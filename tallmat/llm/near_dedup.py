@@ -8,9 +8,12 @@ probability 0.8, so with ten trees it meets in at least one leaf with probabilit
 depth two and 0.9988 at depth three; closer pairs and groups meet more often.
 
 Nodes that are still large after `DEPTH` branchings hold documents much alike. They are cut into random blocks, other
-ones in each tree, and each block also gets the node's first document. A document of such a node that ends up in
-another component than that first document is then compared with every block of the node, so no pair of a large node
-goes without comparison unless both are already in the component of its first document.
+ones in each tree, and each block also gets the node's first document. Documents of such a node that end up in another
+component than that first document, or in none, are then compared exactly with all others of the node, block against
+block: a task holds two blocks of at most about `BLOCK` documents, whose sizes allow a similarity of 0.8, and gives
+edges between components alone. So no pair of a large node goes without comparison unless both are already in the
+component of its first document. What this costs grows with the square of the unresolved documents of a node, in tasks
+of bounded size.
 
 Leaves compare 60 one-byte minwise sketches and give a spanning forest of the candidates, never all pairs. Components of
 these candidates that are small are settled exactly in one task with the full sets of their members. In large ones,
@@ -43,6 +46,10 @@ PERCENT = 80
 MIN_AGREE = 36
 # Candidate components up to this size are settled in one task.
 SMALL = 64
+# Documents of a block of a large node; two blocks meet in one task.
+BLOCK = 512
+# Shingles (columns) of the products that give the intersections of two blocks.
+_WIDTH = 1 << 13
 
 _COORDS = 60
 _RANDOM = np.random.default_rng(11).integers(0, 1 << 63, (2, _COORDS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -259,7 +266,7 @@ def _relabelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> D
     return rows.join(labels, column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
 
 
-def _settle_large(edges: DataFrame, leaves: DataFrame, cut: DataFrame, sketches: DataFrame, members: DataFrame) -> DataFrame:
+def _settle_large(edges: DataFrame, leaves: DataFrame, sketches: DataFrame, members: DataFrame) -> DataFrame:
     """Confirmed components of the candidate components that are too large for one task."""
     ends = edges.select("a", "b", "agree").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     strongest = ends.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("minus"))).alias("s"))
@@ -271,17 +278,76 @@ def _settle_large(edges: DataFrame, leaves: DataFrame, cut: DataFrame, sketches:
     known = cut_lineage(_relabelled(leaves.join(inside, "id", "left_semi"), labels, "id", "root"))
     mixed = known.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("node")
     known = known.join(mixed, "node", "left_semi").select("node", "id", "root")
-    # documents of large nodes outside the component of its first document meet every block of the node
-    rows = cut_lineage(_relabelled(_relabelled(cut.join(inside, "id", "left_semi"), labels, "id", "root"), labels, "pivot", "top"))
-    outside = rows.where("root != top").select("parent", "id", "root").distinct()
-    blocks = rows.select("parent", "node").distinct()
-    strangers = outside.join(blocks, "parent").select("node", "id", "root")
-    concerned = rows.join(outside.select("parent").distinct(), "parent", "left_semi").select("node", "id", "root")
-    again = known.unionByName(strangers).unionByName(concerned).distinct()
-    pairs = _compare(again, sketches, True).select("a", "b").distinct()
+    pairs = _compare(known, sketches, True).select("a", "b").distinct()
     return components(links.unionByName(_confirmed(pairs, members)))
 
 
+def _rest_batches(batches: Iterator) -> Iterator:
+    """Edges between the components of the documents of two blocks, from the exact intersections of all pairs."""
+    for group in _groups(batches, "task"):
+        ids, roots = group.column("id").to_numpy(), group.column("root").to_numpy()
+        values, sizes = shingle_sets(group.column("text").combine_chunks())
+        row = np.repeat(np.arange(len(ids)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, row = values[order], row[order]
+        begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        times = np.diff(np.append(begins, len(values)))
+        # shingles of a single document are in no intersection
+        common = np.repeat(times >= 2, times)
+        row, column = row[common], np.repeat(np.arange((times >= 2).sum()), times[times >= 2])
+        shared = np.zeros((len(ids), len(ids)), np.float32)
+        edges = np.searchsorted(column, np.arange(0, (times >= 2).sum() + _WIDTH, _WIDTH))
+        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            if a < b:
+                part = np.zeros((len(ids), _WIDTH), np.float32)
+                part[row[a:b], column[a:b] - k * _WIDTH] = 1
+                shared += part @ part.T
+        both = sizes[:, None] + sizes[None, :]
+        i, j = np.nonzero(np.triu((shared > 0) & (100 * shared >= PERCENT * (both - shared)), 1))
+        apart = roots[i] != roots[j]
+        i, j = i[apart], j[apart]
+        _, label = np.unique(roots, return_inverse=True)
+        union = _Union(int(label.max()) + 1)
+        found = [(int(ids[p]), int(ids[q])) for p, q in zip(i.tolist(), j.tolist()) if union.join(int(label[p]), int(label[q]))]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+
+def _tasks(cut: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(task, id, root): pairs of blocks of large nodes, where not both are in the component of the first document.
+
+    A cell is the documents of a node whose sizes lie within a quarter, inside that component or outside; each is cut
+    into blocks. Blocks of the same or the next size meet unless both are inside.
+    """
+    rows = _relabelled(_relabelled(cut.select("parent", "id", "pivot"), labels, "id", "root"), labels, "pivot", "top")
+    rows = rows.select("parent", "id", "root", (F.col("root") != F.col("top")).alias("out"))
+    rows = rows.join(sketches.groupBy("id").agg(F.collect_set("n").alias("ns")), "id")
+    # versions under one number may lie in several cells
+    band = F.floor(F.log("n") / float(np.log(100 / PERCENT)) + F.lit(1e-9))
+    rows = rows.withColumn("n", F.explode("ns")).select("parent", "id", "root", "out", band.alias("band")).distinct()
+    rows = stored(rows, "rest")
+    counted = rows.groupBy("parent", "band", "out").agg(F.count("*").alias("size"))
+    cells = cut_lineage(counted.select("parent", "band", "out", F.ceil(F.col("size") / BLOCK).alias("blocks")))
+    other = cells.select("parent", F.col("band").alias("band2"), F.col("out").alias("out2"), F.col("blocks").alias("blocks2"))
+    meets = cells.join(other, "parent").where("(out OR out2) AND abs(band - band2) <= 1")
+    dealt = rows.join(meets, ["parent", "band", "out"]).withColumn("block", F.pmod(F.xxhash64("id", "parent"), "blocks"))
+    dealt = dealt.withColumn("block2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks2") - 1)))
+    mine = F.struct("band", "out", "block")
+    yours = F.struct(F.col("band2").alias("band"), F.col("out2").alias("out"), F.col("block2").alias("block"))
+    task = F.xxhash64("parent", F.least(mine, yours), F.greatest(mine, yours))
+    return dealt.select(task.alias("task"), "id", "root").distinct()
+
+
+def _rest(cut: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed edges (a, b) between documents of large nodes, the component of the first document apart."""
+    return cut_lineage(
+        _tasks(cut, labels, sketches).join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+        .repartition("task")
+        .sortWithinPartitions("task", "id")
+        .mapInArrow(_rest_batches, "a LONG, b LONG")
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept), one row per document row."""
     texts = texts_of(docs)
@@ -321,8 +387,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = small
     if not large.isEmpty():
         big_edges = edges.join(large.select(F.col("id").alias("a")), "a", "left_semi")
-        linked = small.unionByName(_settle_large(big_edges, leaves, cut, sketches, large))
+        linked = small.unionByName(_settle_large(big_edges, leaves, sketches, large))
     linked = stored(linked.groupBy("id").agg(F.min("root").alias("root")), "components")
+    if not large.isEmpty():
+        more = _rest(cut.join(large.select("id"), "id", "left_semi"), linked, sketches, texts)
+        if not more.isEmpty():
+            linked = components(linked.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     by_class = cut_lineage(_relabelled(classes, linked, "class_id", "component_id"))
     return (
         sketched.select("doc_id", "n", "k1", "k2")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from conftest import sentence, words_of
 
@@ -100,6 +101,45 @@ def test_near_dedup(sample, sample_rows, monkeypatch, small, leaf):
     assert got == components_by_hand(rows)
 
 
+def test_exact_blocks(monkeypatch):
+    """Two blocks in one task: forest of the exact edges, over several chunks of columns, empty and equal ids included."""
+    monkeypatch.setattr(near_dedup, "_WIDTH", 7)
+    rows = groups(random.Random(9))[::3] + [(7, ""), (7, None), (8, "one")]
+    rows.sort(key=lambda r: r[0])
+    batch = pa.RecordBatch.from_pydict({"task": [1] * len(rows), "id": [r[0] for r in rows], "root": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    up = {i: i for i, _ in rows}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for out in near_dedup._rest_batches(iter([batch])):
+        for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist()):
+            p, q = find(a), find(b)
+            assert p != q
+            up[max(p, q)] = min(p, q)
+    assert {(i, find(i)) for i in up} == {(i, c) for i, _, c, _ in components_by_hand(rows)}
+
+
+def test_tasks_hold_two_blocks(spark, monkeypatch):
+    """A node of a template's pages, none confirmed with another: all pairs of like sizes meet, in bounded tasks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    n = 400
+    cut = spark.createDataFrame([(5, i, 0) for i in range(n)], "parent LONG, id LONG, pivot LONG")
+    labels = spark.createDataFrame([(i, 0) for i in range(50)], "id LONG, root LONG")
+    sketches = spark.createDataFrame([(i, 100 + 100 * (i % 3 == 1) + 20 * (i % 3 == 2)) for i in range(n)], "id LONG, n LONG")
+    tasks = {}
+    for r in near_dedup._tasks(cut, labels, sketches).collect():
+        tasks.setdefault(r.task, set()).add(r.id)
+    assert max(map(len, tasks.values())) <= 4 * near_dedup.BLOCK
+    met = {(p, q) for ids in tasks.values() for p in ids for q in ids}
+    size = {i: 100 + 100 * (i % 3 == 1) + 20 * (i % 3 == 2) for i in range(n)}
+    for p in range(n):
+        for q in range(max(p + 1, 50), n):
+            assert (p, q) in met or 100 * min(size[p], size[q]) < 80 * max(size[p], size[q])
+
+
 def test_near_dedup_odd_tables(odd, empty):
     assert near_duplicates(empty).count() == 0
     found = {r.doc_id: r for r in near_duplicates(odd).collect()}
