@@ -389,8 +389,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         big_edges = edges.join(large.select(F.col("id").alias("a")), "a", "left_semi")
         linked = small.unionByName(_settle_large(big_edges, leaves, sketches, large))
     linked = stored(linked.groupBy("id").agg(F.min("root").alias("root")), "components")
-    if not large.isEmpty():
-        more = _rest(cut.join(large.select("id"), "id", "left_semi"), linked, sketches, texts)
+    if not cut.isEmpty():
+        more = _rest(cut, linked, sketches, texts)
         if not more.isEmpty():
             linked = components(linked.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     by_class = cut_lineage(_relabelled(classes, linked, "class_id", "component_id"))

@@ -101,6 +101,19 @@ def test_near_dedup(sample, sample_rows, monkeypatch, small, leaf):
     assert got == components_by_hand(rows)
 
 
+def test_near_dedup_pairs_without_candidates_in_large_nodes(spark, monkeypatch):
+    """Near duplicates of one large node that lie in different blocks, where no block has a candidate."""
+    rng = random.Random(21)
+    rows = [(k, sentence(rng, 120, 5000)) for k in range(5)]
+    rows.append((5, rows[2][1] + " more"))
+    leaves = spark.createDataFrame([(1 + (i > 2), i) for i in range(6)], "node LONG, id LONG")
+    cut = spark.createDataFrame([(i, 0, 9, 1 + (i > 2)) for i in range(6)], "id LONG, pivot LONG, parent LONG, node LONG")
+    monkeypatch.setattr(near_dedup, "_leaves", lambda sketches: (leaves, cut))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert got == components_by_hand(rows)
+
+
 def test_exact_blocks(monkeypatch):
     """Two blocks in one task: forest of the exact edges, over several chunks of columns, empty and equal ids included."""
     monkeypatch.setattr(near_dedup, "_WIDTH", 7)
