@@ -5,19 +5,23 @@ language: the share of each character class and of each common word among all ch
 marked with that language. A document goes when its Jensen-Shannon distance from the nearest reference exceeds a limit,
 and only when it is long enough for its histogram to mean something.
 
+Documents of the languages of `LANGUAGES` are compared with these. Any other language found in `lang` gets a reference
+of its own, with the most frequent words of all its documents in place of the fixed list; its documents are compared
+with that one as well. The SQL counterpart describes tables that hold the languages of `LANGUAGES` alone.
+
 Everything is a DataFrame expression. One pass computes the counts of every document and stores them; the references
-are sums over that table, one row per language of `LANGUAGES`.
+are sums over that table, one row per language. Those of other languages stay a table and are joined.
 
-Defined cases: a NULL or empty text has no words and fails the rules; a NULL or unknown language only keeps a document
-out of the references; with no reference at all (empty table, unknown languages) the rules alone decide; repeated rows
-are judged alike; extra columns are ignored.
+Defined cases: a NULL or empty text has no words and fails the rules; for a document without a language, or whose other
+language has no reference, and with no reference at all (empty table), the rules alone decide; repeated rows are judged
+alike; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallmat.llm.common import query, stored, table
@@ -45,6 +49,9 @@ MAX_CHAR_DISTANCE = 0.25
 MIN_CHARS = 200
 MAX_WORD_DISTANCE = 0.31
 MIN_COMMON_WORDS = 80
+# Common words of a language outside LANGUAGES: so many, each at least one in so many of all its words.
+OWN_WORDS = 10
+OWN_ONE_IN = 1000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -92,12 +99,35 @@ def _dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+def _other(lang: Column) -> Column:
+    return ~lang.isin(list(LANGUAGES))
+
+
+def _own_words(base: DataFrame) -> DataFrame:
+    """(lang, own_words): the most frequent words of every language outside `LANGUAGES`."""
+    words = base.where(_other(F.col("lang"))).select("lang", F.explode("words").alias("word"))
+    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    # at most OWN_ONE_IN words of a language are left for the window
+    frequent = counted.join(total, "lang").where(OWN_ONE_IN * F.col("n") >= F.col("total"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    first = frequent.withColumn("rank", rank).where(F.col("rank") <= OWN_WORDS)
+    return first.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("own_words"))
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, lang, a hash of the text, the counts of the rules, `chars` by class and `common` by word."""
+    """Per row: doc_id, lang, a hash of the text, the counts of the rules, `chars` by class and `common` by word.
+
+    Where the table holds languages outside `LANGUAGES`, also `own`: counts of the common words of that language.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     base = base.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
 
+    others = not docs.where(_other(F.col("lang").cast("string"))).isEmpty()
+    if others:
+        base = base.join(_own_words(base), "lang", "left")
+
     def histogram(found: Column) -> Column:
         return F.array(*[F.size(found) - F.size(F.array_remove(found, w)) for w in COMMON])
 
@@ -115,6 +145,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.length("text").cast("long").alias("n_chars"),
         F.array(spaces, *inside).alias("chars"),
         let(F.filter("words", lambda w: w.isin(COMMON)), histogram).alias("common"),
+        *[F.transform("own_words", lambda o: F.size("words") - F.size(F.array_remove("words", o))).alias("own")] * others,
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counts.withColumn("base_failed", failed)
@@ -145,7 +176,22 @@ def references(counts: DataFrame) -> list[tuple[list[float], list[float]]]:
     return found
 
 
-def js_distance(counts: Column, total: Column, rest: bool, reference: list[float]) -> Column:
+def _own_references(counts: DataFrame) -> DataFrame:
+    """(lang, own_chars, own_common): shares of every language outside `LANGUAGES`."""
+
+    def shares(column: str, size: int, total: str) -> Column:
+        sums = F.filter(F.array(*[F.sum(F.get(column, F.lit(i))) for i in range(size)]), lambda x: x.isNotNull())
+        every = F.sum(total)
+        rest = let(sums, lambda x: F.concat(x, F.array(every - F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v))))
+        return F.transform(rest, lambda x: x / every)
+
+    accepted = counts.where(_other(F.col("lang")) & ~F.col("base_failed"))
+    return accepted.groupBy("lang").agg(
+        shares("chars", len(CLASSES) + 1, "n_chars").alias("own_chars"), shares("own", OWN_WORDS, "n_words").alias("own_common")
+    )
+
+
+def js_distance(counts: Column, total: Column, rest: bool, reference: list[float] | Column) -> Column:
     """Jensen-Shannon distance of a histogram from a reference; `rest` adds the class of what is not counted."""
 
     def part(p: Column, q: Column) -> Column:
@@ -157,7 +203,9 @@ def js_distance(counts: Column, total: Column, rest: bool, reference: list[float
     if rest:
         shares = let(shares, lambda s: F.concat(s, F.array(1.0 - F.aggregate(s, F.lit(0.0), lambda a, x: a + x))))
     shares = F.transform(shares, lambda s: F.greatest(s, F.lit(0.0)))
-    parts = F.zip_with(shares, F.array(*[F.lit(float(q)) for q in reference]), part)
+    if not isinstance(reference, Column):
+        reference = F.array(*[F.lit(float(q)) for q in reference])
+    parts = F.zip_with(shares, reference, part)
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
 
 
@@ -165,14 +213,20 @@ def judged(counts: DataFrame) -> DataFrame:
     """Adds char_distance, word_distance (NULL where the document is too short) and kept."""
     found = references(counts)
 
-    def nearest(which: int, column: str, total: str, long_enough: Column) -> Column:
-        distances = [js_distance(F.col(column), F.col(total), True, r[which]) for r in found]
-        if not distances:
-            return F.lit(None).cast("double")
-        return F.when(long_enough, F.array_min(F.array(*distances)))
+    others = "own" in counts.columns
+    out = counts.join(_own_references(counts), "lang", "left") if others else counts
 
-    out = counts.withColumn("char_distance", nearest(0, "chars", "n_chars", F.col("n_chars") >= MIN_CHARS))
-    out = out.withColumn("word_distance", nearest(1, "common", "n_words", F.col("n_words") >= MIN_COMMON_WORDS))
+    def nearest(which: int, column: str, total: str, long_enough: Column, own: str) -> Column:
+        distances = [js_distance(F.col(column), F.col(total), True, r[which]) for r in found]
+        least = F.array_min(F.array(*distances)) if distances else F.lit(None).cast("double")
+        if others:
+            mine = js_distance(F.col(own), F.col(total), True, F.col(f"own_{column}"))
+            least = F.when(_other(F.col("lang")), F.when(mine.isNotNull(), F.least(mine, least))).otherwise(least)
+        return F.when(long_enough & F.col("lang").isNotNull(), least)
+
+    out = out.withColumn("char_distance", nearest(0, "chars", "n_chars", F.col("n_chars") >= MIN_CHARS, "chars"))
+    out = out.withColumn("word_distance", nearest(1, "common", "n_words", F.col("n_words") >= MIN_COMMON_WORDS, "own"))
+    out = out.drop("own_chars", "own_common")
     close = (F.coalesce(F.col("char_distance"), F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (
         F.coalesce(F.col("word_distance"), F.lit(0.0)) <= MAX_WORD_DISTANCE
     )

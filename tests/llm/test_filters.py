@@ -54,6 +54,27 @@ def test_quality_rules_odd_tables(odd, empty):
     assert kept.count() == sum(verdict[r.doc_id, r.h] for r in odd.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect())
 
 
+def test_quality_rules_keep_other_languages(spark):
+    """Clean text of a language without a fixed list stays, with or without a mark of the language; junk among it goes."""
+    rng = random.Random(4)
+    russian = ["и", "в", "не", "на", "что", "с", "как", "это", "по", "но"]
+    greek = ["και", "το", "να", "του", "η", "της", "με", "που"]
+    given = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+
+    def text(common, letters):
+        word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+        return " ".join(rng.choice(common) if rng.random() < 0.3 else word() for _ in range(200)) + "."
+
+    rows = [(10**6 + k, text(russian, "абвгдежзиклмнопрстуя"), "ru") for k in range(20)]
+    rows += [(2 * 10**6 + k, text(greek, "αβγδεζηθικλμνξοπρστυω"), "el" if k % 2 else None) for k in range(20)]
+    rows += [(3 * 10**6, " ".join(f"#{rng.randrange(10**9)}$" for _ in range(200)), "ru")]
+    frame = spark.createDataFrame(given + rows, "doc_id LONG, text STRING, lang STRING")
+    kept = {r.doc_id: r.kept for r in quality_rules.quality(frame).collect()}
+    assert all(kept[i] for i, _, _ in rows[:-1]) and not kept[3 * 10**6]
+    alone = {r.doc_id: r.kept for r in quality_rules.quality(spark.createDataFrame(given, "doc_id LONG, text STRING, lang STRING")).collect()}
+    assert all(kept[i] == alone[i] for i in alone)
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([([3, 1], 8), ([0, 0], 5), ([2, 2], 4)], "c ARRAY<INT>, n INT")
     reference = [0.25, 0.25, 0.5]
