@@ -44,14 +44,3 @@ def make_coo(spark):
         return CooMatrix(df, x.shape[1])
 
     return build
-
-
-def dense(a, shape):
-    """A (row_id, v) or (row_id, col_id, val) matrix as numpy, absent entries 0."""
-    import numpy as np
-
-    df = a.entries() if hasattr(a, "entries") else a.df
-    x = np.zeros(shape)
-    for r in df.collect():
-        x[r.row_id, r.col_id] = r.val
-    return x

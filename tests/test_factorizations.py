@@ -3,7 +3,7 @@ import itertools
 
 import numpy as np
 import pytest
-from conftest import dense
+from plain_matrices import dense
 from pyspark.sql import functions as F
 
 from tallmat import TallMatrix, cx_scores, nmf, pca

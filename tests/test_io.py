@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import dense
+from plain_matrices import dense
 
 from tallmat import PcaModel, pca
 from tallmat.sources import index, readers, sinks

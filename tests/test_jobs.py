@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import dense
+from plain_matrices import dense
 
 from tallmat import PcaModel
 from tallmat.__main__ import main
