@@ -1,22 +1,7 @@
 import random
-import string
 
 import pytest
-
-DATA = "/root/testdata/sf0.001"
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-
-
-def words_of(text, lower=False):
-    """Words by the plainest means."""
-    import re
-
-    text = text or ""
-    return re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER) if lower else text)
-
-
-def sentence(rng, n, vocabulary=400):
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+from plain_texts import DATA, sentence
 
 
 @pytest.fixture(scope="session")

@@ -5,7 +5,7 @@ import random
 
 import pyarrow as pa
 import pytest
-from conftest import sentence, words_of
+from plain_texts import sentence, words_of
 
 from tallmat.llm import near_dedup
 from tallmat.llm.graph import components

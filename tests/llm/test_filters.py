@@ -5,7 +5,7 @@ import re
 
 import duckdb
 import numpy as np
-from conftest import DATA, sentence, words_of
+from plain_texts import DATA, sentence, words_of
 from pyspark.sql import functions as F
 
 from tallmat.llm import decontaminate, pii, quality_rules

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import words_of
+from plain_texts import words_of
 
 from tallmat.llm import language_model, ranking, toxicity
 from tallmat.llm.catalog import QUERIES

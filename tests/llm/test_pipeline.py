@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from conftest import DATA, words_of
+from plain_texts import DATA, words_of
 
 import __spark_entry__ as driver
 from tallmat.llm import near_dedup, quality_rules

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import words_of  # noqa: F401  (found beside this file)
+from plain_texts import words_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
