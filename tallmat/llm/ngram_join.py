@@ -15,7 +15,7 @@ n - t + l shingles. So a set whose prefix has fewer than l shingles in common wi
    this joins groups of copies in rows that grow with the postings. Candidates are then looked for between different
    components only, so no group is ever expanded into all its pairs, yet no link between components is missed.
    Two sets with many shingles of their own can't be similar: u_r + n_r of their union is private to r or in s, which
-   gives 100 (n_r - u_r) >= 85 (n_r + u_s), and pairs that fail this are no candidates. A set of a group of texts that share a
+   gives 100 (n_r - u_r) >= 85 (n_r + u_s), and pairs that fail this are no candidates; nor are those whose parity signatures differ in too many bits. A set of a group of texts that share a
    template but not enough of it so finds no partner, without its pairs being looked at one by one.
 
 Hot postings are salted: one side is dealt over blocks, the other copied to each; confirmation salts frequent partners.
@@ -42,6 +42,11 @@ WIDTH = 4
 PERCENT = 85
 # Rows of one posting (or partners of one set) that meet in a task.
 BLOCK = 2048
+# Reading a posting costs about as much as this many steps of comparing two sets.
+READ = 3
+# 64-bit words of a parity signature: each shingle flips one bit, so as many bits as two signatures differ in, as many
+# shingles at least are in one set only.
+PARITY = 8
 # Another round of stars follows one in which more than one pair in GAIN was a link.
 GAIN = 5
 
@@ -76,6 +81,15 @@ def class_ids(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return as_long(out)
 
 
+def parities(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """PARITY words per set, one set after the other: the exclusive or of one bit per shingle."""
+    out = np.zeros(len(sizes) * PARITY, np.uint64)
+    place = mix(values ^ np.uint64(0x1234567)) % np.uint64(64 * PARITY)
+    at = np.repeat(np.arange(len(sizes)) * PARITY, sizes) + (place >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, at, np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
 def required(n, percent: int):
     """The least intersection of a set of size n with any similar set."""
     return -(-(n * percent) // 100)
@@ -149,7 +163,7 @@ def choose_matches(frequency: np.ndarray, n: int, u: int, percent: int) -> int:
     reads = np.concatenate([[0], np.cumsum(frequency - 1)])
     matches = np.arange(1, most + 1)
     postings = reads[np.clip(base + matches, 0, len(frequency))]
-    return int(matches[np.argmin(postings + n * (postings / matches))])
+    return int(matches[np.argmin(READ * postings + n * (postings / matches))])
 
 
 def _posting_batches(batches: Iterator, percent: int) -> Iterator:
@@ -235,13 +249,19 @@ def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return top.select(F.col("id").alias("a"), (-F.col("t.minus")).alias("b"))
 
 
+def _parity_fits(percent: int) -> Column:
+    """At most as many shingles lie in one of the two sets only as the similarity allows."""
+    bits = sum((F.bit_count(F.col("r.parity")[k].bitwiseXOR(F.col("s.parity")[k])) for k in range(PARITY)), F.lit(0))
+    return (100 + percent) * bits <= (100 - percent) * (F.col("r.n") + F.col("s.n"))
+
+
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share at least the smaller l of their prefixes."""
+    """Pairs of different components that share at least the smaller l of their prefixes; rows have parities, too."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    here = F.struct("id", "n", "u", "l", "root")
+    here = F.struct("id", "n", "u", "l", "root", "parity")
     left = rows.select("h", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), here.alias("r"))
     right = rows.select("h", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), here.alias("s"))
-    met = left.join(right, ["h", "block"]).where((F.col("r.id") < F.col("s.id")) & (F.col("r.root") != F.col("s.root")) & _fits("r", "s", percent))
+    met = left.join(right, ["h", "block"]).where((F.col("r.id") < F.col("s.id")) & (F.col("r.root") != F.col("s.root")) & _fits("r", "s", percent) & _parity_fits(percent))
     counted = met.groupBy(F.col("r.id").alias("a"), F.col("s.id").alias("b")).agg(
         F.count("*").alias("times"), F.min(F.least("r.l", "s.l")).alias("least")
     )
@@ -249,7 +269,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id, root) of the sets of texts(id, n, text) that have a link."""
+    """(id, root) of the sets of texts(id, n, text, parity) that have a link."""
     rows = postings(texts, width, percent)
     labels, links, gain = None, None, True
     while gain:
@@ -261,7 +281,8 @@ def linked(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         if n_more:
             links = more if links is None else links.unionByName(more)
             labels = cut_lineage(components(links))
-    rest = cut_lineage(candidates(cut_lineage(_mixed(_labelled(rows, labels))), percent))
+    mixed = cut_lineage(_mixed(_labelled(rows, labels)).join(texts.select("id", "parity"), "id"))
+    rest = cut_lineage(candidates(mixed, percent))
     more = confirmed(rest, texts, width, percent)
     return components(more if links is None else links.unionByName(more))
 
@@ -271,8 +292,10 @@ def _own_batches(batches: Iterator, width: int) -> Iterator:
     for batch in batches:
         for part in slices(batch):
             values, sizes = shingle_sets(part.column("text"), width)
-            own = class_ids(values, sizes) == part.column("id").to_numpy()
-            yield part.select(["id", "n", "text"]).filter(pa.array(own))
+            own = pa.array(class_ids(values, sizes) == part.column("id").to_numpy())
+            parity = lists(as_long(parities(values, sizes)), np.full(len(sizes), PARITY), pa.int64())
+            columns = [part.column("id"), part.column("n"), part.column("text"), parity]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "text", "parity"]).filter(own)
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -289,7 +312,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     alive = stored(survivors(classes, percent), "survivors")
     # versions of one document differ in their number of shingles or in their class; the class is found again by its set
     chosen = texts.join(alive, "doc_id")
-    chosen = stored(chosen.mapInArrow(lambda batches: _own_batches(batches, width), "id LONG, n LONG, text STRING").dropDuplicates(["id"]), "texts")
+    chosen = stored(chosen.mapInArrow(lambda batches: _own_batches(batches, width), "id LONG, n LONG, text STRING, parity ARRAY<LONG>").dropDuplicates(["id"]), "texts")
     found = linked(chosen, width, percent)
     # versions of a document join its classes
     several = full.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("y")).where("b < y").select("doc_id", "b")

@@ -95,6 +95,16 @@ def test_prefixes_hold_all_similar_pairs():
         assert len(np.intersect1d(*prefixes)) >= min(chosen)
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        r, s = (np.unique(rng.integers(0, 900, int(rng.integers(1, 400)))).astype(np.uint64) for _ in range(2))
+        found = ngram_join.parities(np.concatenate([r, s]), np.array([len(r), len(s)])).reshape(2, -1)
+        bits = sum(int(x).bit_count() for x in found[0] ^ found[1])
+        apart = len(np.setxor1d(r, s))
+        assert bits <= apart and (apart - bits) % 2 == 0
+
+
 def test_matches_follow_the_cost():
     rare, common = np.full(90, 2), np.full(90, 1000)
     assert choose_matches(common, 100, 10, 85) > 1
@@ -113,8 +123,8 @@ def test_texts_of_a_template_are_no_candidates(spark):
             words[i] = f"own{k}x{i}"
         rows.append((k, " ".join(words)))
     docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id LONG, text STRING")
-    texts = docs.selectExpr("doc_id AS id", "CAST(147 AS LONG) AS n", "text")
-    mixed = ngram_join._mixed(ngram_join._labelled(ngram_join.postings(texts, 4, 85), None))
+    texts = docs.selectExpr("doc_id AS id", "CAST(147 AS LONG) AS n", "text", f"array_repeat(0L, {ngram_join.PARITY}) AS parity")
+    mixed = ngram_join._mixed(ngram_join._labelled(ngram_join.postings(texts, 4, 85), None)).join(texts.select("id", "parity"), "id")
     assert ngram_join.candidates(mixed, 85).count() == 0
     assert found(docs) == by_hand(rows, 4, 85)
 
