@@ -37,8 +37,8 @@ from tallmat.llm.words import lists, ranges, slices
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
 # Bytes of text encoded at once, and tokens of both kinds in a slice; one longer text makes a slice of its own.
-SLICE_TEXT = 4 << 20
-SLICE_TOKENS = 1 << 21
+SLICE_TEXT = 1 << 20
+SLICE_TOKENS = 1 << 20
 
 ALIGNED = "doc_id LONG, a ARRAY<INT>, b ARRAY<INT>, group_a ARRAY<INT>, group_b ARRAY<INT>"
 
@@ -244,11 +244,18 @@ def _pack_batches(batches: Iterator, path_a: str, path_b: str) -> Iterator:
             yield pa.RecordBatch.from_arrays(columns, names=list(row))
 
 
-def pack_links(aligned: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
-    """Slices of documents with their links, stored: distinct pairs (A id x size of B + B id), their number in the slice, and
-    every link as the place of its pair."""
+def pack_links(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
+    """Slices of the aligned documents with their links, stored; a text is encoded, aligned and packed in one task.
+
+    A row has its documents' counts and digests, its distinct pairs (A id x size of B + B id) with their number, and every link as
+    the place of its pair.
+    """
     path_a, path_b = path_a or tokenizer_path(TOKENIZER_A), path_b or tokenizer_path(TOKENIZER_B)
-    return stored(aligned.mapInArrow(lambda batches: _pack_batches(batches, path_a, path_b), SLICES), "links")
+
+    def run(batches):
+        return _pack_batches(_align_batches(batches, path_a, path_b), path_a, path_b)
+
+    return stored(texts_of(docs).mapInArrow(run, SLICES), "links")
 
 
 def pair_counts(packed: DataFrame, size_b: int) -> DataFrame:
@@ -292,6 +299,6 @@ def link_statistics(packed: DataFrame, counts: DataFrame) -> DataFrame:
 
 @query("op13_cross_tokenizer_alignment")
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_links(align(table(spark, sf_dir, "documents")))
+    packed = pack_links(table(spark, sf_dir, "documents"))
     size_b = len(piece_tokens(piece_model(tokenizer_path(TOKENIZER_B))))
     return link_statistics(packed, pair_counts(packed, size_b))

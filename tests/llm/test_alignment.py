@@ -69,7 +69,7 @@ def by_hand(rows):
 
 
 def statistics(docs):
-    packed = alignment.pack_links(alignment.align(docs))
+    packed = alignment.pack_links(docs)
     size_b = len(alignment.piece_tokens(alignment.piece_model(tokenizer_path(alignment.TOKENIZER_B))))
     counts = alignment.pair_counts(packed, size_b)
     return sorted(tuple(r[c] for c in COLUMNS) for r in alignment.link_statistics(packed, counts).collect())
