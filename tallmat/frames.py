@@ -297,6 +297,10 @@ class CooMatrix:
         """As TallMatrix.blocks: rows made dense inside the task, a bounded block at a time."""
         return self.sparse_rows(), _sparse_blocks(self.n_cols)
 
+    def squared_norm(self) -> DataFrame:
+        """One record `val`: the sum of squares."""
+        return self.df.agg(F.sum(F.col("val") * F.col("val")).alias("val"))
+
     def row_slice(self, start: int, stop: int) -> CooMatrix:
         inside = (F.col("row_id") >= start) & (F.col("row_id") < stop)
         return CooMatrix(self.df.where(inside), self.n_cols, canonical=True)

@@ -49,6 +49,25 @@ def scatter_blocks(batch, n: int):
         yield piece.column("row_id"), x
 
 
+def row_sums(rows, cols, vals, rhs, n_rows: int) -> np.ndarray:
+    """Sparse block times rhs, column by column to keep the temporaries small."""
+    y = np.empty((n_rows, rhs.shape[1]))
+    for j in range(rhs.shape[1]):
+        y[:, j] = np.bincount(rows, vals * rhs[cols, j], minlength=n_rows)
+    return y
+
+
+def add_outer(acc: np.ndarray, rows, cols, vals, y: np.ndarray) -> None:
+    """Add the transposed sparse block times y to acc, touching only the columns that have entries."""
+    if len(cols) == 0:
+        return
+    order = np.argsort(cols, kind="stable")
+    rows, cols, vals = rows[order], cols[order], vals[order]
+    begins = np.flatnonzero(np.concatenate([[True], cols[1:] != cols[:-1]]))
+    for j in range(y.shape[1]):
+        acc[cols[begins], j] += np.add.reduceat(vals * y[rows, j], begins)
+
+
 def list_column(x: np.ndarray):
     rows, n = x.shape
     offsets = pa.array(np.arange(rows + 1, dtype=np.int64) * n, pa.int32())

@@ -16,11 +16,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallmat.session import LARGE_PART_BYTES, MAX_LOCAL_ELEMS, PART_ELEMS
+from tallmat.session import MAX_LOCAL_ELEMS, PART_ELEMS
 
 # A sum of up to this many elements is merged by a built-in aggregate.
 SMALL_SUM = 1 << 12
 
+# Partials that one task of a merge level takes; fewer where factoring two of them is the costly part.
+FAN_IN = 64
+COSTLY_FAN_IN = 4
+
 # A matrix of up to this size travels with the task function.
 CLOSURE_BYTES = 1 << 16
 
@@ -29,7 +33,7 @@ PART_SCHEMA = "slot INT, block INT, rows INT, part BINARY"
 Part = tuple[int, np.ndarray]
 
 
-def _pack(slot: int, parts: Iterable[Part]) -> Iterator[pa.RecordBatch]:
+def pack(slot: int, parts: Iterable[Part]) -> Iterator[pa.RecordBatch]:
     for block, x in parts:
         yield pa.RecordBatch.from_pydict(
             {
@@ -48,55 +52,59 @@ def unpack(batch) -> Iterator[Part]:
         yield block, np.frombuffer(part.as_buffer(), dtype=np.float64).reshape(r, -1)
 
 
-def merge_widths(cores: int, costly: bool = False) -> list[int]:
-    """Slots per merge level: one level on a small machine, a tree on a cluster.
+def merge_levels(parts: int, fan: int) -> int:
+    """Levels of a tree with this fan-in over about `parts` partials."""
+    levels = 1
+    while parts > fan:
+        parts, levels = math.ceil(parts / fan), levels + 1
+    return levels
+
+
+def expected_parts(df: DataFrame) -> int:
+    """About how many tasks read the table: its files, or the shuffle partitions of the session if those are more.
 
-    A costly merge gets a deeper tree in which a task merges about four partials.
+    Only the depth of the merge tree follows from it, never the tasks of the scan.
     """
-    if costly:
-        widths = [max(1, cores // 2)]
-        while widths[-1] > 1:
-            widths.append(math.ceil(widths[-1] / 4))
-        return widths
-    if cores <= 64:
-        return [1]
-    return [cores, math.isqrt(cores), 1]
+    return max(len(df.inputFiles()), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def merge_parts(parts: DataFrame, merge: Callable[[np.ndarray, np.ndarray], np.ndarray], count: int, costly: bool = False) -> DataFrame:
+    """One merged partial per block of about `count` partials each (PART_SCHEMA), by a tree of grouped merges."""
+
+    def merge_group(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        merged = None
+        for batch in batches:
+            for _, x in unpack(batch):
+                merged = x if merged is None else merge(merged, x)
+        if merged is not None:
+            yield from pack(key[0].as_py(), [(key[1].as_py(), merged)])
+
+    fan = COSTLY_FAN_IN if costly else FAN_IN
+    levels = merge_levels(count, fan)
+    for level in range(levels):
+        # neighbours meet, so no level but the last takes more than the fan-in, however many tasks there were
+        slot = F.floor(F.col("slot") / fan).cast("int") if level < levels - 1 else F.lit(0)
+        parts = parts.withColumn("slot", slot).groupBy("slot", "block").applyInArrow(merge_group, schema=PART_SCHEMA)
+    return parts
 
 
 def fold(
     df: DataFrame,
     local: Callable[[Iterator], Iterable[Part]],
     merge: Callable[[np.ndarray, np.ndarray], np.ndarray],
-    part_bytes: int,
     costly: bool = False,
 ) -> DataFrame:
     """(block, rows, part): the merged partials of `local`, one record per block.
 
-    `part_bytes` is the size of what one task emits; when it is large the tasks are
-    fewer and longer, which bounds what the merge has to move. `costly` merges take
-    more time than the exchange between two levels of the tree.
+    The scan keeps its own tasks. `costly` merges take more time than the exchange between two levels of the tree.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if part_bytes >= LARGE_PART_BYTES:
-        df = df.coalesce(2 * cores)
 
     def run(batches):
-        yield from _pack(TaskContext.get().partitionId(), local(batches))
-
-    def merge_group(
-        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
-    ) -> Iterator[pa.RecordBatch]:
-        merged = None
-        for batch in batches:
-            for _, x in unpack(batch):
-                merged = x if merged is None else merge(merged, x)
-        if merged is not None:
-            yield from _pack(key[0].as_py(), [(key[1].as_py(), merged)])
+        yield from pack(TaskContext.get().partitionId(), local(batches))
 
-    parts = df.mapInArrow(run, PART_SCHEMA)
-    for width in merge_widths(cores, costly):
-        slotted = parts.withColumn("slot", (F.col("slot") % width).cast("int"))
-        parts = slotted.groupBy("slot", "block").applyInArrow(merge_group, schema=PART_SCHEMA)
+    parts = merge_parts(df.mapInArrow(run, PART_SCHEMA), merge, expected_parts(df), costly)
     return parts.select("block", "rows", "part")
 
 
@@ -129,7 +137,7 @@ class MatrixSum:
                     for block, start in enumerate(range(0, n_rows, step)):
                         yield block, x[start : start + step]
 
-            self.parts = fold(df, blocks, np.add, 8 * n_rows * n_cols)
+            self.parts = fold(df, blocks, np.add)
 
     def to_rows(self) -> DataFrame:
         """(row_id, v), without visiting the driver."""

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
+from tallmat.operators.blocked import BlockedMatrix
+from tallmat.operators.centered import CenteredSparse, prepare_sparse
 from tallmat.operators.fold import fits_locally, ship
 from tallmat.operators.preprocess import preprocess as prepare
-from tallmat.operators.stats import block_error, frobenius, row_mean_std
+from tallmat.operators.stats import block_error
 from tallmat.operators.svd import TruncatedSvd, exact_svd, randomized_svd
 from tallmat.session import MAX_DIRECT_COLS
 
@@ -35,7 +37,7 @@ class PcaModel:
     v: TallMatrix
     row_stats: DataFrame
     meta: dict = field(default_factory=dict)
-    matrix: TallMatrix | CooMatrix | None = None
+    matrix: TallMatrix | CooMatrix | CenteredSparse | None = None
 
     @property
     def k(self) -> int:
@@ -49,16 +51,20 @@ class PcaModel:
         return self.singular_values()[:, None] * self.v.to_numpy().T
 
     def squared_error(self) -> DataFrame:
-        """One record `val`: squared error of the rank-k approximation.
+        """One record `val`: squared error of the rank-k approximation, added up from residuals.
 
-        U S V' is A V V', so the rows of A suffice. With a V too large for a task it is
-        ||A||^2 minus the squared singular values. A loaded model has no matrix; use
-        stats.squared_error with u and right_factor().
+        U S V' is A V V', so the rows of A suffice where V fits a task; with a V as a table, dense matrices meet both factors tile by
+        tile. Only a sparse matrix with such a V takes ||A||^2 minus the squared singular values. A loaded model
+        has no matrix; use stats.squared_error with u and right_factor().
         """
+        dense = isinstance(self.matrix, TallMatrix)
+        if dense and self.meta["n"] > MAX_DIRECT_COLS:
+            s = F.lit([float(x) for x in self.singular_values()])
+            scaled = self.u.with_v(F.zip_with("v", s, lambda x, c: x * c))
+            return BlockedMatrix.from_tall(self.matrix).squared_error(scaled, self.v)
         if not fits_locally(self.meta["n"], self.k):
             explained = float((self.singular_values() ** 2).sum())
-            norm = frobenius(self.matrix)
-            return norm.select((F.col("val") * F.col("val") - explained).alias("val"))
+            return self.matrix.squared_norm().select((F.col("val") - explained).alias("val"))
         v = ship(self.s.sparkSession, self.v.to_numpy())
         errors = block_error(self.matrix, lambda x: (x @ v()) @ v().T)
         return errors.select(F.col("sse").alias("val"))
@@ -112,16 +118,8 @@ def pca(
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
-    if isinstance(a, CooMatrix) and preprocess == "none":
-        # nothing fills the zeros, so the matrix stays sparse
-        one = F.lit(1.0)
-        row_stats = row_mean_std(a).select(
-            "row_id", "mean", "std", one.alias("weight"), F.col("mean").alias("weighted_mean"), "low_std"
-        )
-        matrix = a
-    else:
-        a = a.to_tall() if isinstance(a, CooMatrix) else a
-        matrix, row_stats = prepare(a, preprocess, weights)
+    # a sparse matrix stays sparse: its means and scales are applied inside the products
+    matrix, row_stats = prepare_sparse(a, preprocess, weights) if isinstance(a, CooMatrix) else prepare(a, preprocess, weights)
     meta = {"n": a.n_cols, "preprocess": preprocess, "seed": seed}
     models = []
     if method != "randomized":

@@ -26,7 +26,7 @@ def center_rows(a: TallMatrix, stats: DataFrame | None = None) -> TallMatrix:
     if stats is None:
         return a.with_v(arrays.shifted(F.col("v"), arrays.mean(F.col("v"))))
     joined = a.df.join(stats.select("row_id", "mean"), "row_id", "left")
-    mean = _required(F.col("mean"), "no mean for row ")
+    mean = required(F.col("mean"), "no mean for row ")
     return TallMatrix(
         joined.select("row_id", arrays.shifted(F.col("v"), mean).alias("v")), a.n_cols
     )
@@ -39,7 +39,7 @@ def standardize_rows(a: TallMatrix, stats: DataFrame | None = None) -> TallMatri
         std = arrays.usable_std(arrays.deviation(v))
         return a.with_v(arrays.scaled(arrays.shifted(v, arrays.mean(v)), 1.0 / std))
     joined = a.df.join(stats.select("row_id", "mean", "std"), "row_id", "left")
-    mean, std = _required(F.col("mean"), "no mean for row "), F.col("std")
+    mean, std = required(F.col("mean"), "no mean for row "), F.col("std")
     v = arrays.scaled(arrays.shifted(F.col("v"), mean), 1.0 / std)
     return TallMatrix(joined.select("row_id", v.alias("v")), a.n_cols)
 
@@ -47,11 +47,11 @@ def standardize_rows(a: TallMatrix, stats: DataFrame | None = None) -> TallMatri
 def weight_rows(a: TallMatrix, weights: DataFrame) -> TallMatrix:
     """Multiply row i by its weight from `weights(row_id, weight)`."""
     joined = a.df.join(weights.select("row_id", "weight"), "row_id", "left")
-    v = arrays.scaled(F.col("v"), _required(F.col("weight"), "no weight for row "))
+    v = arrays.scaled(F.col("v"), required(F.col("weight"), "no weight for row "))
     return TallMatrix(joined.select("row_id", v.alias("v")), a.n_cols)
 
 
-def _required(value, message: str):
+def required(value, message: str):
     text = F.concat(F.lit(message), F.col("row_id").cast("string"))
     return F.when(value.isNull(), F.raise_error(text).cast("double")).otherwise(value)
 
@@ -80,7 +80,7 @@ def preprocess(
         if not weighted:
             return df.withColumn("weight", F.lit(1.0))
         df = df.join(weights.select("row_id", "weight"), "row_id", "left")
-        return df.withColumn("weight", _required(F.col("weight"), "no weight for row "))
+        return df.withColumn("weight", required(F.col("weight"), "no weight for row "))
 
     base = weigh(a.df)
     v = F.col("v")

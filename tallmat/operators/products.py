@@ -38,6 +38,8 @@ def map_blocks(tall: TallMatrix, f: Callable, n_out: int | None = None) -> TallM
 def times(a: TallMatrix | CooMatrix, b: np.ndarray) -> TallMatrix:
     """A B with B local (n x k); the result has A's rows and stays distributed."""
     _check_inner(a.n_cols, b.shape[0])
+    if not isinstance(a, (TallMatrix, CooMatrix)):
+        return a.times_local(b)
     n, k = b.shape
     get = ship(a.df.sparkSession, b)
     if isinstance(a, TallMatrix):
@@ -47,20 +49,12 @@ def times(a: TallMatrix | CooMatrix, b: np.ndarray) -> TallMatrix:
         rhs = get()
         for piece in (p for batch in batches for p in codec.pieces(batch, k)):
             rows, cols, vals = codec.sparse_block(piece)
-            y = _row_sums(rows, cols, vals, rhs, piece.num_rows)
+            y = codec.row_sums(rows, cols, vals, rhs, piece.num_rows)
             yield codec.rows_batch(piece.column("row_id"), y)
 
     return TallMatrix(a.sparse_rows().mapInArrow(run, ROW_SCHEMA), k)
 
 
-def _row_sums(rows, cols, vals, rhs, n_rows: int) -> np.ndarray:
-    """Sparse block times rhs, column by column to keep the temporaries small."""
-    y = np.empty((n_rows, rhs.shape[1]))
-    for j in range(rhs.shape[1]):
-        y[:, j] = np.bincount(rows, vals * rhs[cols, j], minlength=n_rows)
-    return y
-
-
 def _gram_times_sum(a: TallMatrix | CooMatrix, b: np.ndarray, get: Shipped) -> MatrixSum:
     _check_inner(a.n_cols, b.shape[0])
     n, k = b.shape
@@ -77,10 +71,9 @@ def _gram_times_sum(a: TallMatrix | CooMatrix, b: np.ndarray, get: Shipped) -> M
         acc, rhs = None, get()
         for piece in (p for batch in batches for p in codec.pieces(batch, k)):
             rows, cols, vals = codec.sparse_block(piece)
-            y = _row_sums(rows, cols, vals, rhs, piece.num_rows)
+            y = codec.row_sums(rows, cols, vals, rhs, piece.num_rows)
             acc = np.zeros((n, k)) if acc is None else acc
-            for j in range(k):
-                acc[:, j] += np.bincount(cols, vals * y[rows, j], minlength=n)
+            codec.add_outer(acc, rows, cols, vals, y)
         return acc
 
     if isinstance(a, TallMatrix):
@@ -97,6 +90,8 @@ def gram_times(a: TallMatrix | CooMatrix, b: np.ndarray) -> TallMatrix:
 
 def gram_times_local(a: TallMatrix | CooMatrix, b: np.ndarray) -> np.ndarray:
     """A'A B brought to the driver, for iterations that go on from it."""
+    if not isinstance(a, (TallMatrix, CooMatrix)):
+        return a.gram_times_local(b)
     shipped = ship(a.df.sparkSession, b)
     try:
         return _gram_times_sum(a, b, shipped).to_numpy()

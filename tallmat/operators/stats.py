@@ -65,7 +65,7 @@ def aggregate_blocks(
         if acc is not None:
             yield 0, acc
 
-    merged = fold(df, local, combine, 8 * n_out)
+    merged = fold(df, local, combine)
     values = merged.mapInArrow(_part_values, "pos BIGINT, val DOUBLE")
     return values
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.functions.noise import normal
 from tallmat.operators import products
+from tallmat.operators.blocked import BlockedMatrix
 from tallmat.operators.fold import fits_locally, ship
 from tallmat.operators.joined import JoinedMatrix
 from tallmat.operators.products import local_rows, map_blocks
@@ -71,7 +72,11 @@ def _from_local_basis(a, s: np.ndarray, v: np.ndarray, k: int) -> TruncatedSvd:
     kept = _kept(s, k)
     s, v = s[:kept], v[:, :kept]
     v = v * sign_fix(v)
-    return TruncatedSvd(products.times(a, v / s), s, local_rows(a.df.sparkSession, v))
+    u = products.times(a, v / s)
+    if isinstance(a, BlockedMatrix):
+        # the tiles go when the decomposition is done
+        u = _saved(u)
+    return TruncatedSvd(u, s, local_rows(a.df.sparkSession, v))
 
 
 def with_rows(x: TallMatrix, ids: DataFrame) -> TallMatrix:
@@ -109,12 +114,14 @@ def _from_table_basis(a, joined: JoinedMatrix, s, basis: TallMatrix, rotation, k
     if isinstance(a, TallMatrix):
         u = with_rows(u, a.df)
     u = _saved(u)
-    joined.release()
     return TruncatedSvd(u, s, with_rows(v, all_ids(a.df.sparkSession, a.n_cols)))
 
 
-def as_coo(a: TallMatrix | CooMatrix) -> CooMatrix:
-    return a if isinstance(a, CooMatrix) else a.to_coo()
+def placed(a):
+    """The matrix ready for products with tables: its entries for sparse ones, blocks of columns for dense ones."""
+    if isinstance(a, CooMatrix):
+        return JoinedMatrix(a)
+    return BlockedMatrix.from_tall(a) if isinstance(a, TallMatrix) else a.placed()
 
 
 # -- direct ---------------------------------------------------------------
@@ -146,16 +153,21 @@ def randomized_svd(
     if basis == "table":
         return _randomized_tables(a, k, width, power_iters, seed)
 
-    held = a.keep()
+    held = in_blocks(a)
     try:
         y = gaussian_matrix(a.df.sparkSession, a.n_cols, width, seed)
         for _ in range(power_iters):
             y = np.linalg.qr(products.gram_times_local(held, y))[0]
         q = np.linalg.qr(y)[0]
         _, s, wt = np.linalg.svd(tsqr(products.times(held, q)).r, full_matrices=False)
+        return _from_local_basis(_source(a, held), s, q @ wt.T, k)
     finally:
         held.release()
-    return _from_local_basis(a, s, q @ wt.T, k)
+
+
+def _source(a, held):
+    """What U is computed from later: the caller's matrix, or the tiles while they are there."""
+    return held if isinstance(held, BlockedMatrix) else a
 
 
 def _draws(width: int, seed: int) -> Column:
@@ -184,13 +196,16 @@ def gaussian_table(joined: JoinedMatrix, width: int, seed: int) -> TallMatrix:
 
 
 def _randomized_tables(a, k, width, power_iters, seed) -> TruncatedSvd:
-    joined = JoinedMatrix(as_coo(a))
-    y = orthonormal(_saved(gaussian_table(joined, width, seed)))
-    for _ in range(power_iters):
-        y = _saved(orthonormal(_saved(joined.gram_times(y))))
-    aq = _saved(joined.times(y))
-    _, s, wt = np.linalg.svd(tsqr(aq).r, full_matrices=False)
-    return _from_table_basis(a, joined, s, y, wt.T, k)
+    joined = placed(a)
+    try:
+        y = orthonormal(_saved(gaussian_table(joined, width, seed)))
+        for _ in range(power_iters):
+            y = _saved(orthonormal(_saved(joined.gram_times(y))))
+        aq = _saved(joined.times(y))
+        _, s, wt = np.linalg.svd(tsqr(aq).r, full_matrices=False)
+        return _from_table_basis(a, joined, s, y, wt.T, k)
+    finally:
+        joined.release()
 
 
 def _saved(x: TallMatrix) -> TallMatrix:
@@ -254,7 +269,8 @@ class _LocalSpace:
     """Basis V and C V for C = A'A as numpy arrays."""
 
     def __init__(self, a, seed: int):
-        self.source, self.a, self.seed = a, a.keep(), seed
+        self.a, self.seed = in_blocks(a), seed
+        self.source = _source(a, self.a)
 
     def start(self, block: int) -> None:
         self.v = np.linalg.qr(gaussian_matrix(self.a.df.sparkSession, self.a.n_cols, block, self.seed))[0]
@@ -301,7 +317,7 @@ class _TableSpace:
     """The same with one table of rows [V | C V] per column of A."""
 
     def __init__(self, a, seed: int):
-        self.source, self.joined, self.seed = a, JoinedMatrix(as_coo(a)), seed
+        self.source, self.joined, self.seed = a, placed(a), seed
 
     def start(self, block: int) -> None:
         v = _saved(orthonormal(_saved(gaussian_table(self.joined, block, self.seed))))
@@ -374,9 +390,12 @@ class _TableSpace:
         self.joined.release()
 
 
-def exact_svd(
-    a: TallMatrix | CooMatrix, k: int, max_direct_cols: int = MAX_DIRECT_COLS, seed: int = 0
-) -> TruncatedSvd:
-    if a.n_cols <= min(max_direct_cols, MAX_DIRECT_COLS):
+def in_blocks(a):
+    """The matrix as the decompositions pass over it: rows too long for one record each become blocks of columns."""
+    return BlockedMatrix.from_tall(a) if isinstance(a, TallMatrix) and a.n_cols > MAX_DIRECT_COLS else a.keep()
+
+
+def exact_svd(a, k: int, max_direct_cols: int = MAX_DIRECT_COLS, seed: int = 0) -> TruncatedSvd:
+    if a.n_cols <= min(max_direct_cols, MAX_DIRECT_COLS) and not isinstance(a, BlockedMatrix):
         return direct_svd(a, k)
     return krylov_svd(a, k, seed=seed)

@@ -66,7 +66,7 @@ def _tsqr(df, read, n: int) -> TsqrResult:
     def merge(p, q):
         return np.vstack([p[:2] + q[:2], _stack(p[2:], q[2:])])
 
-    parts = fold(df, local, merge, 8 * n * n, costly=n >= COSTLY_COLS)
+    parts = fold(df, local, merge, costly=n >= COSTLY_COLS)
     merged = parts_to_numpy(parts, n + 2, n)
     r = np.linalg.qr(merged[2:], mode="r")
     signs = np.where(np.diag(r) < 0, -1.0, 1.0)

@@ -16,8 +16,6 @@ MAX_LOCAL_ELEMS = 1 << 24
 MAX_BROADCAST_ROWS = 1_000_000
 # Rows of a partial matrix are cut so that one shuffled record stays near 1 MiB.
 PART_ELEMS = 1 << 17
-# Partials above this size make it worth running fewer, longer tasks.
-LARGE_PART_BYTES = 8 << 20
 
 _local_dirs: dict[str, str] = {}
 

@@ -7,7 +7,8 @@ from plain_matrices import dense
 from pyspark.sql import functions as F
 
 from tallmat import TallMatrix, cx_scores, nmf, pca
-from tallmat.operators import cx, fold, joined, nnls, products, stats, svd, tsqr
+from tallmat.operators import centered, cx, fold, joined, nnls, preprocess, products, stats, svd, tsqr
+from tallmat.operators.blocked import BlockedMatrix
 from tallmat.operators.nmf import load_nmf, select_columns
 
 pca_module = importlib.import_module("tallmat.operators.pca")
@@ -47,18 +48,29 @@ def test_ones_on_the_right(make_coo):
 
 
 def test_merge_tree_with_several_levels(make, monkeypatch):
-    assert fold.merge_widths(8) == [1]
-    assert fold.merge_widths(8000) == [8000, 89, 1]
-    assert fold.merge_widths(8, costly=True) == [4, 1]
-    assert fold.merge_widths(1, costly=True) == [1]
-    assert fold.merge_widths(8000, costly=True) == [4000, 1000, 250, 63, 16, 4, 1]
-    monkeypatch.setattr(fold, "merge_widths", lambda cores, costly: [5, 2, 1])
+    assert fold.merge_levels(8, fold.FAN_IN) == 1
+    assert fold.merge_levels(8000, fold.FAN_IN) == 3
+    assert fold.merge_levels(8, fold.COSTLY_FAN_IN) == 2
+    monkeypatch.setattr(fold, "FAN_IN", 2)
+    monkeypatch.setattr(fold, "COSTLY_FAN_IN", 2)
     monkeypatch.setattr(fold, "SMALL_SUM", 0)
     x = RNG.normal(size=(60, 4))
     assert np.allclose(products.gram_local(make(x, 8)), x.T @ x)
     assert np.allclose(np.abs(tsqr.tsqr(make(x, 8)).r), np.abs(np.linalg.qr(x)[1]))
 
 
+def test_tree_follows_the_data_not_the_cores(spark, monkeypatch):
+    """1000 tasks on few cores: the scan keeps its partitions and more levels merge them."""
+    monkeypatch.setattr(fold, "SMALL_SUM", 0)
+    wide = spark.range(0, 2000, 1, 1000).selectExpr("id AS row_id", "array(1.0D, cast(id as double)) AS v")
+    a = TallMatrix(wide, 2)
+    assert fold.merge_levels(1000, fold.FAN_IN) == 2
+    total = products._gram_sum(a)
+    plan = total.parts._jdf.queryExecution().toString()
+    assert "Coalesce" not in plan
+    assert np.allclose(total.to_numpy(), [[2000, 1999000], [1999000, sum(i * i for i in range(2000))]])
+
+
 def test_partials_are_cut_into_blocks(make, monkeypatch):
     monkeypatch.setattr(fold, "block_rows", lambda n_cols: 3)
     monkeypatch.setattr(fold, "SMALL_SUM", 0)
@@ -200,6 +212,77 @@ def test_regimes_agree_on_zero_rows_and_columns(make, make_coo):
     assert coo.u.count() == 19 and coo.v.count() == 6
 
 
+@pytest.mark.parametrize("width, tile_rows", [(3, 4), (5, 100), (100, 7)])
+def test_blocked_products(make, width, tile_rows):
+    x = RNG.normal(size=(30, 11))
+    x[7], x[:, 4] = 0, 0
+    b, y = RNG.normal(size=(11, 3)), RNG.normal(size=(30, 2))
+    a = BlockedMatrix.from_tall(make(x), width, tile_rows)
+    assert np.allclose(a.times_local(b).to_numpy(), x @ b)
+    assert np.allclose(a.gram_times_local(b), x.T @ (x @ b))
+    assert np.allclose(a.transpose_times(make(y)).to_numpy(), x.T @ y)
+    left, right = RNG.normal(size=(30, 2)), RNG.normal(size=(11, 2))
+    assert a.squared_error(make(left), make(right)).first().val == pytest.approx(((x - left @ right.T) ** 2).sum(), rel=1e-12)
+    a.release()
+
+
+def test_absent_blocks_are_zero(spark):
+    x = np.arange(24.0).reshape(4, 6)
+    x[1, :3] = x[2] = 0
+    rows = [(i, b, x[i, 3 * b : 3 * b + 3].tolist()) for i in range(4) for b in range(2) if x[i, 3 * b : 3 * b + 3].any()]
+    a = BlockedMatrix(spark.createDataFrame(rows, "row_id LONG, block INT, v ARRAY<DOUBLE>"), 6, 4, 3, 2)
+    b = RNG.normal(size=(6, 2))
+    assert np.allclose(a.gram_times_local(b), x.T @ x @ b)
+    want = np.linalg.svd(x, compute_uv=False)[:2]
+    for basis in ("local", "table"):
+        assert np.allclose(svd.krylov_svd(a, 2, tol=1e-10, basis=basis).s, want)
+    assert np.allclose(svd.exact_svd(a, 2).s, want)
+    a.release()
+
+
+def test_wide_dense_pca_in_blocks(make, monkeypatch):
+    """Above the direct limit no element leaves its array, U and V are right, and the error is that of residuals."""
+    monkeypatch.setattr(svd, "MAX_DIRECT_COLS", 8)
+    monkeypatch.setattr(pca_module, "MAX_DIRECT_COLS", 8)
+    x = low_rank(40, 14, [30, 12, 5]) + 3
+    model = pca(make(x), 2, method="exact", max_direct_cols=8)
+    u, s, vt = np.linalg.svd(x - x.mean(axis=1, keepdims=True), full_matrices=False)
+    assert np.allclose(model.singular_values(), s[:2])
+    got = dense(model.u, (40, 2)) * model.singular_values() @ dense(model.v, (14, 2)).T
+    assert np.allclose(got, (u[:, :2] * s[:2]) @ vt[:2], atol=1e-8)
+    assert model.squared_error().first().val == pytest.approx((s[2:] ** 2).sum(), rel=1e-9)
+    whole = pca(make(x), 3, method="randomized", max_direct_cols=8)
+    assert whole.squared_error().first().val == pytest.approx(0, abs=1e-18)
+
+
+@pytest.mark.parametrize("method", ["centerOverAllObservations", "standardizeEach", "cosLat+centerOverAllObservations"])
+def test_sparse_preprocessing_fills_nothing(spark, make_coo, method):
+    x = RNG.normal(size=(25, 9)) * (RNG.random((25, 9)) < 0.3)
+    x[3], x[:, 5], x[8] = 0, 0, 0
+    x[8, 2] = 4.0
+    weights = spark.createDataFrame([(i, 1.0 / (1 + i)) for i in range(25)], "row_id LONG, weight DOUBLE")
+    a = make_coo(x)
+    tall, row_stats = preprocess.preprocess(a.to_tall(), method, weights)
+    a.to_tall = None  # from here on nothing may make it dense
+    want = np.zeros((25, 9))
+    for r in tall.df.collect():
+        want[r.row_id] = r.v
+    sparse, sparse_stats = centered.prepare_sparse(a, method, weights)
+    b = RNG.normal(size=(9, 2))
+    assert np.allclose(dense(sparse.times_local(b), (25, 2)), want @ b)
+    assert np.allclose(sparse.gram_times_local(b), want.T @ want @ b)
+    assert sparse.squared_norm().first().val == pytest.approx((want**2).sum())
+    order = sorted(sparse_stats.columns)
+    for p, q in zip(row_stats.select(order).orderBy("row_id").collect(), sparse_stats.select(order).orderBy("row_id").collect()):
+        assert all(v == pytest.approx(w) for v, w in zip(p, q))
+    s = np.linalg.svd(want, compute_uv=False)[:2]
+    for basis in ("local", "table"):
+        f = svd.krylov_svd(sparse, 2, tol=1e-10, basis=basis)
+        assert np.allclose(f.s, s)
+        assert np.allclose(dense(f.u, (25, 2)) * f.s @ dense(f.v, (9, 2)).T @ b, want @ (f.v.to_numpy() @ f.v.to_numpy().T @ b))
+    assert np.allclose(pca(a, 2, method, weights=weights).singular_values(), s)
+
+
 @pytest.mark.parametrize("basis", ["local", "table"])
 def test_krylov_raises_at_the_cap(make, basis):
     x = np.random.default_rng(5).normal(size=(90, 60))
