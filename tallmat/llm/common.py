@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +49,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Sent:
+    """An object of this library for tasks: broadcast as bytes that carry its classes along, so workers need no package."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value: Any = None
+
+    def __getstate__(self) -> dict:
+        return {"_bytes": self._bytes, "_value": None}
+
+    @property
+    def value(self) -> Any:
+        if self._value is None:
+            self._value = pickle.loads(self._bytes.value)
+        return self._value
+
+
 def crc32_remainder(divisor: int, column: str = "doc_id"):
     """crc32 of the id's decimal digits, modulo the divisor."""
     return F.expr(f"CAST(crc32(CAST({column} AS STRING)) % {divisor} AS INT)")
 
 
-__all__ = ["ORACLES", "QUERIES", "Query", "crc32_remainder", "cut_lineage", "query", "stored", "table", "texts_of"]
+__all__ = ["ORACLES", "QUERIES", "Query", "Sent", "crc32_remainder", "cut_lineage", "query", "stored", "table", "texts_of"]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import query, table, texts_of
+from tallmat.llm.common import Sent, query, table, texts_of
 from tallmat.llm.words import Words, ranges, slices, window_starts, windows
 
 SEED_WORDS = 3
@@ -200,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
     for items in _item_blocks(benchmark, block_words):
         runs = [windows(item, SEED_WORDS) for _, item in items]
         grams, place = np.unique(np.concatenate(runs), return_inverse=True)
-        known = spark.sparkContext.broadcast(Seeds(grams))
+        known = Sent(spark, Seeds(grams))
         counted = texts.mapInArrow(lambda b, known=known: _count_batches(b, known), "place LONG, n LONG")
         total = np.zeros(len(grams), np.int64)
         for r in counted.groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -215,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
         order = np.argsort(owner, kind="stable")[(owner < 0).sum() :]
         first = np.searchsorted(owner[order], np.arange(len(kept) + 1))
         by_item = np.split(owner, np.cumsum([len(r) for r in runs])[:-1])
-        block = spark.sparkContext.broadcast((Seeds(grams[kept]), total[kept], first, item_of[order], by_item, items))
+        block = Sent(spark, (Seeds(grams[kept]), total[kept], first, item_of[order], by_item, items))
         aligned = texts.mapInArrow(
             lambda b, block=block: _align_batches(b, block), "doc_id LONG, item_id LONG, score DOUBLE, start INT, end INT"
         )

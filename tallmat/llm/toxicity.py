@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallmat.llm.common import crc32_remainder, query, table, texts_of
+from tallmat.llm.common import Sent, crc32_remainder, query, table, texts_of
 from tallmat.llm.learning import labelled_sample, logistic, sigmoid, standardized
 from tallmat.llm.words import LETTER_BYTE, Words, slices
 
@@ -255,9 +255,8 @@ def _score_batches(batches: Iterator, model) -> Iterator:
 
 def learn(sample: DataFrame) -> Model:
     """Lexicon and weights from a bounded table (doc_id, text, y) of lower-case texts."""
-    sc = sample.sparkSession.sparkContext
     lexicon = Lexicon(learn_lexicon(sample))
-    shared = sc.broadcast(lexicon)
+    shared = Sent(sample.sparkSession, lexicon)
     rows = sample.mapInArrow(lambda b: _feature_batches(b, shared), "y INT, x ARRAY<DOUBLE>").collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), FEATURES)
     y = np.array([r.y for r in rows], float)
@@ -268,7 +267,7 @@ def learn(sample: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
     lowered = texts_of(docs).withColumn("text", F.lower("text"))
     return lowered.mapInArrow(lambda b: _score_batches(b, shared), "doc_id LONG, score DOUBLE")
 
