@@ -408,11 +408,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates, with all its columns; rows without an id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.where("doc_id IS NOT NULL")
-    kept = known.join(gone, known["doc_id"].cast("long") == F.col("_id"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near duplicates, with all its columns; rows without an id stay.
+
+    Rows that agree in id and text are one row; different texts under the id that stays all stay.
+    """
+    found = near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    key = docs["doc_id"].cast("long")
+    kept = docs.join(gone, key == F.col("_id"), "left_anti")
+    # only ids with several rows are looked at again
+    several = stored(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "several")
+    if several.isEmpty():
+        return kept
+    once = kept.join(several, key == F.col("_id"), "left_anti")
+    return once.unionByName(kept.join(several, key == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 @query("op7_minhash_near_dedup")

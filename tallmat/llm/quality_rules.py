@@ -115,13 +115,17 @@ def _own_words(base: DataFrame) -> DataFrame:
     return first.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("own_words"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, lang, a hash of the text, the counts of the rules, `chars` by class and `common` by word.
+def _whole(docs: DataFrame, wanted: bool) -> list[Column]:
+    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")] * wanted
+
+
+def measured(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Per row: doc_id, lang, a hash of the text, the counts of the rules, `chars` by class and `common` by word; the row itself if `whole`.
 
     Where the table holds languages outside `LANGUAGES`, also `own`: counts of the common words of that language.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), *_whole(docs, whole))
     base = base.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
 
     others = not docs.where(_other(F.col("lang").cast("string"))).isEmpty()
@@ -146,6 +150,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.array(spaces, *inside).alias("chars"),
         let(F.filter("words", lambda w: w.isin(COMMON)), histogram).alias("common"),
         *[F.transform("own_words", lambda o: F.size("words") - F.size(F.array_remove("words", o))).alias("own")] * others,
+        *["whole"] * whole,
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counts.withColumn("base_failed", failed)
@@ -295,10 +300,8 @@ def _sql() -> str:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with all their columns."""
-    rejected = quality(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    text_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
-    return docs.join(rejected, same, "left_anti")
+    # rows are stored beside their counts, so the verdict needs no join
+    return judged(stored(measured(docs, whole=True), "quality")).where("kept").select("whole.*")
 
 
 @query("op6_quality_rules", _sql())
