@@ -37,8 +37,10 @@ from tallmat.llm.words import lists, ranges, slices
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
 # Bytes of text encoded at once, and tokens of both kinds in a slice; one longer text makes a slice of its own.
-SLICE_TEXT = 1 << 20
-SLICE_TOKENS = 1 << 20
+SLICE_TEXT = 1 << 19
+SLICE_TOKENS = 1 << 19
+# Stretches of text remembered by a task, which has two tokenizers to hold.
+MAX_KNOWN = 150_000
 
 ALIGNED = "doc_id LONG, a ARRAY<INT>, b ARRAY<INT>, group_a ARRAY<INT>, group_b ARRAY<INT>"
 
@@ -131,7 +133,7 @@ def overlaps(length_a: np.ndarray, length_b: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _align_batches(batches: Iterator, path_a: str, path_b: str) -> Iterator:
-    encoder, model = Encoder(path_a, spaces=True), piece_model(path_b)
+    encoder, model = Encoder(path_a, spaces=True, max_known=MAX_KNOWN), piece_model(path_b)
     bytes_a, bytes_b = byte_level_tokens(path_a), piece_tokens(model)
     for batch in batches:
         for part in slices(batch, limit=SLICE_TEXT):

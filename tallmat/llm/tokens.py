@@ -31,13 +31,13 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Encodes with the `tokenizers` file at `path`; `spaces` tells whether a space belongs to the token after it."""
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, max_known: int = MAX_KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spaces = spaces
+        self.spaces, self.max_known = spaces, max_known
         size = self.tokenizer.get_vocab_size()
         if spaces:
             names = (self.tokenizer.id_to_token(i) or "" for i in range(size))
@@ -94,7 +94,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids per text."""
-        if len(self.known) > MAX_KNOWN:
+        if len(self.known) > self.max_known:
             self._forget()
         texts = texts.cast(pa.large_string()).fill_null("")
         if not self.spaces:
