@@ -58,7 +58,7 @@ class PcaModel:
         has no matrix; use stats.squared_error with u and right_factor().
         """
         dense = isinstance(self.matrix, TallMatrix)
-        if dense and self.meta["n"] > MAX_DIRECT_COLS:
+        if dense and (self.meta["n"] > MAX_DIRECT_COLS or not fits_locally(self.meta["n"], self.k)):
             s = F.lit([float(x) for x in self.singular_values()])
             scaled = self.u.with_v(F.zip_with("v", s, lambda x, c: x * c))
             return BlockedMatrix.from_tall(self.matrix).squared_error(scaled, self.v)
