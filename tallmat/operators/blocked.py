@@ -143,6 +143,46 @@ class BlockedMatrix:
     def gram_times(self, b: TallMatrix) -> TallMatrix:
         return self.transpose_times(self.times(b))
 
+    def gram(self) -> TallMatrix:
+        """A'A as an n x n table in one pass: in each bucket of rows every pair of blocks meets once."""
+        count, columns = self.n_blocks, _Columns(self.n_cols, self.width)
+        other = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("other")
+        dealt = self.df.select("bucket", "row_id", "block", "v", other)
+        low, high = F.least("block", "other"), F.greatest("block", "other")
+        dealt = dealt.select("bucket", low.alias("low"), high.alias("high"), "row_id", "block", "v")
+
+        def multiply(key: tuple[pa.Scalar, ...], tiles: pa.Table) -> pa.Table:
+            bucket, low, high = (k.as_py() for k in key)
+            block = tiles.column("block").to_numpy()
+            left, right = (tiles.filter(pa.array(block == b)) for b in (low, high))
+            if low == high:
+                x = _rows(left, "v", columns.count(low))
+                return pa.Table.from_batches(pack(bucket, [(low * count + high, x.T @ x)]))
+            ids, ours, theirs = np.intersect1d(
+                left.column("row_id").to_numpy(), right.column("row_id").to_numpy(), True, True
+            )
+            z = _rows(left.take(ours), "v", columns.count(low)).T @ _rows(right.take(theirs), "v", columns.count(high))
+            return pa.Table.from_batches(pack(bucket, [(low * count + high, z)]))
+
+        partial = dealt.groupBy("bucket", "low", "high").applyInArrow(multiply, PART_SCHEMA)
+        merged = merge_parts(partial, np.add, self.n_buckets)
+
+        def rows(batches):
+            for batch in batches:
+                for pair, z in unpack(batch):
+                    low, high = divmod(pair, count)
+                    for own, across, part in [(low, high, z)] + ([(high, low, z.T)] if low != high else []):
+                        ids = pa.array(own * columns.width + np.arange(len(part), dtype=np.int64))
+                        numbers = pa.array(np.full(len(part), across, np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [ids, numbers, codec.list_column(part)], names=["row_id", "block", "v"]
+                        )
+
+        # n values per row id
+        slices = F.sort_array(F.collect_list(F.struct("block", "v"))).alias("p")
+        whole = merged.mapInArrow(rows, "row_id LONG, block INT, v ARRAY<DOUBLE>").groupBy("row_id").agg(slices)
+        return TallMatrix(whole.select("row_id", F.flatten(F.col("p.v")).alias("v")), self.n_cols)
+
     # -- with a local factor ------------------------------------------------
 
     def times_local(self, b: np.ndarray) -> TallMatrix:

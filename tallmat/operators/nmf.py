@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tallmat.frames import ROW_SCHEMA, CooMatrix, TallMatrix
 from tallmat.operators import batches as codec
-from tallmat.operators import products, stats
+from tallmat.operators import stats
+from tallmat.operators.blocked import BlockedMatrix
 from tallmat.operators.fold import MatrixSum, Shipped, check_local, ship
 from tallmat.operators.nnls import solved
 from tallmat.operators.preprocess import non_negative, unit_l1_factors
 from tallmat.operators.products import residual_correlation
 from tallmat.operators.tsqr import tsqr
-from tallmat.session import MAX_DIRECT_COLS, MAX_LOCAL_ELEMS, cut_lineage
+from tallmat.session import MAX_DIRECT_COLS, cut_lineage
 
 SCORES = ("positive_part", "norm")
 
@@ -119,21 +120,11 @@ def nmf(
 
 
 def gram_table(a: TallMatrix) -> TallMatrix:
-    """A'A as n rows of n values, one pass for each group of columns that fits a task."""
-    n = a.n_cols
-    width = max(1, MAX_LOCAL_ELEMS // n)
-    tables = []
-    for number, start in enumerate(range(0, n, width)):
-        part = products.gram_columns(a, start, min(start + width, n)).df
-        tables.append(part.withColumn("number", F.lit(number)))
-    stacked = tables[0]
-    for part in tables[1:]:
-        stacked = stacked.unionByName(part)
-    # n values per row id
-    pieces = F.sort_array(F.collect_list(F.struct("number", "v")))
-    rows = stacked.groupBy("row_id").agg(pieces.alias("p"))
-    rows = rows.select("row_id", F.flatten(F.col("p.v")).alias("v"))
-    return TallMatrix(cut_lineage(rows), n)
+    """A'A as n rows of n values, from one pass over tiles."""
+    tiles = BlockedMatrix.from_tall(a)
+    table = TallMatrix(cut_lineage(tiles.gram().df), a.n_cols)
+    tiles.release()
+    return table
 
 
 def _wide_nmf(a: TallMatrix, r: int, score: str, scale_columns: bool, return_w: bool) -> NmfModel:
@@ -147,9 +138,7 @@ def _wide_nmf(a: TallMatrix, r: int, score: str, scale_columns: bool, return_w:
     n, spark = a.n_cols, a.df.sparkSession
     sums = stats.col_norms_l1(a).orderBy("col_id").toArrow().column("val").to_numpy()
     down = unit_l1_factors(sums) if scale_columns else np.ones(n)
-    held = a.keep()
-    g = gram_table(held)
-    held.release()
+    g = gram_table(a)
     picks, gk, norms = [], np.zeros((0, n)), None
     for _ in range(r):
         shipped = ship(spark, np.vstack([down, gk]))

@@ -127,6 +127,10 @@ def _gram_columns_sum(a: TallMatrix | CooMatrix, start: int, stop: int) -> Matri
 
 def gram(a: TallMatrix | CooMatrix) -> TallMatrix:
     """A'A as an n x n table."""
+    if a.n_cols > MAX_DIRECT_COLS and isinstance(a, TallMatrix):
+        from tallmat.operators.blocked import BlockedMatrix
+
+        return BlockedMatrix.from_tall(a).gram()
     return TallMatrix(_gram_sum(a).to_rows(), a.n_cols)
 
 

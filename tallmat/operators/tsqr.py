@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
 from tallmat.operators import batches as codec
@@ -43,7 +44,7 @@ def tsqr(a: TallMatrix | CooMatrix) -> TsqrResult:
 
 def _tsqr(df, read, n: int) -> TsqrResult:
     if n > MAX_DIRECT_COLS:
-        raise ValueError(f"{n} columns are too many for one R factor (limit {MAX_DIRECT_COLS})")
+        raise ValueError(f"{n} columns are too many for one R factor (limit {MAX_DIRECT_COLS}); use panels.panel_qr")
     # short batches are stacked first, so that a wide R is not re-factored for a few rows
     least = 2 * n
 
@@ -79,11 +80,15 @@ def has_full_rank(r: np.ndarray) -> bool:
     return r.shape[0] == r.shape[1] and s[-1] > RANK_TOL * s[0]
 
 
-def thin_qr(a: TallMatrix) -> tuple[TallMatrix, np.ndarray]:
+def thin_qr(a: TallMatrix) -> tuple[TallMatrix, np.ndarray | TallMatrix]:
     """Q (a table) and R with A = QR; a second round makes Q orthonormal to rounding.
 
-    A must have full column rank.
+    A must have full column rank. Above MAX_DIRECT_COLS columns R is a table too.
     """
+    if a.n_cols > MAX_DIRECT_COLS:
+        from tallmat.operators import panels
+
+        return panels.thin_qr(a)
     spark = a.df.sparkSession
     r1 = tsqr(a).r
     if not has_full_rank(r1):
@@ -126,8 +131,23 @@ def _reduced_system(a: TallMatrix, b: TallMatrix | int):
     return square[:n, :n], square[:n, n:], square[n:, n:]
 
 
+def _wide_system(a: TallMatrix, b: TallMatrix | int) -> tuple[TallMatrix, int] | None:
+    """[A | b] and the columns of b, where one R of them is too large."""
+    q = b if isinstance(b, int) else b.n_cols
+    n = a.n_cols + (0 if isinstance(b, int) else q)
+    if n <= MAX_DIRECT_COLS:
+        return None
+    if isinstance(b, int):
+        return a, q
+    return TallMatrix(paired_rows(a, b).select("row_id", F.concat("a", "b").alias("v")), n), q
+
+
 def least_squares(a: TallMatrix, b: TallMatrix | int) -> LeastSquaresFit:
     """argmin ||A x - b|| for every column of b, or for the last b columns of a."""
+    if wide := _wide_system(a, b):
+        from tallmat.operators import panels
+
+        return LeastSquaresFit(*panels.least_squares(*wide))
     r, qtb, rest = _reduced_system(a, b)
     if not has_full_rank(r):
         raise ValueError("least squares needs a matrix of full column rank; use ridge")
@@ -136,12 +156,16 @@ def least_squares(a: TallMatrix, b: TallMatrix | int) -> LeastSquaresFit:
 
 def ridge(a: TallMatrix, b: TallMatrix | int, lambdas: Sequence[float]) -> list[np.ndarray]:
     """argmin ||A x - b||^2 + lambda ||x||^2 for every lambda, all from one pass."""
+    if any(lam < 0 for lam in lambdas):
+        raise ValueError("lambda must not be negative")
+    if wide := _wide_system(a, b):
+        from tallmat.operators import panels
+
+        return panels.ridge(*wide, lambdas)
     r, qtb, _ = _reduced_system(a, b)
     n = r.shape[0]
     solutions = []
     for lam in lambdas:
-        if lam < 0:
-            raise ValueError("lambda must not be negative")
         stacked = np.vstack([r, np.sqrt(lam) * np.eye(n)])
         target = np.vstack([qtb, np.zeros_like(qtb)])
         solutions.append(np.linalg.lstsq(stacked, target, rcond=None)[0])

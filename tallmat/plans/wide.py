@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix
-from tallmat.operators import cx, pca, products, svd
+from tallmat.operators import cx, panels, pca, products, svd
 from tallmat.operators.blocked import BlockedMatrix
 from tallmat.operators.centered import prepare_sparse
 from tallmat.operators.products import local_rows
 from tallmat.plans import fixtures as fx
-from tallmat.plans.factorizations import _eigen_sql, _singular_query
+from tallmat.plans.factorizations import _REGRESSION, _eigen_sql, _regression, _singular_query
 from tallmat.plans.products import _gram_product_sql, factor, factor_sql
 from tallmat.plans.registry import long, query, rounded, sql_round
 
@@ -63,6 +63,67 @@ def prd2_blocked(spark, sf):
     return long(a.gram_times(local_rows(spark, factor(fx.EMBEDDING, 3))))
 
 
+# -- R in panels of columns, Gram matrix in pairs of blocks --------------------------
+
+
+_EMB_GRAM = f"""{fx.with_matrices("emb")},
+{fx.gram_sql("g", "emb")}
+SELECT i AS row_id, j AS col_id, {sql_round("g")} AS val FROM g"""
+
+
+@query("fac1_panel_qr_gram", _EMB_GRAM)
+def fac1_panels(spark, sf):
+    """R'R of the embeddings, R from panels of 24 of the 64 columns."""
+    r = panels.panel_qr(fx.emb(spark, sf), 24).r
+    return long(products.gram(r))
+
+
+@query("prd8_blocked_gram", _EMB_GRAM)
+def prd8_blocked(spark, sf):
+    return long(BlockedMatrix.from_tall(fx.emb(spark, sf), 10, 100).gram())
+
+
+@query(
+    "fac2_panel_qr_orthonormal",
+    f"""{fx.with_matrices("part_nation")},
+c AS (SELECT unnest(range(25)) AS i)
+SELECT a.i AS row_id, b.i AS col_id, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0 END AS val FROM c a CROSS JOIN c b""",
+)
+def fac2_panels(spark, sf):
+    q, _ = panels.thin_qr(fx.part_nation(spark, sf), 9)
+    return long(products.gram(q), 1, 10)
+
+
+@query(
+    "fac18_least_squares_panels",
+    f"""WITH {_REGRESSION},
+t AS (SELECT x, 0::BIGINT AS target, y0 AS y FROM o UNION ALL SELECT x, 1, y1 FROM o)
+SELECT target, {sql_round("regr_slope(y, x)", 1, 7)} AS slope,
+       {sql_round("regr_intercept(y, x)")} AS intercept,
+       {sql_round("sqrt(regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x))", 1000)} AS residual
+FROM t GROUP BY 1""",
+)
+def fac18_panels(spark, sf):
+    """A panel per column: the second one is what the first one leaves."""
+    x, residual = panels.least_squares(_regression(spark, sf), 2, 1)
+    rows = [(t, float(x[0, t]), float(x[1, t]), float(residual[t])) for t in range(2)]
+    df = spark.createDataFrame(rows, "target BIGINT, slope DOUBLE, intercept DOUBLE, residual DOUBLE")
+    return rounded(rounded(rounded(df, 1, 7, "slope"), 1, 6, "intercept"), 1000, 6, "residual")
+
+
+@query(
+    "fac19_ridge_panels",
+    f"""WITH {_REGRESSION},
+e AS (SELECT sum(x * x) + 10 AS a, sum(x) AS b, count(*) + 10 AS c, sum(x * y0) AS p, sum(y0) AS q FROM o)
+SELECT {sql_round("(c * p - b * q) / (a * c - b * b)", 1, 7)} AS slope,
+       {sql_round("(a * q - b * p) / (a * c - b * b)", 1, 7)} AS intercept FROM e""",
+)
+def fac19_panels(spark, sf):
+    x = panels.ridge(_regression(spark, sf).col_slice(0, 3), 1, [10.0], 1)[0]
+    df = spark.createDataFrame([(float(x[0, 0]), float(x[1, 0]))], "slope DOUBLE, intercept DOUBLE")
+    return rounded(df, 1, 7, "slope", "intercept")
+
+
 # -- sparse, centered without filling ------------------------------------------------
 
 
