@@ -85,12 +85,12 @@ def prd8_blocked(spark, sf):
 
 @query(
     "fac2_panel_qr_orthonormal",
-    f"""{fx.with_matrices("part_nation")},
-c AS (SELECT unnest(range(25)) AS i)
+    f"""{fx.with_matrices("order4")},
+c AS (SELECT DISTINCT col_id AS i FROM order4)
 SELECT a.i AS row_id, b.i AS col_id, CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0 END AS val FROM c a CROSS JOIN c b""",
 )
 def fac2_panels(spark, sf):
-    q, _ = panels.thin_qr(fx.part_nation(spark, sf), 9)
+    q, _ = panels.thin_qr(fx.order4(spark, sf), 3)
     return long(products.gram(q), 1, 10)
 
 
