@@ -20,6 +20,8 @@ from tallmat.session import cut_lineage
 
 # Columns per bucket when draws are located in the cumulated probabilities.
 BUCKET = 4096
+# Draws located in one task.
+DRAWS = 1 << 16
 
 
 def leverage(factor: TallMatrix, rank: int) -> DataFrame:
@@ -57,13 +59,15 @@ class CxScores:
 def cx_scores(
     a: CooMatrix, rank: int, slack: int, iters: int, seed: int = 0, basis: str = "auto"
 ) -> CxScores:
-    """Row and column leverage probabilities from a randomized SVD of width rank + slack."""
+    """Row and column leverage probabilities from a randomized SVD of width rank + slack.
+
+    They add up to 1, or to r / rank where the matrix has only r < rank components.
+    """
     svd = randomized_svd(a, rank, slack, iters, seed, basis)
     spark = a.df.sparkSession
-    kept = len(svd.s)
     s = spark.createDataFrame([(i, float(x)) for i, x in enumerate(svd.s)], "comp BIGINT, s DOUBLE")
-    col_lev = leverage(svd.v, kept).withColumnRenamed("row_id", "col_id")
-    return CxScores(s, leverage(svd.u, kept), col_lev, svd)
+    col_lev = leverage(svd.v, rank).withColumnRenamed("row_id", "col_id")
+    return CxScores(s, leverage(svd.u, rank), col_lev, svd)
 
 
 def top_columns(col_lev: DataFrame, c: int) -> DataFrame:
@@ -81,34 +85,41 @@ def sample_columns(col_lev: DataFrame, c: int, seed: int) -> DataFrame:
     """(pos, col_id, p, scale): c draws with replacement, column j with probability p_j.
 
     `scale` is 1 / sqrt(c p_j). The cumulated probabilities are built per bucket of
-    column ids; only one sum per bucket reaches the driver.
+    column ids; only one sum per bucket reaches the driver. In a bucket draws and columns
+    are merged in the order of the cumulated mass, so no draw is compared with a column
+    it does not hit. Draws of a bucket with many are dealt over copies of its columns.
     """
     scored = col_lev.where(F.col("p") > 0).withColumn("bucket", F.floor(F.col("col_id") / BUCKET))
     sums = scored.groupBy("bucket").agg(F.sum("p").alias("mass")).orderBy("bucket").toArrow()
     check_local(sums.num_rows, 1)
+    spark = col_lev.sparkSession
+    if not sums.num_rows:
+        raise ValueError("no column has a positive score")
+    buckets = sums.column("bucket").to_numpy()
     ends = np.cumsum(sums.column("mass").to_numpy())
     draws = np.random.default_rng(seed).random(c) * ends[-1]
     at = np.minimum(np.searchsorted(ends, draws, side="right"), len(ends) - 1)
-    inside = draws - np.concatenate([[0.0], ends[:-1]])[at]
+    copies = -(-np.bincount(at, minlength=len(ends)) // DRAWS)
     table = {
+        "bucket": buckets[at],
+        "copy": np.arange(c) % copies[at],
+        "at": draws - np.concatenate([[0.0], ends[:-1]])[at],
         "pos": np.arange(c, dtype=np.int64),
-        "bucket": sums.column("bucket").to_numpy()[at],
-        "u": inside,
     }
-    spark = col_lev.sparkSession
     drawn = spark.createDataFrame(pa.table(table))
+    fans = spark.createDataFrame(pa.table({"bucket": buckets, "copies": copies})).where("copies > 0")
 
     # a bucket holds at most BUCKET columns
-    in_bucket = Window.partitionBy("bucket").orderBy("col_id")
-    spans = scored.withColumn("end", F.sum("p").over(in_bucket))
-    low = F.coalesce(F.lag("end").over(in_bucket), F.lit(0.0))
-    # rounding must not lose a draw at the upper end of its bucket
-    last = F.lead("col_id").over(in_bucket).isNull()
-    high = F.when(last, float("inf")).otherwise(F.col("end"))
-    spans = spans.withColumn("low", low).withColumn("high", high)
-    hit = spans.join(drawn, "bucket").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    scale = 1.0 / F.sqrt(F.lit(float(c)) * F.col("p"))
-    return hit.select("pos", "col_id", "p", scale.alias("scale"))
+    before = Window.partitionBy("bucket").orderBy("col_id").rowsBetween(Window.unboundedPreceding, -1)
+    spans = scored.withColumn("at", F.coalesce(F.sum("p").over(before), F.lit(0.0)))
+    copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy")
+    spans = spans.join(fans, "bucket").select("bucket", copy, "at", F.struct("col_id", "p").alias("span"))
+    # a column begins at its mass, so it stands before the draws there
+    both = spans.unionByName(drawn, allowMissingColumns=True)
+    so_far = Window.partitionBy("bucket", "copy").orderBy("at", F.col("pos").asc_nulls_first(), F.col("span.col_id"))
+    hit = both.withColumn("span", F.last("span", ignorenulls=True).over(so_far)).where("pos IS NOT NULL")
+    scale = 1.0 / F.sqrt(F.lit(float(c)) * F.col("span.p"))
+    return hit.select("pos", "span.col_id", "span.p", scale.alias("scale"))
 
 
 def chosen_columns(a: CooMatrix, chosen: DataFrame, c: int, scaled: bool = False) -> CooMatrix:

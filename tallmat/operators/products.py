@@ -125,12 +125,16 @@ def _gram_columns_sum(a: TallMatrix | CooMatrix, start: int, stop: int) -> Matri
     return MatrixSum(df, local, a.n_cols, stop - start)
 
 
-def gram(a: TallMatrix | CooMatrix) -> TallMatrix:
-    """A'A as an n x n table."""
+def gram(a: TallMatrix | CooMatrix) -> TallMatrix | CooMatrix:
+    """A'A as an n x n table; of a sparse matrix above MAX_DIRECT_COLS columns, its entries."""
     if a.n_cols > MAX_DIRECT_COLS and isinstance(a, TallMatrix):
         from tallmat.operators.blocked import BlockedMatrix
 
         return BlockedMatrix.from_tall(a).gram()
+    if a.n_cols > MAX_DIRECT_COLS and isinstance(a, CooMatrix):
+        from tallmat.operators.pairs import gram_entries
+
+        return gram_entries(a)
     return TallMatrix(_gram_sum(a).to_rows(), a.n_cols)
 
 

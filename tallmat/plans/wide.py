@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix
-from tallmat.operators import cx, panels, pca, products, svd
+from tallmat.operators import cx, pairs, panels, pca, products, svd
 from tallmat.operators.blocked import BlockedMatrix
 from tallmat.operators.centered import prepare_sparse
 from tallmat.operators.products import local_rows
@@ -56,6 +56,42 @@ def fac7_wide_error(spark, sf):
     return rounded(pca.pca(supp_order(spark, sf).to_tall(), 1, "none").squared_error(), 1e6)
 
 
+@query(
+    "prd8_gram_entries_order_part",
+    f"""WITH m AS MATERIALIZED (
+  SELECT l_orderkey AS row_id, l_partkey AS col_id, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2),
+{fx.gram_sql("g", "m")}
+SELECT i AS row_id, j AS col_id, {sql_round("g")} AS val FROM g""",
+)
+def prd8_entries(spark, sf):
+    entries = fx.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").alias("val")
+    )
+    width = fx.table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] + 1
+    return long(pairs.gram_entries(CooMatrix(entries, width)))
+
+
+@query(
+    "prd8_gram_entries_long_rows",
+    f"""WITH m AS MATERIALIZED (
+  SELECT s_nationkey AS row_id, l_partkey AS col_id, sum(l_quantity) AS val
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+{fx.gram_sql("g", "m")}
+SELECT i AS row_id, count(*) AS entries, {sql_round("sum(g)")} AS val, {sql_round("max(g)")} AS largest
+FROM g GROUP BY i""",
+)
+def prd8_entries_long(spark, sf):
+    # 25 rows that hold nearly every part; the product is nearly full, so its rows are summed up
+    suppliers = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    entries = fx.table(spark, sf, "lineitem").join(suppliers, "l_suppkey").select(
+        F.col("s_nationkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").alias("val")
+    )
+    width = fx.table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] + 1
+    g = pairs.gram_entries(CooMatrix(entries, width), segment=256).df
+    rows = g.groupBy("row_id").agg(F.count("*").alias("entries"), F.sum("val").alias("val"), F.max("val").alias("largest"))
+    return rounded(rows, 1.0, 6, "val", "largest")
+
+
 @query("prd2_blocked_gram_times", _gram_product_sql("emb", 3, 1.0))
 def prd2_blocked(spark, sf):
     # 64 columns in blocks of 10, rows in buckets of 100

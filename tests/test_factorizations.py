@@ -533,6 +533,40 @@ def test_absent_rows_score_zero(spark, make_coo):
     assert [r.p for r in cols] == pytest.approx([0.5, 0, 0.5])
 
 
+def test_leverage_is_over_the_stated_rank(make_coo):
+    x = low_rank(20, 6, [5, 2])
+    scores = cx_scores(make_coo(x), 4, 1, 3)
+    _, _, vt = np.linalg.svd(x)
+    cols = {r.col_id: r.p for r in scores.col_lev.collect()}
+    assert [cols[j] for j in range(6)] == pytest.approx(list((vt[:2] ** 2).sum(0) / 4), abs=1e-6)
+
+
+@pytest.mark.parametrize("per_task", [50, 1 << 16])
+def test_draws_hit_the_cumulated_mass(spark, monkeypatch, per_task):
+    monkeypatch.setattr(cx, "BUCKET", 64)
+    monkeypatch.setattr(cx, "DRAWS", per_task)
+    p = np.random.default_rng(1).integers(0, 4, 1000) / 1024.0
+    p[70] = 4.0
+    df = spark.createDataFrame([(j, float(x)) for j, x in enumerate(p)], "col_id BIGINT, p DOUBLE")
+    drawn = {r.pos: r for r in cx.sample_columns(df, 3000, seed=5).collect()}
+    assert len(drawn) == 3000
+    ends = np.cumsum(p)
+    u = np.random.default_rng(5).random(3000) * ends[-1]
+    # sums of multiples of 1/1024 are exact
+    assert [drawn[k].col_id for k in range(3000)] == np.searchsorted(ends, u, side="right").tolist()
+    assert all(r.p == p[r.col_id] and r.scale == pytest.approx((3000 * r.p) ** -0.5) for r in drawn.values())
+
+
+def test_a_million_draws_make_no_pairs(spark):
+    df = spark.range(100_000).select(F.col("id").alias("col_id"), (1.0 / (F.col("id") + 1)).alias("p"))
+    drawn = cx.sample_columns(df, 1_000_000, seed=2)
+    top = drawn.groupBy("col_id").count().where("col_id = 0").first()["count"]
+    mass = (1 / (np.arange(100_000) + 1.0)).sum()
+    assert drawn.count() == 1_000_000 and abs(top / 1e6 - 1 / mass) < 0.002
+    with pytest.raises(ValueError):
+        cx.sample_columns(df.where("p < 0"), 5, seed=1)
+
+
 def test_sampling_follows_the_probabilities(spark, monkeypatch):
     monkeypatch.setattr(cx, "BUCKET", 3)
     p = np.array([0.5, 0.0, 0.1, 0.05, 0.2, 0.05, 0.1, 0.0])
