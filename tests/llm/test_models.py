@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from plain_texts import words_of
 
-from tallmat.llm import language_model, ranking, toxicity
+from tallmat.llm import language_model, ranking, seating, toxicity
 from tallmat.llm.catalog import QUERIES
 from tallmat.llm.learning import labelled_sample
 
@@ -123,25 +123,93 @@ def test_language_model_odd_tables(odd, empty):
     assert held.count() == 1
 
 
-def test_reseating_keeps_customers():
-    draw = np.random.default_rng(0)
-    t = np.array([1, 2, 3])
-    c = np.array([2, 5, 9])
-    sizes = np.array([2, 4, 1, 3, 3, 3])
-    for _ in range(200):
-        sizes, t = language_model.reseat(sizes, t, c, np.array([0.3, 1.0, 5.0]), 0.7, 3, draw)
-        assert np.add.reduceat(sizes, np.cumsum(t) - t).tolist() == c.tolist()
-        assert (sizes > 0).all() and (t >= 1).all() and (t <= c).all()
+@pytest.mark.parametrize("d", [0.1, 0.6, 0.8, 0.95])
+def test_stirling_numbers_equal_their_recursion(d):
+    exact = seating.stirling_table(900, d)
+    for c in (65, 900):
+        t = np.arange(1, c + 1)
+        error = np.diff(seating.log_stirling(np.full(c, c), t, d)) - np.diff(exact[c, 1 : c + 1])
+        inside = t[1:] <= max(c**d, 8)
+        assert np.abs(error[inside]).max() < 1e-6
+        assert np.abs(error).max() < 0.4 and np.median(np.abs(error[~inside])) < 0.05
+
+
+def exact_tables(c, p, others, d):
+    weight = seating.stirling_table(c, d)[c, 1:] + np.cumsum(np.log(p * (others + d * np.arange(c))))
+    mass = np.exp(weight - weight.max())
+    return mass / mass.sum()
 
 
-def test_gibbs_matches_exact_posterior():
-    """Two customers of one dish share a table with probability (1 - d) / (1 - d + fresh)."""
+@pytest.mark.parametrize("c, p, others, d", [(2, 0.3, 3.0, 0.6), (40, 0.05, 20.0, 0.8), (300, 0.01, 200.0, 0.7), (300, 0.2, 90.0, 0.8)])
+def test_table_counts_follow_the_exact_posterior(c, p, others, d):
     draw = np.random.default_rng(0)
-    n, d, fresh = 20_000, 0.6, 0.9
-    t, sizes = np.ones(n, np.int64), np.full(n, 2)
+    n = 6000
+    t = np.zeros(n, np.int64)
+    for _ in range(4 if c > seating.EXACT else 1):
+        t = seating.draw_tables(t, np.full(n, c), np.full(n, p), np.full(n, others), d, draw)
+    assert (t >= 1).all() and (t <= c).all()
+    want = exact_tables(c, p, others, d)
+    got = np.bincount(t, minlength=c + 1)[1:] / n
+    assert np.abs(np.cumsum(got) - np.cumsum(want)).max() < 0.03
+
+
+def partitions(n):
+    """All seatings of n customers, as lists of table sizes."""
+    if n == 0:
+        yield []
+        return
+    for sizes in partitions(n - 1):
+        yield sizes + [1]
+        for k in range(len(sizes)):
+            yield sizes[:k] + [sizes[k] + 1] + sizes[k + 1 :]
+
+
+def test_table_counts_equal_all_seatings_weighed():
+    """Every seating of 7 customers weighed by the restaurant's own rule."""
+    c, p, others, d = 7, 0.2, 6.0, 0.5
+    weight = np.zeros(c + 1)
+    for sizes in partitions(c):
+        one = math.prod(p * (others + d * k) for k in range(len(sizes)))
+        weight[len(sizes)] += one * math.prod(i - d for s in sizes for i in range(1, s))
+    want = weight[1:] / weight.sum()
+    assert exact_tables(c, p, others, d) == pytest.approx(want.tolist())
+    n = 20_000
+    drawn = seating.draw_tables(np.zeros(n, np.int64), np.full(n, c), np.full(n, p), np.full(n, others), d, np.random.default_rng(3))
+    assert np.abs(np.bincount(drawn, minlength=c + 1)[1:] / n - want).max() < 0.015
+
+
+def test_large_counts_are_seated_whole():
+    """A popular word of a large context gets thousands of tables, not one per Gibbs move."""
+    draw = np.random.default_rng(0)
+    t = np.zeros(50, np.int64)
+    for _ in range(3):
+        t = seating.draw_tables(t, np.full(50, 100_000), np.full(50, 0.05), np.full(50, 40_000.0), 0.8, draw)
+    assert (t > 500).all() and (t < 100_000**0.8 * 2).all()
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    """Known words share what the unknown event leaves."""
+    tokens = np.array([3, 5, 3, 9, 5, 3, 3, 9], np.uint64)
+    contexts = np.array([1, 1, 1, 1, 2, 2, 2, 1])
+    rows = list(language_model._chunk_rows(0, tokens, contexts, np.ones(8), [7], np.array([8]), 1))
+    group = pa.Table.from_batches(rows).filter(pa.array([False, True]))
+    bucket = language_model.Bucket(group)
+    totals = language_model._first_totals(bucket, 1)
     for _ in range(3):
-        sizes, t = language_model.reseat(sizes, t, np.full(n, 2), np.full(n, fresh), d, 2, draw)
-    assert abs((t == 1).mean() - (1 - d) / (1 - d + fresh)) < 0.02
+        bucket.sweep(totals)
+    totals.tables = np.bincount(bucket.context, bucket.tables, language_model.CONTEXTS)
+    totals.parent_customers, totals.parent_tables = bucket.parent_customers.sum(), bucket.parent_tables.sum()
+    parent = totals.parent(bucket.parent_customers, bucket.parent_tables, totals.base())
+    unknown = totals.parent(np.zeros(1), np.zeros(1), totals.unknown)[0]
+    assert parent.sum() + unknown == pytest.approx(1)
+    total = 0.0
+    for w in range(3):
+        here = (bucket.word == w) & (bucket.context == 1)
+        seated = (bucket.customers[here] - totals.discount * bucket.tables[here]).sum()
+        fresh = language_model.STRENGTH + totals.discount * totals.tables[1]
+        total += (seated + fresh * parent[w]) / (language_model.STRENGTH + totals.customers[1])
+    fresh = language_model.STRENGTH + totals.discount * totals.tables[1]
+    assert total + fresh * unknown / (language_model.STRENGTH + totals.customers[1]) == pytest.approx(1)
 
 
 def test_packed_round_trip():
