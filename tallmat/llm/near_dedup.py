@@ -1,6 +1,6 @@
 """MinHash near-dedup: set similarity join by chosen paths.
 
-A document is the set of its distinct 2-word shingles. Documents with equal sets form a class, and one of each class
+A document is the set of its distinct shingles, of two words in the query and of five in the pipeline. Documents with equal sets form a class, and one of each class
 (the smallest doc_id) goes through `TREES` independent trees. A tree branches its documents by one minwise token after
 the other: documents stay together as long as the token with the smallest hash agrees. A node of at most `LEAF`
 documents is compared exhaustively; larger ones branch on. A pair of similarity 0.8 survives a branching with
@@ -20,7 +20,7 @@ these candidates that are small are settled exactly in one task with the full se
 edges are confirmed by joins on the full sets: for each document its strongest edge and the one to the component's
 first document; then, between the components so found, all candidates that leaves have.
 
-Defined cases: a text of one word has one shingle, the word itself; NULL, empty and blank texts have none and are
+Defined cases: a text of fewer words than a shingle has one, all its words; NULL, empty and blank texts have none and are
 linked with nothing; rows with equal doc_id are versions of one document: links of any of them count; empty tables
 give no rows; extra columns are ignored.
 """
@@ -55,25 +55,30 @@ _COORDS = 60
 _RANDOM = np.random.default_rng(11).integers(0, 1 << 63, (2, _COORDS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one after the other, and their number per text."""
     words = Words(texts, lower=True)
     x = words.hashes()
-    pairs = windows(x, 2)
+    shingles = windows(x, width)
     found, sizes = [], np.zeros(len(texts), np.int64)
     for i, n in enumerate(words.counts.tolist()):
         if n:
             a = words.first[i]
-            own = np.unique(pairs[a : a + n - 1]) if n > 1 else mix(x[a : a + 1] ^ np.uint64(0x5851F42D4C957F2D))
+            if n >= width:
+                own = np.unique(shingles[a : a + n - width + 1])
+            else:
+                own = np.full(1, 0x5851F42D4C957F2D, np.uint64)
+                for k in range(n):
+                    own = mix(own ^ x[a + k : a + k + 1])
             found.append(own)
             sizes[i] = len(own)
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), sizes
 
 
-def _sketch_batches(batches: Iterator) -> Iterator:
+def _sketch_batches(batches: Iterator, width: int) -> Iterator:
     for batch in batches:
         for piece in slices(batch):
-            values, sizes = shingle_sets(piece.column("text"))
+            values, sizes = shingle_sets(piece.column("text"), width)
             full = np.flatnonzero(sizes)
             starts = (np.cumsum(sizes) - sizes)[full]
             sig = np.zeros((piece.num_rows, _COORDS), np.int32)
@@ -169,17 +174,17 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (both - shared)
 
 
-def _sets(texts: pa.Array) -> list[np.ndarray]:
-    values, sizes = shingle_sets(texts)
+def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    values, sizes = shingle_sets(texts, width)
     return np.split(values, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
-def _settle_batches(batches: Iterator) -> Iterator:
+def _settle_batches(batches: Iterator, width: int) -> Iterator:
     """Exact components of small groups of candidates: every pair not yet connected is compared."""
     for group in _groups(batches, "root"):
         ids = group.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        sets = _sets(group.column("text").combine_chunks())
+        sets = _sets(group.column("text").combine_chunks(), width)
         union = _Union(len(ids))
         for p in range(len(order)):
             for q in range(p + 1, len(order)):
@@ -189,19 +194,19 @@ def _settle_batches(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(roots, pa.int64())], names=["id", "root"])
 
 
-def _confirm_batches(batches: Iterator) -> Iterator:
+def _confirm_batches(batches: Iterator, width: int) -> Iterator:
     for batch in batches:
         for piece in slices(batch, "ta", 1 << 20):
-            x, y = _sets(piece.column("ta")), _sets(piece.column("tb"))
+            x, y = _sets(piece.column("ta"), width), _sets(piece.column("tb"), width)
             yield piece.select(["a", "b"]).filter(pa.array([_similar(p, q) for p, q in zip(x, y)], pa.bool_()))
 
 
-def _confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(edges: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The edges whose full sets are similar enough."""
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     joined = edges.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
-    return cut_lineage(joined.mapInArrow(_confirm_batches, "a LONG, b LONG"))
+    return cut_lineage(joined.mapInArrow(lambda x: _confirm_batches(x, width), "a LONG, b LONG"))
 
 
 def _leaves(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -266,27 +271,27 @@ def _relabelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> D
     return rows.join(labels, column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
 
 
-def _settle_large(edges: DataFrame, leaves: DataFrame, sketches: DataFrame, members: DataFrame) -> DataFrame:
+def _settle_large(edges: DataFrame, leaves: DataFrame, sketches: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """Confirmed components of the candidate components that are too large for one task."""
     ends = edges.select("a", "b", "agree").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     strongest = ends.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("minus"))).alias("s"))
     first = strongest.select("a", (-F.col("s.minus")).alias("b"))
     first = first.unionByName(members.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    links = _confirmed(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members)
+    links = _confirmed(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members, width)
     labels = cut_lineage(components(links))
     inside = members.select("id")
     known = cut_lineage(_relabelled(leaves.join(inside, "id", "left_semi"), labels, "id", "root"))
     mixed = known.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("node")
     known = known.join(mixed, "node", "left_semi").select("node", "id", "root")
     pairs = _compare(known, sketches, True).select("a", "b").distinct()
-    return components(links.unionByName(_confirmed(pairs, members)))
+    return components(links.unionByName(_confirmed(pairs, members, width)))
 
 
-def _rest_batches(batches: Iterator) -> Iterator:
+def _rest_batches(batches: Iterator, width: int = 2) -> Iterator:
     """Edges between the components of the documents of two blocks, from the exact intersections of all pairs."""
     for group in _groups(batches, "task"):
         ids, roots = group.column("id").to_numpy(), group.column("root").to_numpy()
-        values, sizes = shingle_sets(group.column("text").combine_chunks())
+        values, sizes = shingle_sets(group.column("text").combine_chunks(), width)
         row = np.repeat(np.arange(len(ids)), sizes)
         order = np.argsort(values, kind="stable")
         values, row = values[order], row[order]
@@ -338,21 +343,21 @@ def _tasks(cut: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
     return dealt.select(task.alias("task"), "id", "root").distinct()
 
 
-def _rest(cut: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(cut: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Confirmed edges (a, b) between documents of large nodes, the component of the first document apart."""
     return cut_lineage(
         _tasks(cut, labels, sketches).join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
         .repartition("task")
         .sortWithinPartitions("task", "id")
-        .mapInArrow(_rest_batches, "a LONG, b LONG")
+        .mapInArrow(lambda b: _rest_batches(b, width), "a LONG, b LONG")
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, kept), one row per document row."""
+def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, kept), one row per document row; shingles of `width` words."""
     texts = texts_of(docs)
     sketched = stored(
-        texts.mapInArrow(_sketch_batches, "doc_id LONG, n LONG, k1 LONG, k2 LONG, sig ARRAY<INT>"), "sketches"
+        texts.mapInArrow(lambda b: _sketch_batches(b, width), "doc_id LONG, n LONG, k1 LONG, k2 LONG, sig ARRAY<INT>"), "sketches"
     )
     full = sketched.where("n > 0")
     classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -381,16 +386,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("root", "id", "text")
         .repartition("root")
         .sortWithinPartitions("root", "id")
-        .mapInArrow(_settle_batches, "id LONG, root LONG")
+        .mapInArrow(lambda b: _settle_batches(b, width), "id LONG, root LONG")
     )
     large = members.where(F.col("size") > SMALL).select("id", "text", "root")
     linked = small
     if not large.isEmpty():
         big_edges = edges.join(large.select(F.col("id").alias("a")), "a", "left_semi")
-        linked = small.unionByName(_settle_large(big_edges, leaves, sketches, large))
+        linked = small.unionByName(_settle_large(big_edges, leaves, sketches, large, width))
     linked = stored(linked.groupBy("id").agg(F.min("root").alias("root")), "components")
     if not cut.isEmpty():
-        more = _rest(cut, linked, sketches, texts)
+        more = _rest(cut, linked, sketches, texts, width)
         if not more.isEmpty():
             linked = components(linked.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     by_class = cut_lineage(_relabelled(classes, linked, "class_id", "component_id"))
@@ -407,12 +412,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
     """One document of each group of near duplicates, with all its columns; rows without an id stay.
 
     Rows that agree in id and text are one row; different texts under the id that stays all stay.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, width)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
     key = docs["doc_id"].cast("long")
     kept = docs.join(gone, key == F.col("_id"), "left_anti")
@@ -426,4 +431,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 @query("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(table(spark, sf_dir, "documents"), 2).select("doc_id", "n_shingles", "component_id", "kept")

@@ -51,11 +51,12 @@ def test_substring_dedup_odd_tables(odd, empty):
     assert remove_repeats(odd).count() == odd.where("doc_id IS NOT NULL").count()
 
 
-def components_by_hand(rows):
+def components_by_hand(rows, width=2):
     sets = {}
     for doc, text in rows:
         w = words_of(text, lower=True)
-        sets.setdefault(doc, []).append(frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else []))
+        shingles = [tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, 1))] if w else []
+        sets.setdefault(doc, []).append(frozenset(shingles))
     up = {d: d for d in sets}
 
     def find(i):
@@ -101,6 +102,20 @@ def test_near_dedup(sample, sample_rows, monkeypatch, small, leaf):
     assert got == components_by_hand(rows)
 
 
+def test_five_word_shingles(sample, sample_rows):
+    """Long texts with few edits, and texts of fewer words than a shingle, told apart by the order of their words."""
+    rng = random.Random(4)
+    rows = sample_rows[:60] + groups(rng)[:50] + [(9001, "a b c d"), (9002, "a  B c d"), (9003, "d c b a"), (9004, "a b c"), (9005, "a")]
+    for k in range(12):
+        words = sentence(random.Random(99), 300, 5000).split()
+        for at in rng.sample(range(300), k):
+            words[at] = f"x{at}"
+        rows.append((4000 + k, " ".join(words)))
+    docs = sample.sparkSession.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, 5).collect())
+    assert got == components_by_hand(rows, 5)
+
+
 def test_near_dedup_pairs_without_candidates_in_large_nodes(spark, monkeypatch):
     """Near duplicates of one large node that lie in different blocks, where no block has a candidate."""
     rng = random.Random(21)

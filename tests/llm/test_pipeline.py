@@ -21,7 +21,7 @@ def test_stages(spark):
     keeps = {r.doc_id for r in quality_rules.quality(raw).where("kept").collect()}
     ids = [{r.doc_id for r in t.select("doc_id").collect()} for t in tables]
     assert ids[1] == keeps
-    assert ids[2] == {r.doc_id for r in near_dedup.near_duplicates(good).where("kept").collect()}
+    assert ids[2] == {r.doc_id for r in near_dedup.near_duplicates(good, 5).where("kept").collect()}
     items = [words_of(r.text, True) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     for r in single.collect():
         text = " " + " ".join(words_of(r.text, True)) + " "
