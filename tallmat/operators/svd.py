@@ -24,12 +24,15 @@ from tallmat.operators.fold import fits_locally, ship
 from tallmat.operators.joined import JoinedMatrix
 from tallmat.operators.products import local_rows, map_blocks
 from tallmat.operators.tsqr import RANK_TOL, tsqr
-from tallmat.session import MAX_DIRECT_COLS, cut_lineage
+from tallmat.session import MAX_DIRECT_COLS, MAX_LOCAL_ELEMS, cut_lineage
 
 log = logging.getLogger(__name__)
 
 # Residuals relative to the largest Ritz value that rounding leaves.
 RESIDUAL_FLOOR = 1e-12
+# Blocks in a Krylov basis: so many at least, and up to so many while the basis stays local. A long basis tells close
+# singular values apart in fewer passes.
+SHORT_BASIS, LONG_BASIS = 6, 64
 
 
 @dataclass
@@ -219,7 +222,7 @@ def krylov_svd(
     a: TallMatrix | CooMatrix,
     k: int,
     tol: float = 1e-13,
-    restarts: int = 30,
+    restarts: int = 200,
     seed: int = 0,
     basis: str = "auto",
 ) -> TruncatedSvd:
@@ -232,9 +235,11 @@ def krylov_svd(
     """
     _check_rank(a, k)
     block = min(k + 2, a.n_cols)
-    longest = min(6 * block, a.n_cols)
+    longest = min(SHORT_BASIS * block, a.n_cols)
     if basis == "auto":
         basis = "local" if fits_locally(a.n_cols, 2 * longest) else "table"
+    if basis == "local":
+        longest = max(longest, min(LONG_BASIS * block, a.n_cols, MAX_LOCAL_ELEMS // (4 * a.n_cols)))
     space = _LocalSpace(a, seed) if basis == "local" else _TableSpace(a, seed)
     try:
         return _lanczos(space, a.n_cols, k, block, longest, tol, restarts * 5)
