@@ -45,6 +45,8 @@ class TallMatrix:
         self.n_cols = n_cols
         self._blocks = blocks
         self._callers = False
+        # the stored entries of a matrix that was sparse; products of wide ones skip the zeros
+        self.sparse: CooMatrix | None = None
 
     def blocks(self) -> Blocks:
         """How tasks read the matrix: a table, and a function from its Arrow batches to
@@ -332,4 +334,6 @@ class CooMatrix:
                 for row_ids, x in batches.scatter_blocks(batch, n):
                     yield batches.rows_batch(row_ids, x)
 
-        return TallMatrix(self.sparse_rows().mapInArrow(densify, ROW_SCHEMA), n)
+        tall = TallMatrix(self.sparse_rows().mapInArrow(densify, ROW_SCHEMA), n)
+        tall.sparse = self
+        return tall

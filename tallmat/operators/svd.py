@@ -24,7 +24,8 @@ from tallmat.operators.fold import fits_locally, ship
 from tallmat.operators.joined import JoinedMatrix
 from tallmat.operators.products import local_rows, map_blocks
 from tallmat.operators.tsqr import RANK_TOL, tsqr
-from tallmat.session import MAX_DIRECT_COLS, MAX_LOCAL_ELEMS, cut_lineage
+from tallmat.sources.index import number_rows
+from tallmat.session import MAX_BROADCAST_ROWS, MAX_DIRECT_COLS, MAX_LOCAL_ELEMS, cut_lineage, keep
 
 log = logging.getLogger(__name__)
 
@@ -33,6 +34,8 @@ RESIDUAL_FLOOR = 1e-12
 # Blocks in a Krylov basis: so many at least, and up to so many while the basis stays local. A long basis tells close
 # singular values apart in fewer passes.
 SHORT_BASIS, LONG_BASIS = 6, 64
+# A wide matrix with a smaller share of stored entries is passed over by its entries.
+SPARSE_SHARE = 1 / 16
 
 
 @dataclass
@@ -150,6 +153,7 @@ def randomized_svd(
 ) -> TruncatedSvd:
     """Subspace iteration with a QR per round, then the SVD of A Q."""
     _check_rank(a, k)
+    a = stored(a)
     width = min(k + oversample, a.n_cols)
     if basis == "auto":
         basis = "local" if fits_locally(a.n_cols, width) else "table"
@@ -400,7 +404,51 @@ def in_blocks(a):
     return BlockedMatrix.from_tall(a) if isinstance(a, TallMatrix) and a.n_cols > MAX_DIRECT_COLS else a.keep()
 
 
+def stored(a):
+    """A wide matrix made dense from few entries goes on as these entries; any other as it is."""
+    if not isinstance(a, TallMatrix) or a.sparse is None or a.n_cols <= MAX_DIRECT_COLS:
+        return a
+    sizes = a.sparse.df.agg(F.count("*").alias("n"), F.count_distinct(F.struct("row_id")).alias("rows")).first()
+    return a.sparse if sizes.n < SPARSE_SHARE * sizes.rows * a.n_cols else a
+
+
+def transposed_svd(a: CooMatrix, k: int, seed: int = 0) -> TruncatedSvd | None:
+    """By Lanczos on AA', for a matrix with fewer rows than columns; None where the rows are not few enough.
+
+    The basis has a row per row of A, and a pass reads A by columns, which are short.
+    """
+    entries = keep(a.df)
+    try:
+        ids = entries.select("row_id").distinct()
+        m = ids.count()
+        longest = SHORT_BASIS * min(k + 2, m)
+        if not k <= m < a.n_cols or not fits_locally(m, 2 * longest):
+            return None
+        numbers, _ = number_rows(ids, ["row_id"], "at")
+        numbers = numbers.withColumnRenamed("row_id", "old")
+        # a null row id is a row as well
+        side = F.broadcast(numbers) if m <= MAX_BROADCAST_ROWS else numbers
+        flipped = entries.join(side, F.col("row_id").eqNullSafe(F.col("old")))
+        flipped = keep(flipped.select(F.col("col_id").alias("row_id"), F.col("at").alias("col_id"), "val"))
+        try:
+            f = krylov_svd(CooMatrix(flipped, m, canonical=True), k, seed=seed, basis="local")
+            v = TallMatrix(cut_lineage(f.u.df), f.u.n_cols)
+        finally:
+            flipped.unpersist()
+    finally:
+        entries.unpersist()
+    signs = np.diag(_table_signs(v))
+    u = right(f.v, signs).df.withColumnRenamed("row_id", "at").join(numbers, "at").select(F.col("old").alias("row_id"), "v")
+    v = with_rows(right(v, signs), all_ids(a.df.sparkSession, a.n_cols))
+    return TruncatedSvd(TallMatrix(u, f.v.n_cols), f.s, v)
+
+
 def exact_svd(a, k: int, max_direct_cols: int = MAX_DIRECT_COLS, seed: int = 0) -> TruncatedSvd:
+    a = stored(a)
+    if isinstance(a, CooMatrix) and a.n_cols > MAX_DIRECT_COLS and not fits_locally(a.n_cols, 2 * SHORT_BASIS * (k + 2)):
+        found = transposed_svd(a, k, seed)
+        if found is not None:
+            return found
     if a.n_cols <= min(max_direct_cols, MAX_DIRECT_COLS) and not isinstance(a, BlockedMatrix):
         return direct_svd(a, k)
     return krylov_svd(a, k, seed=seed)

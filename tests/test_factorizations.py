@@ -609,6 +609,45 @@ def test_large_factors_are_broadcast(make, monkeypatch):
     assert np.allclose(svd.randomized_svd(make(x), 2, 10, 2).s, svd.direct_svd(make(x), 2).s)
 
 
+def _few_entries(make_coo, rows=12, n=4100):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(rows, n)) * (rng.random((rows, n)) < 0.02)
+    return make_coo(x), x
+
+
+def test_wide_matrices_of_few_entries_are_never_filled(make_coo, monkeypatch):
+    """The dense view of a sparse matrix is factored and judged by its entries."""
+    a, x = _few_entries(make_coo)
+    tall = a.to_tall()
+    monkeypatch.setattr(BlockedMatrix, "from_tall", None)
+    monkeypatch.setattr("tallmat.operators.batches.scatter_blocks", None)
+    want = np.linalg.svd(x, compute_uv=False)
+    assert np.allclose(svd.exact_svd(tall, 2).s, want[:2], rtol=1e-10)
+    model = pca(tall, 2, "none")
+    assert np.isclose(model.squared_error().first().val, (want[2:] ** 2).sum(), rtol=1e-9)
+
+
+def test_wide_matrices_of_many_entries_stay_in_tiles(make_coo):
+    a, x = _few_entries(make_coo)
+    a.df = a.df.unionByName(a.df.sparkSession.range(4100).selectExpr("0L AS row_id", "id AS col_id", "1e-9 AS val"))
+    assert isinstance(svd.stored(type(a)(a.df, 4100).to_tall()), TallMatrix)
+
+
+def test_transposed_lanczos(make_coo, spark):
+    a, x = _few_entries(make_coo)
+    # row ids may be any numbers, and a row without an id is a row
+    df = a.df.withColumn("row_id", F.when(F.col("row_id") > 0, F.col("row_id") * 1000))
+    f = svd.transposed_svd(type(a)(df, 4100), 2)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    signs = svd.sign_fix(vt[:2].T)
+    assert np.allclose(f.s, s[:2], rtol=1e-10)
+    assert np.allclose(f.v.to_numpy(), vt[:2].T * signs, atol=1e-8)
+    got = {r.row_id: r.v for r in f.u.df.collect()}
+    want = x @ (vt[:2].T * signs) / s[:2]
+    assert all(np.allclose(got[1000 * i if i else None], want[i], atol=1e-8) for i in range(len(x)))
+    assert svd.transposed_svd(type(a)(a.df, 12), 2) is None
+
+
 def test_krylov_tells_close_values_apart(make):
     """Singular values at the edge of a dense spectrum, which a basis of six blocks did not reach in 150 passes."""
     rng = np.random.default_rng(4)
