@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallmat.frames import CooMatrix, TallMatrix
+from tallmat.functions import arrays
 from tallmat.operators.blocked import BlockedMatrix
 from tallmat.operators.centered import CenteredSparse, prepare_sparse
 from tallmat.operators.fold import fits_locally, ship
 from tallmat.operators.preprocess import preprocess as prepare
+from tallmat.operators.products import gram_local
 from tallmat.operators.stats import block_error
-from tallmat.operators.svd import TruncatedSvd, exact_svd, randomized_svd
-from tallmat.session import MAX_DIRECT_COLS
+from tallmat.operators.svd import TruncatedSvd, exact_svd, randomized_svd, stored
+from tallmat.session import MAX_DIRECT_COLS, keep
 
 # fixed defaults of the randomized method
 OVERSAMPLE = 5
@@ -54,10 +56,13 @@ class PcaModel:
         """One record `val`: squared error of the rank-k approximation, added up from residuals.
 
         U S V' is A V V', so the rows of A suffice where V fits a task; with a V as a table, dense matrices meet both factors tile by
-        tile. Only a sparse matrix with such a V takes ||A||^2 minus the squared singular values. A loaded model
+        tile, or entry by entry where they are made of few entries. Only a sparse matrix with such a V takes ||A||^2 minus the squared singular values. A loaded model
         has no matrix; use stats.squared_error with u and right_factor().
         """
         dense = isinstance(self.matrix, TallMatrix)
+        stored = self._stored()
+        if stored is not None:
+            return self._error_by_entries(stored)
         if dense and (self.meta["n"] > MAX_DIRECT_COLS or not fits_locally(self.meta["n"], self.k)):
             s = F.lit([float(x) for x in self.singular_values()])
             scaled = self.u.with_v(F.zip_with("v", s, lambda x, c: x * c))
@@ -69,6 +74,24 @@ class PcaModel:
         errors = block_error(self.matrix, lambda x: (x @ v()) @ v().T)
         return errors.select(F.col("sse").alias("val"))
 
+    def _stored(self) -> CooMatrix | None:
+        """The entries of a wide dense matrix made of few of them."""
+        kept = stored(self.matrix) if isinstance(self.matrix, TallMatrix) else None
+        return kept if isinstance(kept, CooMatrix) else None
+
+    def _error_by_entries(self, a: CooMatrix) -> DataFrame:
+        """Residuals at the stored entries, and the squared approximation U S V' at the zeros."""
+        s = self.singular_values()
+        u, v = (TallMatrix(keep(x.df), x.n_cols) for x in (self.u, self.v))
+        whole = float((np.outer(s, s) * gram_local(u) * gram_local(v)).sum())
+        weights = F.lit([float(x) for x in s])
+        left = u.df.select(F.col("row_id").alias("u_id"), F.zip_with("v", weights, lambda x, c: x * c).alias("u"))
+        met = a.df.join(left, F.col("row_id").eqNullSafe(F.col("u_id")))
+        met = met.join(v.df.select(F.col("row_id").alias("col_id"), "v"), "col_id")
+        p = arrays.total(F.zip_with("u", "v", lambda x, y: x * y))
+        rest = met.select("val", p.alias("p")).agg(F.sum((F.col("val") - F.col("p")) ** 2 - F.col("p") ** 2).alias("val"))
+        return rest.select((F.coalesce("val", F.lit(0.0)) + whole).alias("val"))
+
     def save(self, path: str) -> None:
         """One Parquet table per part and a one-record `meta` with the dimensions."""
         self.u.df.write.parquet(f"{path}/u")

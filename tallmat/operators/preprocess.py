@@ -106,7 +106,10 @@ def preprocess(
     source, read = a.blocks()
     source = weigh(source) if weighted else source
     read = _prepared_blocks(read, a.n_cols, method, weighted)
-    return TallMatrix(prepared, a.n_cols, blocks=(source, read)), row_stats
+    matrix = TallMatrix(prepared, a.n_cols, blocks=(source, read))
+    if method == "none":
+        matrix.sparse = a.sparse
+    return matrix, row_stats
 
 
 def _prepared_blocks(read_raw, n: int, method: str, weighted: bool):
