@@ -655,3 +655,19 @@ def test_krylov_tells_close_values_apart(make):
     values = 1 - 0.4 * np.arange(800) / 800
     f = svd.krylov_svd(make((q * values).T), 2)
     assert np.allclose(f.s, values[:2], rtol=1e-9)
+
+
+def test_narrow_tables_of_rows_are_not_placed_by_column(make_coo, make, monkeypatch):
+    """The same products with the other factor sent to the rows, and without."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 6)) * (rng.random((30, 6)) < 0.6)
+    b = rng.normal(size=(6, 3))
+    monkeypatch.setattr(joined, "SLICE", 2)
+    for limit in (None, 0):
+        if limit is not None:
+            monkeypatch.setattr(joined, "MAX_BROADCAST_ROWS", limit)
+        a = joined.JoinedMatrix(make_coo(x))
+        got = dense(a.times(make(b)), (30, b.shape[1]))
+        assert np.allclose(got, x @ b) and np.allclose(dense(a.gram_times(make(b)), (6, b.shape[1])), x.T @ x @ b)
+        assert (a._col is None) == (limit is None)
+        a.release()
