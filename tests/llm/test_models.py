@@ -91,6 +91,59 @@ def test_classifiers_on_odd_tables(spark, odd, empty, module, label):
         assert all(0 <= r.score <= 1 for r in scores)
 
 
+def test_ranking_learns_from_all_labelled_rows(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 16_000
+    quality = (rng.random(n) < 0.6).astype(int)
+    texts = [
+        " ".join("".join(rng.choice(list("abcdefgh"), k)) for k in rng.integers(1, 5 + 3 * q, 8 + 4 * q)) for q in quality.tolist()
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id LONG, text STRING")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame(list(enumerate(quality.tolist())), "doc_id LONG, quality INT")
+    # labels without a document are of no account
+    labels.union(labels.selectExpr("doc_id + 1000000", "quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    # the threshold is the quantile of all training rows, so as many of them are rejected as are bad
+    found = [r for r in QUERIES["op8_quality_classifier"](spark, str(tmp_path)).collect() if not r.held_out]
+    assert len(found) > 12_000
+    assert sum(r.predicted == 0 for r in found) == sum(quality[r.doc_id] == 0 for r in found)
+    # one group is the same as a fit in memory
+    monkeypatch.setattr(ranking, "GROUP", 1000)
+    rows = ranking.measured(docs.where("doc_id < 600")).join(labels.withColumnRenamed("quality", "y"), "doc_id")
+    x = ranking.features(pa.array(texts[:600]))
+    model, mean = ranking.learn_measured(rows), x.mean(0)
+    assert np.allclose(model.mean, mean) and np.allclose(model.deviation, np.where(x.std(0) > 1e-12, x.std(0), 1))
+    # rows of a group are in the order of their hashes, so pairs and weights differ somewhat
+    assert np.corrcoef(model.rank(x), ranking.fit(x, quality[:600]).rank(x))[0, 1] > 0.95
+
+
+@pytest.mark.parametrize("group", [4, 32, 1000])
+def test_every_row_is_in_a_pair(spark, group, monkeypatch):
+    monkeypatch.setattr(ranking, "GROUP", group)
+    monkeypatch.setattr(ranking, "NUMBERED", 20)
+    # a class of three rows among 100, copies of an id, and a label that is of no class
+    rows = [(i, int(i < 3), np.array([float(i)]).tobytes()) for i in range(100)] + [(7, 0, np.array([7.5]).tobytes()), (200, 5, np.array([9.0]).tobytes())]
+    groups = ranking._dealt(spark.createDataFrame(rows, "doc_id LONG, y INT, x BINARY"), np.zeros(1), np.ones(1)).collect()
+    assert len(groups) == math.ceil(100 / group) and all(g.good and g.bad for g in groups)
+    bad = sorted(v for g in groups for v in np.frombuffer(bytes(g.bad)))
+    assert bad == sorted([float(i) for i in range(3, 100)] + [7.5])
+    assert {v for g in groups for v in np.frombuffer(bytes(g.good))} == {0.0, 1.0, 2.0}
+    for g in groups:
+        left, right = np.frombuffer(bytes(g.good)).reshape(-1, 1), np.frombuffer(bytes(g.bad)).reshape(-1, 1)
+        made = ranking._differences(left, right)
+        assert len(made) == max(20 * len(left), len(right))
+        assert set((left[:, None] - right).ravel()) >= set(made.ravel())
+
+
+def test_order_statistic(spark, monkeypatch):
+    from tallmat.llm import learning
+
+    monkeypatch.setattr(learning, "BINS", 4)
+    values = [0.0, -1.5, 3.25, 3.25, 3.25, 1e-9, 2e-9, 7.0, 1e6]
+    rows = spark.createDataFrame([(v,) for v in values], "z DOUBLE")
+    assert [learning.order_statistic(rows, "z", k) for k in range(9)] == sorted(values)
+
+
 def base_by_hand(rows):
     docs = [(i, words_of(t, lower=True) + [None]) for i, t in rows]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
