@@ -1,6 +1,6 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Every token is a customer in the restaurant of its context (the word before, hashed to one of `CONTEXTS` classes). A
+Every token is a customer in the restaurant of its context, the word before; every word has a restaurant of its own. A
 table of a context restaurant sends one customer to the unigram restaurant, the parent that all contexts share; its base
 measure spreads over the known words and one event for all unknown words, which gets their Good-Turing share. The
 seating is sampled by Gibbs, in the contexts and in the parent: a step seats all customers of a word in a context anew by
@@ -10,9 +10,11 @@ these numbers. The score averages the predictive probabilities of several sample
 How it is distributed: documents are cut into chunks of a few million tokens. A chunk keeps its tokens as numbers into
 its own sorted vocabulary, and sends its distinct words and (word, context) pairs, with training counts, to buckets of
 word hashes. A bucket holds some words completely, in all their contexts, so it can seat them alone; buckets only share
-the totals per context, which are vectors of fixed length. The first pass over the buckets seats and sums these totals;
-the second seats again with them, samples, and answers every chunk with the probabilities of its pairs. Chunks then add
-up their documents. Words are told apart by 64-bit hashes.
+the totals per context. The first pass over the buckets seats and deals the customers and tables of each bucket's contexts
+over places, by ranges of the context's hash. A place adds up its contexts and answers every bucket with the totals of those
+it named. The second pass seats again, samples with these totals, and answers every chunk with the probabilities of its
+pairs. Chunks then add up their documents. Words, as such and as contexts, are told apart by 64-bit hashes; in what chunks
+send, contexts from a book of frequent words go by their place in it, which shortens the records and changes nothing else.
 
 Defined cases: letters A-Z are compared without case; a NULL or empty text is the end token alone, which follows the
 context of a text's begin; with no training documents every token is unknown; repeated rows are counted and scored each;
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from tallmat.llm.near_dedup import _groups
 from tallmat.llm.seating import draw_tables
 from tallmat.llm.words import Words, slices
 
+# Up to so many contexts of a record are numbered by two bytes, more by four.
 CONTEXTS = 1 << 16
 CHUNK_TOKENS = 4_000_000
 BUCKET_BYTES = 32 << 20
@@ -43,8 +46,10 @@ STRENGTH, PARENT_STRENGTH = 1.0, 10.0
 BURN_IN, SAMPLES = 2, 3
 HELD_OUT = 10
 _END = np.uint64(0x2545F4914F6CDD1D)
-_BEGIN_CONTEXT = 0x7A31
-_SLICE = 1 << 10
+_BEGIN = np.uint64(0x6A09E667F3BCC909)
+# The book of frequent words comes from the beginnings of a few documents.
+BOOK, BOOK_DOCUMENTS, BOOK_LETTERS = 1 << 16, 4000, 20_000
+_NO_BOOK = np.empty(0, np.uint64)
 
 
 def held_out(doc_id: int) -> bool:
@@ -67,36 +72,80 @@ def _unpacked(body: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
 
 
-CHUNK_SCHEMA = "chunk LONG, bucket INT, doc_ids ARRAY<LONG>, a BINARY, b BINARY, c BINARY, d BINARY, e BINARY"
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending hashes by their differences."""
+    return _packed(np.diff(x, prepend=np.uint64(0)))
 
 
-def _chunk_rows(chunk: int, tokens: np.ndarray, contexts: np.ndarray, train: np.ndarray, doc_ids: list[int], lengths: np.ndarray, buckets: int):
+def _ascending(body: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(body, "u8"), dtype=np.uint64)
+
+
+def _named(x: np.ndarray, book: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending hashes: places of those in the book, and the others."""
+    if not len(book):
+        return _packed(np.empty(0, np.uint16)), _steps(x)
+    place = np.minimum(np.searchsorted(book, x), len(book) - 1)
+    inside = book[place] == x
+    return _packed(np.diff(place[inside], prepend=0).astype(np.uint16)), _steps(x[~inside])
+
+
+def _names(places: bytes, others: bytes, book: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate([book[np.cumsum(_unpacked(places, "u2"), dtype=np.int64)], _ascending(others)]))
+
+
+def _bodies(group: pa.Table, name: str) -> list[pa.Buffer]:
+    """The bytes of a column, not copied."""
+    return [v.as_buffer() for v in group.column(name)]
+
+
+def _number_kind(contexts: int) -> str:
+    return "u2" if contexts <= CONTEXTS else "u4"
+
+
+_BODIES = list("abcdefg")
+CHUNK_SCHEMA = "chunk LONG, bucket INT, doc_ids ARRAY<LONG>, " + ", ".join(f"{c} BINARY" for c in _BODIES)
+TOTAL_SCHEMA = "place INT, bucket INT, a BINARY, b BINARY, c BINARY"
+
+
+def _record(chunk: int, bucket: int, doc_ids: list[int], *bodies: bytes) -> pa.RecordBatch:
+    values = [[chunk], [bucket], [doc_ids], *[[b] for b in bodies], *[[None]] * (len(_BODIES) - len(bodies))]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * len(_BODIES)]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["chunk", "bucket", "doc_ids", *_BODIES])
+
+
+def _pairs(word: np.ndarray, context: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (word, context) pairs as word * contexts + context, and the pair of every token."""
+    key = word.astype(np.int64)
+    key *= contexts
+    key += context
+    return np.unique(key, return_inverse=True)
+
+
+def _chunk_rows(chunk: int, tokens: np.ndarray, contexts: np.ndarray, train: np.ndarray, doc_ids: list[int], lengths: np.ndarray, buckets: int, book: np.ndarray = _NO_BOOK):
     vocabulary, word = np.unique(tokens, return_inverse=True)
-    pairs, pair = np.unique(word.astype(np.int64) * CONTEXTS + contexts, return_inverse=True)
+    names, context = np.unique(contexts.astype(np.uint64), return_inverse=True)
+    pairs, pair = _pairs(word, context, len(names))
     words_train = np.bincount(word, train, len(vocabulary)).astype(np.uint32)
     pairs_train = np.bincount(pair, train, len(pairs)).astype(np.uint32)
-    pair_word = pairs // CONTEXTS
-    pair_context = (pairs % CONTEXTS).astype(np.uint16)
-    per_word = np.bincount(pair_word, minlength=len(vocabulary)).astype(np.uint32)
+    pair_context = (pairs % len(names)).astype(np.uint32)
+    per_word = np.bincount(pairs // len(names), minlength=len(vocabulary)).astype(np.uint32)
     # frequent words get small numbers, which compress well
     order = np.argsort(-np.bincount(word), kind="stable")
     short = np.empty(len(order), np.uint32)
     short[order] = np.arange(len(order))
-    rows = [(chunk, -1, doc_ids, _packed(lengths.astype(np.uint32)), _packed(short[word]), _packed(order.astype(np.uint32)), _packed((vocabulary & np.uint64(CONTEXTS - 1)).astype(np.uint16)), b"")]
+    # the number of each word as a context; that of a text's begin comes last
+    as_context = np.searchsorted(names, np.append(vocabulary, _BEGIN)).astype(np.uint32)
+    yield _record(chunk, -1, doc_ids, _packed(lengths.astype(np.uint32)), _packed(short[word]), _packed(order.astype(np.uint32)), _packed(as_context), _packed(np.array([len(names)], np.uint32)))
     edges = np.searchsorted(vocabulary, bucket_edges(buckets))
     pair_edges = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])[edges]
     for k in range(buckets):
         a, b = edges[k], edges[k + 1]
         if a < b:
             p, q = pair_edges[k], pair_edges[k + 1]
-            first = vocabulary[a:b].copy()
-            first[1:] -= vocabulary[a : b - 1]
-            rows.append((chunk, k, [], _packed(first), _packed(words_train[a:b]), _packed(per_word[a:b]), _packed(pair_context[p:q]), _packed(pairs_train[p:q])))
-    columns = list(zip(*rows))
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 5]
-    names = ["chunk", "bucket", "doc_ids", "a", "b", "c", "d", "e"]
-    for i in range(len(rows)):
-        yield pa.RecordBatch.from_arrays([pa.array([c[i]], k) for c, k in zip(columns, kinds)], names=names)
+            used, number = np.unique(pair_context[p:q], return_inverse=True)
+            number = number.astype(_number_kind(len(used)))
+            yield _record(chunk, k, [], _steps(vocabulary[a:b]), _packed(words_train[a:b]), _packed(per_word[a:b]), _packed(number), _packed(pairs_train[p:q]), *_named(names[used], book))
 
 
 def bucket_edges(buckets: int) -> np.ndarray:
@@ -105,7 +154,7 @@ def bucket_edges(buckets: int) -> np.ndarray:
     return np.array([k * step for k in range(buckets)] + [(1 << 64) - 1], np.uint64)
 
 
-def _chunk_batches(batches: Iterator, buckets: int) -> Iterator:
+def _chunk_batches(batches: Iterator, buckets: int, book) -> Iterator:
     part = TaskContext.get().partitionId()
     number = 0
     held: list[tuple] = []
@@ -114,7 +163,7 @@ def _chunk_batches(batches: Iterator, buckets: int) -> Iterator:
     def flush():
         nonlocal number, size
         ids = [i for h in held for i in h[3]]
-        rows = _chunk_rows((part << 24) + number, *[np.concatenate([h[k] for h in held]) for k in range(3)], ids, np.concatenate([h[4] for h in held]), buckets)
+        rows = _chunk_rows((part << 24) + number, *[np.concatenate([h[k] for h in held]) for k in range(3)], ids, np.concatenate([h[4] for h in held]), buckets, book.value)
         number, size = number + 1, 0
         held.clear()
         return rows
@@ -129,9 +178,9 @@ def _chunk_batches(batches: Iterator, buckets: int) -> Iterator:
             inside[last] = False
             # the largest hash is the end of the last bucket, so no word may have it
             tokens[inside] = np.minimum(words.hashes(), np.uint64((1 << 64) - 2))
-            contexts = np.empty(len(tokens), np.int64)
-            contexts[1:] = (tokens[:-1] & np.uint64(CONTEXTS - 1)).astype(np.int64)
-            contexts[last - lengths + 1] = _BEGIN_CONTEXT
+            contexts = np.empty(len(tokens), np.uint64)
+            contexts[1:] = tokens[:-1]
+            contexts[last - lengths + 1] = _BEGIN
             ids = piece.column("doc_id").to_pylist()
             train = np.repeat(np.array([not held_out(i) for i in ids], bool), lengths)
             held.append((tokens, contexts, train, ids, lengths))
@@ -144,10 +193,10 @@ def _chunk_batches(batches: Iterator, buckets: int) -> Iterator:
 
 @dataclass
 class Totals:
-    """What buckets share: customers and tables per context, and sums over all words."""
+    """What buckets share: customers and tables of a bucket's contexts, and sums over all words."""
 
-    customers: np.ndarray
-    tables: np.ndarray
+    customers: np.ndarray | None
+    tables: np.ndarray | None
     discount: float
     parent_discount: float
     parent_customers: float
@@ -155,6 +204,8 @@ class Totals:
     words: float
     tokens: float
     unknown: float
+    # how many times the tables of other words are to be counted: more than once where the rest is a guess
+    times: float = 1.0
 
     def base(self) -> float:
         return (1 - self.unknown) / max(self.words, 1.0)
@@ -169,21 +220,27 @@ class Totals:
 class Bucket:
     """Some words with all their contexts, merged from the rows of all chunks."""
 
-    def __init__(self, group: pa.Table):
-        rows = group.to_pylist()
-        self.chunks = [r["chunk"] for r in rows]
-        words = [np.cumsum(_unpacked(r["a"], "u8"), dtype=np.uint64) for r in rows]
+    def __init__(self, group: pa.Table, book: np.ndarray = _NO_BOOK):
+        self.chunks = group.column("chunk").to_pylist()
+        read = lambda name, kind: np.concatenate([_unpacked(b, kind) for b in _bodies(group, name)])
+        words = [_ascending(b) for b in _bodies(group, "a")]
         vocabulary, word = np.unique(np.concatenate(words), return_inverse=True)
-        per_word = np.concatenate([_unpacked(r["c"], "u4") for r in rows]).astype(np.int64)
-        context = np.concatenate([_unpacked(r["d"], "u2") for r in rows]).astype(np.int64)
-        pairs, self.pair_of = np.unique(np.repeat(word, per_word) * CONTEXTS + context, return_inverse=True)
+        per_word = read("c", "u4").astype(np.int64)
+        names = [_names(f, g, book) for f, g in zip(_bodies(group, "f"), _bodies(group, "g"))]
+        # the contexts of these words, by hash
+        self.contexts, place = np.unique(np.concatenate(names), return_inverse=True)
+        place, first = place.astype(np.int32), np.cumsum([0] + [len(n) for n in names])
+        context = np.concatenate([place[i:][_unpacked(d, _number_kind(len(n)))] for d, n, i in zip(_bodies(group, "d"), names, first)])
+        pairs, pair_of = _pairs(np.repeat(word.astype(np.int32), per_word), context, len(self.contexts))
+        del context
+        self.pair_of = pair_of.astype(np.int32)
         self.word_of = word
         self.word_rows = np.cumsum([0] + [len(w) for w in words])
         self.pair_rows = np.concatenate([[0], np.cumsum(per_word)])[self.word_rows]
-        self.count = np.bincount(word, np.concatenate([_unpacked(r["b"], "u4") for r in rows]), len(vocabulary))
-        self.word, self.context = pairs // CONTEXTS, pairs % CONTEXTS
-        self.customers = np.bincount(self.pair_of, np.concatenate([_unpacked(r["e"], "u4") for r in rows]), len(pairs)).astype(np.int64)
-        self.draw = np.random.default_rng([17, rows[0]["bucket"]])
+        self.count = np.bincount(word, read("b", "u4"), len(vocabulary))
+        self.word, self.context = (pairs // len(self.contexts)).astype(np.int32), (pairs % len(self.contexts)).astype(np.int32)
+        self.customers = np.bincount(self.pair_of, read("e", "u4"), len(pairs)).astype(np.int64)
+        self.draw = np.random.default_rng([17, group.column("bucket")[0].as_py()])
         # no table count is drawn yet: 0 for pairs, one table a word in the parent
         self.tables = np.minimum(self.customers, 1)
         self.drawn = np.zeros(len(pairs), np.int64)
@@ -194,11 +251,14 @@ class Bucket:
         self.parent_customers = np.bincount(self.word, self.tables, len(self.count))
         self.parent_tables = np.where(self.parent_drawn > 0, self.parent_drawn, np.minimum(self.parent_customers, 1))
 
+    def of_contexts(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, x, len(self.contexts))
+
     def sweep(self, totals: Totals) -> None:
         """Every customer seated anew: the tables of all pairs given the parent, then those of the words in the parent."""
         d, parent = totals.discount, totals.parent(self.parent_customers, self.parent_tables, totals.base())
         busy = np.flatnonzero(self.customers)
-        others = STRENGTH + d * np.maximum(totals.tables[self.context[busy]] - self.tables[busy], 0)
+        others = STRENGTH + d * totals.times * np.maximum(totals.tables[self.context[busy]] - self.tables[busy], 0)
         self.tables[busy] = draw_tables(self.drawn[busy], self.customers[busy], parent[self.word[busy]], others, d, self.draw)
         self.drawn = self.tables
         self._count_parent()
@@ -224,93 +284,106 @@ class Bucket:
 
 def _first_totals(bucket: Bucket, buckets: int) -> Totals:
     """A guess from one bucket, for burn-in only: its words are a random part of all words."""
-    customers = np.bincount(bucket.context, bucket.customers, CONTEXTS) * buckets
-    tables = np.bincount(bucket.context, np.minimum(bucket.customers, 1), CONTEXTS) * buckets
+    tables = bucket.of_contexts(bucket.tables)
     known = float((bucket.count > 0).sum() * buckets)
-    return Totals(customers, tables, 0.8, 0.6, float(tables.sum()), known, known, float(customers.sum()), 0.5)
+    # a word's own tables are no part of the guess, so the rest is multiplied where they are taken off
+    return Totals(bucket.of_contexts(bucket.customers), tables, 0.8, 0.6, float(tables.sum()) * buckets, known, known, float(bucket.customers.sum()) * buckets, 0.5, buckets)
+
 
+def _burnt_in(group: pa.Table, buckets: int, book: np.ndarray) -> Bucket:
+    bucket = Bucket(group, book)
+    for _ in range(BURN_IN):
+        bucket.sweep(_first_totals(bucket, buckets))
+    return bucket
 
-def _total_batches(batches: Iterator, buckets: int) -> Iterator:
-    """Burn-in of every bucket; sums per context (in slices of fixed length) and over all words."""
-    customers = np.zeros(CONTEXTS)
-    tables = np.zeros(CONTEXTS)
-    sums = np.zeros(9)
+
+def _total_record(place: int, bucket: int, *bodies: bytes) -> pa.RecordBatch:
+    values = [[place], [bucket], *[[b] for b in bodies], *[[None]] * (3 - len(bodies))]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["place", "bucket", "a", "b", "c"])
+
+
+def _total_batches(batches: Iterator, buckets: int, book) -> Iterator:
+    """Burn-in of every bucket: customers and tables of its contexts, by places; sums over all words as place -1."""
+    sums = np.zeros(10)
     for group in _groups(batches, "bucket"):
-        bucket = Bucket(group)
-        guess = _first_totals(bucket, buckets)
-        for _ in range(BURN_IN):
-            bucket.sweep(guess)
-        customers += np.bincount(bucket.context, bucket.customers, CONTEXTS)
-        tables += np.bincount(bucket.context, bucket.tables, CONTEXTS)
+        bucket = _burnt_in(group, buckets, book.value)
+        number = group.column("bucket")[0].as_py()
+        customers, tables = [bucket.of_contexts(x).astype(np.uint64) for x in (bucket.customers, bucket.tables)]
+        edges = np.searchsorted(bucket.contexts, bucket_edges(buckets))
+        for place, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            if a < b:
+                yield _total_record(place, number, _steps(bucket.contexts[a:b]), _packed(customers[a:b]), _packed(tables[a:b]))
         ones = [(x == k).sum() for x in (bucket.customers, bucket.parent_customers, bucket.count) for k in (1, 2)]
-        sums += [(bucket.count > 0).sum(), bucket.count.sum(), bucket.parent_tables.sum(), *ones]
-    blocks = [*np.split(customers, CONTEXTS // _SLICE), *np.split(tables, CONTEXTS // _SLICE), sums]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["place", "v"]
-    )
+        sums += [(bucket.count > 0).sum(), bucket.count.sum(), bucket.parent_tables.sum(), *ones, bucket.tables.sum()]
+    yield _total_record(-1, -1, sums.tobytes())
 
 
-def _sum_batches(batches: Iterator) -> Iterator:
+def _place_batches(batches: Iterator) -> Iterator:
+    """Totals of the contexts of a place, for every bucket those it named, in its order."""
     for group in _groups(batches, "place"):
-        total = sum(np.frombuffer(v, np.float64) for v in group.column("v").to_pylist())
-        yield pa.RecordBatch.from_arrays([group.column("place").combine_chunks().slice(0, 1), pa.array([total.tobytes()])], names=["place", "v"])
-
-
-def _gathered(chunks: DataFrame, buckets: int) -> Totals:
-    """Totals over all buckets: vectors of fixed length, added up in tasks."""
-    partial = chunks.mapInArrow(lambda b: _total_batches(b, buckets), "place INT, v BINARY")
-    rows = partial.repartition("place").sortWithinPartitions("place").mapInArrow(_sum_batches, "place INT, v BINARY").collect()
-    blocks = {r.place: np.frombuffer(bytes(r.v), np.float64) for r in rows}
-    n = CONTEXTS // _SLICE
-    zero = np.zeros(_SLICE)
-    customers = np.concatenate([blocks.get(k, zero) for k in range(n)])
-    tables = np.concatenate([blocks.get(n + k, zero) for k in range(n)])
-    words, tokens, parent_tables, p1, p2, q1, q2, w1, _ = blocks.get(2 * n, np.zeros(9))
+        rows = group.to_pylist()
+        names = [_ascending(r["a"]) for r in rows]
+        contexts, at = np.unique(np.concatenate(names), return_inverse=True)
+        totals = [
+            np.bincount(at, np.concatenate([_unpacked(r[k], "u8") for r in rows]), len(contexts)).astype(np.uint64) for k in "bc"
+        ]
+        ends = np.cumsum([len(n) for n in names])
+        for r, n, end in zip(rows, names, ends):
+            own = at[end - len(n) : end]
+            yield _record(-1 - r["place"], r["bucket"], [], *[_packed(t[own]) for t in totals])
+
+
+def _sums(partial: DataFrame) -> Totals:
+    """Sums over all buckets, without totals of contexts."""
+    sums = sum((np.frombuffer(bytes(r.a)) for r in partial.where("place < 0").select("a").collect()), np.zeros(10))
+    words, tokens, parent_tables, p1, p2, q1, q2, w1, _, tables = sums
     estimate = lambda one, two: float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one + two else 0.75
-    out = Totals(customers, tables, estimate(p1, p2), estimate(q1, q2), tables.sum(), parent_tables, words, tokens, 0.5)
+    out = Totals(None, None, estimate(p1, p2), estimate(q1, q2), tables, parent_tables, words, tokens, 0.5)
     fresh = (PARENT_STRENGTH + out.parent_discount * parent_tables) / (PARENT_STRENGTH + out.parent_customers)
     if tokens:
         out.unknown = float(np.clip((w1 + 1) / (tokens + 1) / fresh, 0.01, 0.9))
     return out
 
 
-def _answer_batches(batches: Iterator, buckets: int, totals) -> Iterator:
+def _answer_batches(batches: Iterator, buckets: int, book, totals) -> Iterator:
     """Samples of every bucket; per chunk the training counts of its words and the log probabilities of its pairs."""
     for group in _groups(batches, "bucket"):
-        bucket = Bucket(group)
-        guess = _first_totals(bucket, buckets)
-        for _ in range(BURN_IN):
-            bucket.sweep(guess)
+        # places come first, that of the highest hashes at the head
+        n = int((group.column("chunk").to_numpy() < 0).sum())
+        customers, tables = [
+            np.concatenate([_unpacked(b, "u8") for b in _bodies(group.slice(0, n), k)[::-1]]).astype(float) for k in "ab"
+        ]
+        bucket = _burnt_in(group.slice(n), buckets, book.value)
+        known = replace(totals.value, customers=customers, tables=tables)
         mean = np.zeros(len(bucket.word))
         for _ in range(SAMPLES):
-            bucket.sweep(totals.value)
-            mean += bucket.probability(totals.value) / SAMPLES
+            bucket.sweep(known)
+            mean += bucket.probability(known) / SAMPLES
         score = np.log10(mean).astype(np.float32)[bucket.pair_of]
         count = bucket.count.astype(np.uint32)[bucket.word_of]
         number = group.column("bucket")[0].as_py()
         for i, chunk in enumerate(bucket.chunks):
             a = count[bucket.word_rows[i] : bucket.word_rows[i + 1]]
             b = score[bucket.pair_rows[i] : bucket.pair_rows[i + 1]]
-            none = pa.nulls(1, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk]), pa.array([number], pa.int32()), pa.array([[]], pa.list_(pa.int64())), pa.array([_packed(a)]), pa.array([_packed(b)]), none, none, none],
-                names=["chunk", "bucket", "doc_ids", "a", "b", "c", "d", "e"],
-            )
+            yield _record(chunk, number, [], _packed(a), _packed(b))
 
 
 def _score_batches(batches: Iterator, words: float, tokens: float) -> Iterator:
     """Scores of the documents of each chunk from the answers of all buckets."""
     for group in _groups(batches, "chunk"):
-        stream, *answers = sorted(group.to_pylist(), key=lambda r: r["bucket"])
-        count = np.concatenate([_unpacked(r["a"], "u4") for r in answers]).astype(float)
-        score = np.concatenate([_unpacked(r["b"], "f4") for r in answers]).astype(float)
+        # the stream has bucket -1
+        stream = group.slice(0, 1).to_pylist()[0]
+        count = np.concatenate([_unpacked(b, "u4") for b in _bodies(group.slice(1), "a")]).astype(float)
+        score = np.concatenate([_unpacked(b, "f4") for b in _bodies(group.slice(1), "b")])
         lengths = _unpacked(stream["a"], "u4").astype(np.int64)
-        word = _unpacked(stream["c"], "u4").astype(np.int64)[_unpacked(stream["b"], "u4")]
-        contexts = np.empty(len(word), np.int64)
-        contexts[1:] = _unpacked(stream["d"], "u2")[word[:-1]]
+        word = _unpacked(stream["c"], "u4")[_unpacked(stream["b"], "u4")]
+        as_context = _unpacked(stream["d"], "u4")
+        contexts = np.empty(len(word), np.uint32)
+        contexts[1:] = as_context[word[:-1]]
         ends = np.cumsum(lengths)
-        contexts[ends - lengths] = _BEGIN_CONTEXT
-        _, pair = np.unique(word * CONTEXTS + contexts, return_inverse=True)
+        contexts[ends - lengths] = as_context[-1]
+        _, pair = _pairs(word, contexts, int(_unpacked(stream["e"], "u4")[0]))
         base = np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))[word]
         sums = lambda v: np.add.reduceat(v, ends - lengths)
         ids = stream["doc_ids"]
@@ -322,23 +395,43 @@ def _score_batches(batches: Iterator, words: float, tokens: float) -> Iterator:
                 pa.array(sums((count[word] > 0).astype(np.int64))),
                 pa.array(np.full(len(ids), int(tokens), np.int64)),
                 pa.array(sums(base)),
-                pa.array(sums(score[pair])),
+                pa.array(sums(score[pair].astype(float))),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
 
+def _count_batches(batches: Iterator) -> Iterator:
+    for batch in batches:
+        word, n = np.unique(Words(batch.column("text"), lower=True).hashes(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+
+def _book(texts: DataFrame, n: int) -> np.ndarray:
+    """Hashes of frequent words in about `BOOK_DOCUMENTS` of n documents, ascending."""
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(n // BOOK_DOCUMENTS + 1)) == 0
+    some = texts.where(chosen).select(F.substring("text", 1, BOOK_LETTERS).alias("text"))
+    counts = some.mapInArrow(_count_batches, "word LONG, n LONG").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "word").limit(BOOK).select("word").collect()
+    return np.sort(np.array([r.word for r in rows], np.int64).view(np.uint64))
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     texts = texts_of(docs)
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(size // BUCKET_BYTES) + 1
-    chunks = stored(texts.mapInArrow(lambda b: _chunk_batches(b, buckets), CHUNK_SCHEMA), "chunks")
+    size, n = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    buckets = int((size or 0) // BUCKET_BYTES) + 1
+    book = Sent(spark, _book(texts, n))
+    chunks = stored(texts.mapInArrow(lambda b: _chunk_batches(b, buckets, book), CHUNK_SCHEMA), "chunks")
     by_bucket = chunks.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    totals = _gathered(by_bucket, buckets)
+    partial = stored(by_bucket.mapInArrow(lambda b: _total_batches(b, buckets, book), TOTAL_SCHEMA), "context-totals")
+    totals = _sums(partial)
     shared = Sent(spark, totals)
-    answers = by_bucket.mapInArrow(lambda b: _answer_batches(b, buckets, shared), CHUNK_SCHEMA)
+    by_place = partial.where("place >= 0").repartition("place").sortWithinPartitions("place", "bucket")
+    named = by_place.mapInArrow(_place_batches, CHUNK_SCHEMA)
+    met = chunks.where("bucket >= 0").unionByName(named).repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    answers = met.mapInArrow(lambda b: _answer_batches(b, buckets, book, shared), CHUNK_SCHEMA)
     streams = chunks.where("bucket < 0")
     words, tokens = totals.words, totals.tokens
     return (

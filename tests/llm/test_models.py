@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -265,6 +266,46 @@ def test_probabilities_of_a_context_sum_to_one():
     assert total + fresh * unknown / (language_model.STRENGTH + totals.customers[1]) == pytest.approx(1)
 
 
+def test_every_word_before_is_a_context_of_its_own(spark, monkeypatch):
+    """x is always followed by y, whichever other word shares the low bits of its hash."""
+    from tallmat.llm.words import Words
+
+    names = [f"w{i}" for i in range(3000)]
+    low = Words(pa.array([" ".join(names)]), lower=True).hashes() & np.uint64(0xFFFF)
+    first = {}
+    a, b = next((names[first[h]], names[i]) for i, h in enumerate(low.tolist()) if first.setdefault(h, i) != i)
+    assert a != b
+    rows = [(i, f"{a} after" if i % 2 else f"{b} other") for i in range(400)]
+    for buckets in (1, 400):
+        monkeypatch.setattr(language_model, "BUCKET_BYTES", 5000 // buckets)
+        monkeypatch.setattr(language_model, "CHUNK_TOKENS", 200)
+        docs = spark.createDataFrame(rows + [(1000, f"{a} other"), (1001, f"{a} after")], "doc_id LONG, text STRING").repartition(3)
+        score = {r.doc_id: r.score for r in language_model.scored(docs).collect()}
+        # half of the texts begin with each word, and the rest is certain
+        assert score[1001] == pytest.approx(math.log10(0.5), abs=0.05)
+        assert score[1000] < score[1001] - 1
+
+
+def test_totals_of_contexts_equal_plain_sums():
+    rng = np.random.default_rng(2)
+    n, buckets = 5000, 7
+    tokens = rng.integers(1, 1 << 62, 300).astype(np.uint64)[rng.zipf(1.5, n) % 300] * np.uint64(3)
+    contexts = np.append(np.uint64(5), tokens[:-1])
+    # half of the words are in the book
+    book = SimpleNamespace(value=np.unique(tokens)[::2])
+    halves = [list(language_model._chunk_rows(i, tokens[i::2], contexts[i::2], np.ones(n // 2), [], np.array([n // 2]), buckets, book.value)) for i in (0, 1)]
+    rows = sorted((b for h in halves for b in h if b.column("bucket")[0].as_py() >= 0), key=lambda b: b.column("bucket")[0].as_py())
+    sent = list(language_model._total_batches(iter(rows), buckets, book))
+    dealt = sorted((b for b in sent if b.column("place")[0].as_py() >= 0), key=lambda b: b.column("place")[0].as_py())
+    back = [r for b in language_model._place_batches(iter(dealt)) for r in b.to_pylist()]
+    total = Counter(contexts.tolist())
+    for group in language_model._groups(iter(rows), "bucket"):
+        bucket = language_model.Bucket(group, book.value)
+        mine = sorted((r for r in back if r["bucket"] == group.column("bucket")[0].as_py()), key=lambda r: -r["chunk"])
+        got = np.concatenate([language_model._unpacked(r["a"], "u8") for r in mine])
+        assert got.tolist() == [total[c] for c in bucket.contexts.tolist()]
+
+
 def test_packed_round_trip():
     for x in (np.array([], np.uint32), np.arange(1000, dtype=np.uint64) ** 3, np.array([1.5, -2], np.float32)):
         back = language_model._unpacked(language_model._packed(x), x.dtype.str[1:])
