@@ -124,8 +124,14 @@ def _pairs(word: np.ndarray, context: np.ndarray, contexts: int) -> tuple[np.nda
 
 def _chunk_rows(chunk: int, tokens: np.ndarray, contexts: np.ndarray, train: np.ndarray, doc_ids: list[int], lengths: np.ndarray, buckets: int, book: np.ndarray = _NO_BOOK):
     vocabulary, word = np.unique(tokens, return_inverse=True)
-    names, context = np.unique(contexts.astype(np.uint64), return_inverse=True)
+    # arrays of tokens are long: numbers go into four bytes, and what is done with goes
+    word = word.astype(np.uint32)
+    del tokens
+    names, context = np.unique(contexts.astype(np.uint64, copy=False), return_inverse=True)
+    context = context.astype(np.uint32)
+    del contexts
     pairs, pair = _pairs(word, context, len(names))
+    del context
     words_train = np.bincount(word, train, len(vocabulary)).astype(np.uint32)
     pairs_train = np.bincount(pair, train, len(pairs)).astype(np.uint32)
     pair_context = (pairs % len(names)).astype(np.uint32)
@@ -136,6 +142,7 @@ def _chunk_rows(chunk: int, tokens: np.ndarray, contexts: np.ndarray, train: np.
     short[order] = np.arange(len(order))
     # the number of each word as a context; that of a text's begin comes last
     as_context = np.searchsorted(names, np.append(vocabulary, _BEGIN)).astype(np.uint32)
+    del pair
     yield _record(chunk, -1, doc_ids, _packed(lengths.astype(np.uint32)), _packed(short[word]), _packed(order.astype(np.uint32)), _packed(as_context), _packed(np.array([len(names)], np.uint32)))
     edges = np.searchsorted(vocabulary, bucket_edges(buckets))
     pair_edges = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])[edges]
