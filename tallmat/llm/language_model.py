@@ -50,6 +50,8 @@ _BEGIN = np.uint64(0x6A09E667F3BCC909)
 # The book of frequent words comes from the beginnings of a few documents.
 BOOK, BOOK_DOCUMENTS, BOOK_LETTERS = 1 << 16, 4000, 20_000
 _NO_BOOK = np.empty(0, np.uint64)
+# Values looked up at once.
+_PIECE = 1 << 18
 
 
 def held_out(doc_id: int) -> bool:
@@ -114,35 +116,76 @@ def _record(chunk: int, bucket: int, doc_ids: list[int], *bodies: bytes) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["chunk", "bucket", "doc_ids", *_BODIES])
 
 
-def _pairs(word: np.ndarray, context: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (word, context) pairs as word * contexts + context, and the pair of every token."""
+def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, and the number of each value among them; only the distinct ones are sorted."""
+    found = pa.array(x).dictionary_encode()
+    order = np.argsort(found.dictionary.to_numpy())
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.arange(len(order), dtype=np.uint32)
+    return found.dictionary.to_numpy()[order], number[found.indices.to_numpy()]
+
+
+def _keys(word: np.ndarray, context: np.ndarray, contexts: int) -> np.ndarray:
+    """(word, context) as word * contexts + context."""
     key = word.astype(np.int64)
     key *= contexts
     key += context
-    return np.unique(key, return_inverse=True)
+    return key
+
+
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Whether a value of an ascending array is the first of its kind."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
+def _sums_at(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """np.bincount of long short-typed arrays, without whole copies of them."""
+    out = np.zeros(n)
+    for a in range(0, len(at), max(_PIECE, n)):
+        out += np.bincount(at[a : a + max(_PIECE, n)], x[a : a + max(_PIECE, n)], n)
+    return out
+
+
+def _places(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of every value of x, all of them among the ascending keys."""
+    out = np.empty(len(x), np.int32)
+    for a in range(0, len(x), _PIECE):
+        out[a : a + _PIECE] = np.searchsorted(keys, x[a : a + _PIECE])
+    return out
 
 
 def _chunk_rows(chunk: int, tokens: np.ndarray, contexts: np.ndarray, train: np.ndarray, doc_ids: list[int], lengths: np.ndarray, buckets: int, book: np.ndarray = _NO_BOOK):
-    vocabulary, word = np.unique(tokens, return_inverse=True)
-    # arrays of tokens are long: numbers go into four bytes, and what is done with goes
-    word = word.astype(np.uint32)
+    # arrays of tokens are long: numbers go into four bytes, nothing long is sorted with its places, and what is done with goes
+    vocabulary, word = _coded(tokens)
     del tokens
-    names, context = np.unique(contexts.astype(np.uint64, copy=False), return_inverse=True)
-    context = context.astype(np.uint32)
+    names, context = _coded(contexts.astype(np.uint64, copy=False))
     del contexts
-    pairs, pair = _pairs(word, context, len(names))
+    # one more bit tells the tokens of training documents
+    key = _keys(word, context, len(names))
     del context
+    key *= 2
+    key += train
+    key.sort()
     words_train = np.bincount(word, train, len(vocabulary)).astype(np.uint32)
-    pairs_train = np.bincount(pair, train, len(pairs)).astype(np.uint32)
+    del train
+    odd = (key & 1).astype(bool)
+    key >>= 1
+    first = np.flatnonzero(_begins(key))
+    pairs = key[first]
+    del key
+    pairs_train = np.add.reduceat(odd, first, dtype=np.uint32) if len(first) else np.empty(0, np.uint32)
+    del odd, first
     pair_context = (pairs % len(names)).astype(np.uint32)
     per_word = np.bincount(pairs // len(names), minlength=len(vocabulary)).astype(np.uint32)
+    del pairs
     # frequent words get small numbers, which compress well
     order = np.argsort(-np.bincount(word), kind="stable")
     short = np.empty(len(order), np.uint32)
     short[order] = np.arange(len(order))
     # the number of each word as a context; that of a text's begin comes last
     as_context = np.searchsorted(names, np.append(vocabulary, _BEGIN)).astype(np.uint32)
-    del pair
     yield _record(chunk, -1, doc_ids, _packed(lengths.astype(np.uint32)), _packed(short[word]), _packed(order.astype(np.uint32)), _packed(as_context), _packed(np.array([len(names)], np.uint32)))
     edges = np.searchsorted(vocabulary, bucket_edges(buckets))
     pair_edges = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])[edges]
@@ -169,10 +212,15 @@ def _chunk_batches(batches: Iterator, buckets: int, book) -> Iterator:
 
     def flush():
         nonlocal number, size
-        ids = [i for h in held for i in h[3]]
-        rows = _chunk_rows((part << 24) + number, *[np.concatenate([h[k] for h in held]) for k in range(3)], ids, np.concatenate([h[4] for h in held]), buckets, book.value)
-        number, size = number + 1, 0
+        ids, lengths = [i for h in held for i in h[1]], np.concatenate([h[2] for h in held])
+        tokens = np.concatenate([h[0] for h in held])
         held.clear()
+        contexts = np.empty(len(tokens), np.uint64)
+        contexts[1:] = tokens[:-1]
+        contexts[np.cumsum(lengths) - lengths] = _BEGIN
+        train = np.repeat(np.array([not held_out(i) for i in ids], bool), lengths)
+        rows = _chunk_rows((part << 24) + number, tokens, contexts, train, ids, lengths, buckets, book.value)
+        number, size = number + 1, 0
         return rows
 
     for batch in batches:
@@ -185,12 +233,7 @@ def _chunk_batches(batches: Iterator, buckets: int, book) -> Iterator:
             inside[last] = False
             # the largest hash is the end of the last bucket, so no word may have it
             tokens[inside] = np.minimum(words.hashes(), np.uint64((1 << 64) - 2))
-            contexts = np.empty(len(tokens), np.uint64)
-            contexts[1:] = tokens[:-1]
-            contexts[last - lengths + 1] = _BEGIN
-            ids = piece.column("doc_id").to_pylist()
-            train = np.repeat(np.array([not held_out(i) for i in ids], bool), lengths)
-            held.append((tokens, contexts, train, ids, lengths))
+            held.append((tokens, piece.column("doc_id").to_pylist(), lengths))
             size += len(tokens)
             if size >= CHUNK_TOKENS:
                 yield from flush()
@@ -233,41 +276,56 @@ class Bucket:
         words = [_ascending(b) for b in _bodies(group, "a")]
         vocabulary, word = np.unique(np.concatenate(words), return_inverse=True)
         per_word = read("c", "u4").astype(np.int64)
+        self.word_rows = np.cumsum([0] + [len(w) for w in words])
+        self.pair_rows = np.concatenate([[0], np.cumsum(per_word)])[self.word_rows]
         names = [_names(f, g, book) for f, g in zip(_bodies(group, "f"), _bodies(group, "g"))]
+        first = np.cumsum([0] + [len(n) for n in names])
         # the contexts of these words, by hash
-        self.contexts, place = np.unique(np.concatenate(names), return_inverse=True)
-        place, first = place.astype(np.int32), np.cumsum([0] + [len(n) for n in names])
-        context = np.concatenate([place[i:][_unpacked(d, _number_kind(len(n)))] for d, n, i in zip(_bodies(group, "d"), names, first)])
-        pairs, pair_of = _pairs(np.repeat(word.astype(np.int32), per_word), context, len(self.contexts))
-        del context
-        self.pair_of = pair_of.astype(np.int32)
+        joined = np.concatenate(names)
+        self.contexts = np.unique(joined)
+        place = _places(self.contexts, joined)
+        del names, joined
+        # arrays of pairs are long: they are filled chunk by chunk, and what is done with goes
+        key = np.empty(self.pair_rows[-1], np.int64)
+        for k, body in enumerate(_bodies(group, "d")):
+            rows = slice(self.word_rows[k], self.word_rows[k + 1])
+            context = place[first[k] : first[k + 1]][_unpacked(body, _number_kind(first[k + 1] - first[k]))]
+            key[self.pair_rows[k] : self.pair_rows[k + 1]] = _keys(np.repeat(word[rows], per_word[rows]), context, len(self.contexts))
+        del place, per_word
+        pairs = np.sort(key)
+        pairs = pairs[_begins(pairs)]
+        self.pair_of = _places(pairs, key)
+        del key
         self.word_of = word
-        self.word_rows = np.cumsum([0] + [len(w) for w in words])
-        self.pair_rows = np.concatenate([[0], np.cumsum(per_word)])[self.word_rows]
         self.count = np.bincount(word, read("b", "u4"), len(vocabulary))
         self.word, self.context = (pairs // len(self.contexts)).astype(np.int32), (pairs % len(self.contexts)).astype(np.int32)
-        self.customers = np.bincount(self.pair_of, read("e", "u4"), len(pairs)).astype(np.int64)
+        self.customers = np.zeros(len(pairs), np.int64)
+        del pairs
+        for k, body in enumerate(_bodies(group, "e")):
+            # a chunk names a pair once
+            self.customers[self.pair_of[self.pair_rows[k] : self.pair_rows[k + 1]]] += _unpacked(body, "u4")
         self.draw = np.random.default_rng([17, group.column("bucket")[0].as_py()])
-        # no table count is drawn yet: 0 for pairs, one table a word in the parent
+        # no table count is drawn yet: 0 for pairs, one table a word in the parent; a single customer has one table always
         self.tables = np.minimum(self.customers, 1)
-        self.drawn = np.zeros(len(pairs), np.int64)
+        self.several = np.flatnonzero(self.customers > 1).astype(np.int32)
+        self.drawn = np.zeros(len(self.several), np.int64)
         self.parent_drawn = np.zeros(len(vocabulary), np.int64)
         self._count_parent()
 
     def _count_parent(self) -> None:
-        self.parent_customers = np.bincount(self.word, self.tables, len(self.count))
+        self.parent_customers = _sums_at(self.word, self.tables, len(self.count))
         self.parent_tables = np.where(self.parent_drawn > 0, self.parent_drawn, np.minimum(self.parent_customers, 1))
 
     def of_contexts(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context, x, len(self.contexts))
+        return _sums_at(self.context, x, len(self.contexts))
 
     def sweep(self, totals: Totals) -> None:
         """Every customer seated anew: the tables of all pairs given the parent, then those of the words in the parent."""
         d, parent = totals.discount, totals.parent(self.parent_customers, self.parent_tables, totals.base())
-        busy = np.flatnonzero(self.customers)
+        busy = self.several
         others = STRENGTH + d * totals.times * np.maximum(totals.tables[self.context[busy]] - self.tables[busy], 0)
-        self.tables[busy] = draw_tables(self.drawn[busy], self.customers[busy], parent[self.word[busy]], others, d, self.draw)
-        self.drawn = self.tables
+        self.drawn = draw_tables(self.drawn, self.customers[busy], parent[self.word[busy]], others, d, self.draw)
+        self.tables[busy] = self.drawn
         self._count_parent()
         known = np.flatnonzero(self.parent_customers)
         seated = self.parent_customers[known].astype(np.int64)
@@ -277,16 +335,21 @@ class Bucket:
         self.parent_drawn[known] = draw_tables(before, seated, np.full(len(known), totals.base()), rest, d, self.draw)
         self._count_parent()
 
-    def probability(self, totals: Totals) -> np.ndarray:
-        """Predictive probability of every (word, context) pair, seen or not."""
+    def probability(self, totals: Totals, times: float = 1.0, total: np.ndarray | None = None) -> np.ndarray:
+        """`total` plus, `times` over, the predictive probability of every (word, context) pair, seen or not."""
         parent = np.where(
             self.count > 0,
             totals.parent(self.parent_customers, self.parent_tables, totals.base()),
             totals.parent(np.zeros(len(self.count)), np.zeros(len(self.count)), totals.unknown),
         )
-        total = STRENGTH + totals.customers[self.context]
-        own = np.maximum(self.customers - totals.discount * self.tables, 0)
-        return (own + (STRENGTH + totals.discount * totals.tables[self.context]) * parent[self.word]) / total
+        total = np.zeros(len(self.word)) if total is None else total
+        for a in range(0, len(total), _PIECE):
+            here = slice(a, a + _PIECE)
+            context, tables = self.context[here], self.tables[here]
+            seated = STRENGTH + totals.customers[context]
+            own = np.maximum(self.customers[here] - totals.discount * tables, 0)
+            total[here] += (own + (STRENGTH + totals.discount * totals.tables[context]) * parent[self.word[here]]) / seated * times
+        return total
 
 
 def _first_totals(bucket: Bucket, buckets: int) -> Totals:
@@ -366,8 +429,9 @@ def _answer_batches(batches: Iterator, buckets: int, book, totals) -> Iterator:
         mean = np.zeros(len(bucket.word))
         for _ in range(SAMPLES):
             bucket.sweep(known)
-            mean += bucket.probability(known) / SAMPLES
-        score = np.log10(mean).astype(np.float32)[bucket.pair_of]
+            mean = bucket.probability(known, 1 / SAMPLES, mean)
+        score = np.log10(mean, out=mean).astype(np.float32)[bucket.pair_of]
+        del mean
         count = bucket.count.astype(np.uint32)[bucket.word_of]
         number = group.column("bucket")[0].as_py()
         for i, chunk in enumerate(bucket.chunks):
@@ -390,7 +454,12 @@ def _score_batches(batches: Iterator, words: float, tokens: float) -> Iterator:
         contexts[1:] = as_context[word[:-1]]
         ends = np.cumsum(lengths)
         contexts[ends - lengths] = as_context[-1]
-        _, pair = _pairs(word, contexts, int(_unpacked(stream["e"], "u4")[0]))
+        key = _keys(word, contexts, int(_unpacked(stream["e"], "u4")[0]))
+        del contexts
+        pairs = np.sort(key)
+        pairs = pairs[_begins(pairs)]
+        pair = _places(pairs, key)
+        del key, pairs
         base = np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))[word]
         sums = lambda v: np.add.reduceat(v, ends - lengths)
         ids = stream["doc_ids"]

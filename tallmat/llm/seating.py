@@ -17,7 +17,8 @@ import numpy as np
 EXACT = 64
 STEPS = 12
 _TERMS = 64
-_ROWS = 1 << 15
+# Weights made at once.
+_CELLS = 1 << 18
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -83,7 +84,7 @@ def draw_tables(t: np.ndarray, c: np.ndarray, p: np.ndarray, others: np.ndarray,
     table = stirling_table(EXACT, d)
     for size in np.unique(c[(c > 1) & (c <= EXACT)]).astype(int).tolist():
         rows = np.flatnonzero(c == size)
-        for part in np.split(rows, range(_ROWS, len(rows), _ROWS)):
+        for part in np.split(rows, range(_CELLS // size, len(rows), _CELLS // size)):
             weight = np.cumsum(np.log(p[part, None] * (others[part, None] + d * np.arange(size))), axis=1)
             weight += table[size, 1 : size + 1]
             mass = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)

@@ -306,6 +306,29 @@ def test_totals_of_contexts_equal_plain_sums():
         assert got.tolist() == [total[c] for c in bucket.contexts.tolist()]
 
 
+def test_memory_of_chunks_and_buckets_follows_their_pairs():
+    """A chunk takes at most 45 bytes a token beside its arguments, a bucket 90 bytes a row of pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    n = 1_000_000
+    words = rng.integers(1, 1 << 62, 200_000).astype(np.uint64)
+    tokens = words[rng.zipf(1.2, n) % len(words)]
+    contexts, train, lengths = np.append(np.uint64(5), tokens[:-1]), np.ones(n, bool), np.array([n])
+    tracemalloc.start()
+    try:
+        rows = list(language_model._chunk_rows(0, tokens, contexts, train, [7], lengths, 1))
+        assert tracemalloc.get_traced_memory()[1] < 45 * n
+        group = pa.Table.from_batches(rows[1:])
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        bucket = language_model._burnt_in(group, 1, language_model._NO_BOOK)
+        assert tracemalloc.get_traced_memory()[1] - before < 90 * len(bucket.pair_of)
+    finally:
+        tracemalloc.stop()
+    assert bucket.customers.sum() == n and len(bucket.word) == len(set(zip(tokens.tolist(), contexts.tolist())))
+
+
 def test_packed_round_trip():
     for x in (np.array([], np.uint32), np.arange(1000, dtype=np.uint64) ** 3, np.array([1.5, -2], np.float32)):
         back = language_model._unpacked(language_model._packed(x), x.dtype.str[1:])
