@@ -166,7 +166,7 @@ def _chunk_rows(chunk: int, tokens: np.ndarray, contexts: np.ndarray, train: np.
     key = _keys(word, context, len(names))
     del context
     key *= 2
-    key += train
+    key += train.astype(np.uint8)
     key.sort()
     words_train = np.bincount(word, train, len(vocabulary)).astype(np.uint32)
     del train
