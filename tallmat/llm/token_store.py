@@ -32,6 +32,8 @@ from tallmat.session import scratch_path
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 BLOCK_IDS = 1 << 20
+# Bytes of text in a range of doc_id: a task encodes a stretch once, so long ranges meet fewer new ones a byte.
+RANGE_BYTES = 32 << 20
 MIN_COUNT = 24
 # A round that shortens a block by less than this share is the last.
 MIN_GAIN = 0.02
@@ -54,26 +56,44 @@ def _chosen(rank: np.ndarray) -> np.ndarray:
     return (rank > 0) & even & (rank >= before) & (rank >= after)
 
 
+def _among(some: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Whether each symbol is one of `some`."""
+    known = np.zeros(max(int(some.max()), int(symbols.max())) + 1, bool)
+    known[some] = True
+    return known[symbols]
+
+
 def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rules is an n x 2 table, rule k stands for symbol base + k."""
     symbols = ids.astype(np.int64)
     rules = [np.zeros((0, 2), np.int64)]
     n_rules = 0
     while len(symbols) > 1:
-        pairs = pa.array(symbols[:-1] << 32 | symbols[1:]).dictionary_encode()
-        code = pairs.indices.to_numpy()
-        counts = np.bincount(code)
-        frequent = np.flatnonzero(counts >= min_count)
+        key = symbols[:-1] << 32 | symbols[1:]
+        ordered = np.sort(key)
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        counts = np.diff(np.append(starts, len(ordered)))
+        often = counts >= min_count
+        frequent, counts = ordered[starts[often]], counts[often]
         if not len(frequent):
             break
+        # places whose pair is frequent; most others have a symbol that no frequent pair has on this side
+        some = np.flatnonzero(_among(frequent >> 32, symbols[:-1]) & _among(frequent & 0xFFFFFFFF, symbols[1:]))
+        code = np.searchsorted(frequent, key[some])
+        code[code == len(frequent)] = 0
+        same = frequent[code] == key[some]
+        some, code = some[same], code[same]
+        first = np.empty(len(frequent), np.int64)
+        first[code[::-1]] = some[::-1]
         # rank 1 .. n by count, ties by first occurrence
-        order = frequent[np.argsort(counts[frequent], kind="stable")]
-        rank_of = np.zeros(len(counts), np.int32)
+        order = np.lexsort([first, counts])
+        rank_of = np.empty(len(frequent), np.int32)
         rank_of[order] = np.arange(1, len(order) + 1)
-        rank = rank_of[code]
+        rank = np.zeros(len(key), np.int32)
+        rank[some] = rank_of[code]
         at = np.flatnonzero(_chosen(rank))
         used, index = np.unique(rank[at], return_inverse=True)
-        pair = pairs.dictionary.to_numpy()[order[used - 1]]
+        pair = frequent[order[used - 1]]
         rules.append(np.stack([pair >> 32, pair & 0xFFFFFFFF], 1))
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
@@ -179,9 +199,11 @@ def _block_batches(batches: Iterator, path: str, spaces: bool, end: int, block_i
 def write_store(docs: DataFrame, target: str, path: str | None = None, spaces: bool = True, end: int = END, block_ids: int = BLOCK_IDS) -> None:
     """Encode all texts and write them, in ascending doc_id order, to the Parquet folder `target`."""
     path = path or tokenizer_path(TOKENIZER)
+    texts = texts_of(docs)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(-(-size // RANGE_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
     (
-        texts_of(docs)
-        .repartitionByRange(F.col("doc_id"))
+        texts.repartitionByRange(ranges, F.col("doc_id"))
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(lambda b: _block_batches(b, path, spaces, end, block_ids), BLOCK_SCHEMA)
         .write.parquet(target)

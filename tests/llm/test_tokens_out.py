@@ -56,6 +56,15 @@ def test_token_store(sample, sample_rows, tmp_path):
     assert got == want
 
 
+def test_ranges_of_the_store_follow_the_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "RANGE_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "some words " * 20) for i in range(200)], "doc_id LONG, text STRING")
+    token_store.write_store(docs, str(tmp_path / "store"))
+    assert 40 <= spark.read.parquet(str(tmp_path / "store")).select("part").distinct().count() <= 44
+    found = token_store.read_store(spark, str(tmp_path / "store")).orderBy("start").collect()
+    assert [r.doc_id for r in found] == list(range(200))
+
+
 def test_token_store_odd_tables(odd, empty, tmp_path):
     spark = odd.sparkSession
     token_store.write_store(empty, str(tmp_path / "a"))
