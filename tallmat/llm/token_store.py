@@ -56,11 +56,20 @@ def _chosen(rank: np.ndarray) -> np.ndarray:
     return (rank > 0) & even & (rank >= before) & (rank >= after)
 
 
-def _among(some: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Whether each symbol is one of `some`."""
-    known = np.zeros(max(int(some.max()), int(symbols.max())) + 1, bool)
-    known[some] = True
-    return known[symbols]
+def _sorted_pairs(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of neighbours in ascending order, where each begins among the sorted places, and those places."""
+    n = len(symbols) - 1
+    bits, place_bits = int(symbols.max()).bit_length(), n.bit_length()
+    key = symbols[:-1] << bits | symbols[1:]
+    if 2 * bits + place_bits < 64:
+        # pair and place in one number, so one plain sort gives both
+        packed = np.sort(key << place_bits | np.arange(n))
+        at, key = packed & ((1 << place_bits) - 1), packed >> place_bits
+    else:
+        at = np.argsort(key, kind="stable")
+        key = key[at]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return np.stack([key[starts] >> bits, key[starts] & ((1 << bits) - 1)], 1), starts, at
 
 
 def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN) -> tuple[np.ndarray, np.ndarray]:
@@ -69,32 +78,20 @@ def repair(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, min_gain: flo
     rules = [np.zeros((0, 2), np.int64)]
     n_rules = 0
     while len(symbols) > 1:
-        key = symbols[:-1] << 32 | symbols[1:]
-        ordered = np.sort(key)
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(starts, len(ordered)))
-        often = counts >= min_count
-        frequent, counts = ordered[starts[often]], counts[often]
-        if not len(frequent):
+        pairs, starts, places = _sorted_pairs(symbols)
+        counts = np.diff(np.append(starts, len(places)))
+        often = np.flatnonzero(counts >= min_count)
+        if not len(often):
             break
-        # places whose pair is frequent; most others have a symbol that no frequent pair has on this side
-        some = np.flatnonzero(_among(frequent >> 32, symbols[:-1]) & _among(frequent & 0xFFFFFFFF, symbols[1:]))
-        code = np.searchsorted(frequent, key[some])
-        code[code == len(frequent)] = 0
-        same = frequent[code] == key[some]
-        some, code = some[same], code[same]
-        first = np.empty(len(frequent), np.int64)
-        first[code[::-1]] = some[::-1]
         # rank 1 .. n by count, ties by first occurrence
-        order = np.lexsort([first, counts])
-        rank_of = np.empty(len(frequent), np.int32)
+        order = often[np.lexsort([places[starts[often]], counts[often]])]
+        rank_of = np.zeros(len(pairs), np.int32)
         rank_of[order] = np.arange(1, len(order) + 1)
-        rank = np.zeros(len(key), np.int32)
-        rank[some] = rank_of[code]
+        rank = np.empty(len(places), np.int32)
+        rank[places] = np.repeat(rank_of, counts)
         at = np.flatnonzero(_chosen(rank))
         used, index = np.unique(rank[at], return_inverse=True)
-        pair = frequent[order[used - 1]]
-        rules.append(np.stack([pair >> 32, pair & 0xFFFFFFFF], 1))
+        rules.append(pairs[order[used - 1]])
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols[at] = base + n_rules + index
@@ -145,7 +142,20 @@ def decode(block: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
     stop = int(ends[-1]) if stop is None and len(ends) else (stop or 0)
     first, last = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left")
     skipped = int(ends[first - 1]) if first else 0
-    return _expand(symbols[first : last + 1], rules, base)[start - skipped : stop - skipped]
+    some = symbols[first : last + 1]
+    if len(some) < len(rules):
+        return _expand(some, rules, base)[start - skipped : stop - skipped]
+    # every rule is expanded once, then gathered
+    flat = _expand(base + np.arange(len(rules)), rules, base)
+    compound = some >= base
+    used = some[compound] - base
+    counts = lengths[used]
+    begin = (np.cumsum(lengths) - lengths)[used] - (np.cumsum(counts) - counts)
+    inside = np.repeat(compound, size[first : last + 1])
+    out = np.empty(len(inside), np.int64)
+    out[~inside] = some[~compound]
+    out[inside] = flat[np.arange(int(counts.sum())) + np.repeat(begin, counts)]
+    return out[start - skipped : stop - skipped]
 
 
 def _block_batches(batches: Iterator, path: str, spaces: bool, end: int, block_ids: int) -> Iterator:

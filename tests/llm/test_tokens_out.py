@@ -43,6 +43,16 @@ def test_repair_round_trip():
             assert max(pairs.values()) < n
 
 
+def test_repair_of_large_symbols():
+    """Pairs that don't fit one number with their place are sorted in another way, with the same result."""
+    ids = np.random.default_rng(2).integers(0, 40, 5000).astype(np.uint32)
+    small, rules = token_store.repair(ids, 1000, 3, 0.0)
+    apart = np.uint32(1 << 25)
+    large, shifted = token_store.repair(ids + apart, 1000 + int(apart), 3, 0.0)
+    assert (small + int(apart)).tolist() == large.tolist()
+    assert (rules + int(apart)).tolist() == shifted.tolist()
+
+
 def test_token_store(sample, sample_rows, tmp_path):
     rows = sorted(dict(sample_rows).items())
     docs = sample.sparkSession.createDataFrame(rows, "doc_id LONG, text STRING").repartition(5)

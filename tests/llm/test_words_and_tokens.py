@@ -1,5 +1,7 @@
 """Words, window hashes and token ids against the plainest computation."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -50,3 +52,16 @@ def test_token_ids(name, spaces):
         want = [plain.encode(t or "", add_special_tokens=False).ids for t in part]
         assert counts.tolist() == [len(w) for w in want]
         assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_known_stretches_take_little_memory():
+    """A task may remember a million of them, in two Python workers of an executor."""
+    encoder = Encoder(tokenizer_path("byte_bpe_50k.json"), True)
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(200)) for i in range(300)])
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    encoder.encode(texts)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    # 59,700 stretches that follow a space, with their ids
+    assert held < 100 * 59_700
