@@ -4,7 +4,7 @@ A document is the set of its distinct `WIDTH`-word shingles; documents with equa
 classes. In any order of shingles, two sets that share at least t of them share l or more within their prefixes of
 n - t + l shingles. So a set whose prefix has fewer than l shingles in common with other sets has no partner.
 
-1. In the order of the hashes, with l a twentieth of the set, sets that fail this test go. What remains is copies, edited
+1. In the order of the hashes, with l a tenth of the set, sets that fail this test go. What remains is copies, edited
    copies and texts built from common passages.
 2. Among these the order is by document frequency, rarest first. Shingles of a single set count but are never joined.
    Each set chooses its own l: a longer prefix reads more postings but demands more shared shingles of a candidate, so l is
@@ -47,6 +47,9 @@ READ = 3
 # 64-bit words of a parity signature: each shingle flips one bit, so as many bits as two signatures differ in, as many
 # shingles at least are in one set only.
 PARITY = 8
+# The first test asks for one shared shingle in so many. A smaller share reads shorter prefixes, but the more texts there
+# are, the more sets share so few by chance and go on with all their shingles.
+FIRST_SHARE = 10
 # Another round of stars follows one in which more than one pair in GAIN was a link.
 GAIN = 5
 
@@ -97,7 +100,7 @@ def required(n, percent: int):
 
 def _first_matches(n, percent: int):
     """l of the first test, at most the least intersection."""
-    return np.minimum(1 + n // 20, required(n, percent))
+    return np.minimum(1 + n // FIRST_SHARE, required(n, percent))
 
 
 def _class_batches(batches: Iterator, width: int, percent: int) -> Iterator:
@@ -194,7 +197,7 @@ def survivors(classes: DataFrame, percent: int) -> DataFrame:
         return F.ceil(n * percent / F.lit(100))
 
     partner = t(F.col("n"))
-    matches = F.least(1 + F.floor(partner / 20), t(partner))
+    matches = F.least(1 + F.floor(partner / FIRST_SHARE), t(partner))
     shared = F.size("prefix") - F.coalesce("own", F.lit(0))
     return classes.join(own, "id", "left").where(shared >= matches).select("id", "doc_id", "n")
 
@@ -202,8 +205,10 @@ def survivors(classes: DataFrame, percent: int) -> DataFrame:
 def postings(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(h, id, n, u, l): the adaptive prefixes of the sets of texts(id, n, text) without the shingles of single sets."""
     tokens = texts.select("id", "text").mapInArrow(lambda batches: _shingle_batches(batches, width), "id LONG, h LONG")
-    tokens = stored(tokens, "shingles")
-    frequent = tokens.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    # dealt by shingle once, for the counts and for the join; a set has a shingle once, so two sets have a frequent one
+    tokens = stored(tokens, "shingles").repartition("h")
+    counts = tokens.groupBy("h").agg(F.count("*").alias("f"), F.min("id").alias("x"), F.max("id").alias("y"))
+    frequent = counts.where("x < y").select("h", "f")
     shared = tokens.join(frequent, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("shared"))
     sets = texts.select("id", "n").join(shared, "id").withColumn("u", F.col("n") - F.size("shared"))
     # the rarest n - t + l shingles hold all own ones; with none left there is no partner
@@ -227,8 +232,9 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """Postings of more than one component, with their number of rows."""
-    sizes = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y"))
-    return rows.join(sizes.where("x < y").select("h", "size"), "h")
+    same = Window.partitionBy("h")
+    found = rows.withColumns({"size": F.count("*").over(same), "x": F.min("root").over(same), "y": F.max("root").over(same)})
+    return found.where("x < y").drop("x", "y")
 
 
 def star_pairs(rows: DataFrame, percent: int) -> DataFrame:

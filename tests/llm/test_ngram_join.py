@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from plain_texts import sentence, words_of
+from pyspark.sql import functions as F
 
 from tallmat.llm import ngram_join
 from tallmat.llm.ngram_join import choose_matches, jaccard_components, required
@@ -132,3 +133,24 @@ def test_texts_of_a_template_are_no_candidates(spark):
 def test_odd_tables(odd, odd_rows, empty):
     assert found(empty) == []
     assert found(odd) == by_hand(odd_rows, 4, 85)
+
+
+def test_few_shared_shingles_do_not_survive(spark):
+    """Sets that share six shingles of their prefixes by chance are no near copies; sets that share most of them may be."""
+    n = 100
+    length = int(n - required(n, 85) + ngram_join._first_matches(n, 85))
+
+    def prefix(i, shared, group):
+        return [group * 1000 + k for k in range(shared)] + [i * 1_000_000 + k for k in range(length - shared)]
+
+    rows = [(1, 1, n, prefix(1, 6, 1)), (2, 2, n, prefix(2, 6, 1)), (3, 3, n, prefix(3, 20, 2)), (4, 4, n, prefix(4, 20, 2))]
+    classes = spark.createDataFrame(rows, "id LONG, doc_id LONG, n LONG, prefix ARRAY<LONG>")
+    assert sorted(r.id for r in ngram_join.survivors(classes, 85).collect()) == [3, 4]
+
+
+def test_postings_are_dealt_once(spark):
+    rows = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (3, 7)], "id LONG, h LONG").withColumn("root", F.col("id"))
+    mixed = ngram_join._mixed(rows)
+    assert sorted((r.id, r.h, r.size) for r in mixed.collect()) == [(1, 7, 3), (2, 7, 3), (3, 7, 3)]
+    plan = mixed._jdf.queryExecution().sparkPlan().toString() + mixed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
