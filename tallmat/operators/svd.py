@@ -22,6 +22,7 @@ from tallmat.operators import products
 from tallmat.operators.blocked import BlockedMatrix
 from tallmat.operators.fold import fits_locally, ship
 from tallmat.operators.joined import JoinedMatrix
+from tallmat.operators.packed import PackedSparse
 from tallmat.operators.products import local_rows, map_blocks
 from tallmat.operators.tsqr import RANK_TOL, tsqr
 from tallmat.sources.index import number_rows
@@ -243,7 +244,7 @@ def krylov_svd(
     if basis == "auto":
         basis = "local" if fits_locally(a.n_cols, 2 * longest) else "table"
     if basis == "local":
-        longest = max(longest, min(LONG_BASIS * block, a.n_cols, MAX_LOCAL_ELEMS // (4 * a.n_cols)))
+        longest = max(longest, min(LONG_BASIS * block, a.n_cols, MAX_LOCAL_ELEMS // (2 * a.n_cols)))
     space = _LocalSpace(a, seed) if basis == "local" else _TableSpace(a, seed)
     try:
         return _lanczos(space, a.n_cols, k, block, longest, tol, restarts * 5)
@@ -284,14 +285,14 @@ class _LocalSpace:
     def start(self, block: int) -> None:
         self.v = np.linalg.qr(gaussian_matrix(self.a.df.sparkSession, self.a.n_cols, block, self.seed))[0]
         self.cv = products.gram_times_local(self.a, self.v)
+        self.t = self.v.T @ self.cv
 
     @property
     def width(self) -> int:
         return self.v.shape[1]
 
     def projected(self) -> np.ndarray:
-        t = self.v.T @ self.cv
-        return (t + t.T) / 2
+        return (self.t + self.t.T) / 2
 
     def residuals(self, z, theta) -> np.ndarray:
         self.r = self.cv @ z - (self.v @ z) * theta
@@ -299,6 +300,7 @@ class _LocalSpace:
 
     def restart(self, z) -> None:
         self.v, self.cv = self.v @ z, self.cv @ z
+        self.t = self.v.T @ self.cv
 
     def grow(self) -> bool:
         w = self.r
@@ -309,8 +311,10 @@ class _LocalSpace:
         w = w[:, : self.a.n_cols - self.width]
         if w.shape[1] == 0:
             return False
-        self.v = np.hstack([self.v, w])
-        self.cv = np.hstack([self.cv, products.gram_times_local(self.a, w)])
+        cw = products.gram_times_local(self.a, w)
+        # the rest of V'CV is there from the steps before
+        self.t = np.block([[self.t, self.v.T @ cw], [w.T @ self.cv, w.T @ cw]])
+        self.v, self.cv = np.hstack([self.v, w]), np.hstack([self.cv, cw])
         return True
 
     def finish(self, z, k: int) -> TruncatedSvd:
@@ -400,8 +404,10 @@ class _TableSpace:
 
 
 def in_blocks(a):
-    """The matrix as the decompositions pass over it: rows too long for one record each become blocks of columns."""
-    return BlockedMatrix.from_tall(a) if isinstance(a, TallMatrix) and a.n_cols > MAX_DIRECT_COLS else a.keep()
+    """The matrix as the decompositions pass over it: rows too long for one record each become blocks of columns, sparse rows are packed."""
+    if isinstance(a, (TallMatrix, BlockedMatrix)):
+        return BlockedMatrix.from_tall(a) if isinstance(a, TallMatrix) and a.n_cols > MAX_DIRECT_COLS else a.keep()
+    return PackedSparse(a)
 
 
 def stored(a):
