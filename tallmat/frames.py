@@ -322,12 +322,18 @@ class CooMatrix:
         return CooMatrix(picked.select("row_id", F.col("pos").alias("col_id"), "val"), n_chosen, True)
 
     def to_tall(self) -> TallMatrix:
-        """Dense rows; a row without entries is absent here as well."""
+        """Dense rows; a row without entries is absent here as well.
+
+        Rows too long for a record raise when they are read; decompositions go on by the entries then.
+        """
         from tallmat.operators import batches
 
         n = self.n_cols
         if n > MAX_LOCAL_ELEMS:
-            raise ValueError(f"{n} columns are too many for dense rows")
+            failure = F.raise_error(F.lit(f"{n} columns are too many for dense rows")).cast("array<double>")
+            tall = TallMatrix(self.df.select("row_id").distinct().select("row_id", failure.alias("v")), n)
+            tall.sparse = self
+            return tall
 
         def densify(record_batches):
             for batch in record_batches:

@@ -411,9 +411,11 @@ def in_blocks(a):
 
 
 def stored(a):
-    """A wide matrix made dense from few entries goes on as these entries; any other as it is."""
+    """A wide matrix made dense from few entries, or too wide for dense rows, goes on as its entries; any other as it is."""
     if not isinstance(a, TallMatrix) or a.sparse is None or a.n_cols <= MAX_DIRECT_COLS:
         return a
+    if a.n_cols > MAX_LOCAL_ELEMS:
+        return a.sparse
     sizes = a.sparse.df.agg(F.count("*").alias("n"), F.count_distinct(F.struct("row_id")).alias("rows")).first()
     return a.sparse if sizes.n < SPARSE_SHARE * sizes.rows * a.n_cols else a
 
@@ -435,12 +437,9 @@ def transposed_svd(a: CooMatrix, k: int, seed: int = 0) -> TruncatedSvd | None:
         # a null row id is a row as well
         side = F.broadcast(numbers) if m <= MAX_BROADCAST_ROWS else numbers
         flipped = entries.join(side, F.col("row_id").eqNullSafe(F.col("old")))
-        flipped = keep(flipped.select(F.col("col_id").alias("row_id"), F.col("at").alias("col_id"), "val"))
-        try:
-            f = krylov_svd(CooMatrix(flipped, m, canonical=True), k, seed=seed, basis="local")
-            v = TallMatrix(cut_lineage(f.u.df), f.u.n_cols)
-        finally:
-            flipped.unpersist()
+        flipped = flipped.select(F.col("col_id").alias("row_id"), F.col("at").alias("col_id"), "val")
+        f = krylov_svd(CooMatrix(flipped, m, canonical=True), k, seed=seed, basis="local")
+        v = TallMatrix(cut_lineage(f.u.df), f.u.n_cols)
     finally:
         entries.unpersist()
     signs = np.diag(_table_signs(v))

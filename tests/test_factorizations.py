@@ -6,7 +6,7 @@ import pytest
 from plain_matrices import dense
 from pyspark.sql import functions as F
 
-from tallmat import TallMatrix, cx_scores, nmf, pca
+from tallmat import CooMatrix, TallMatrix, cx_scores, nmf, pca
 from tallmat.operators import centered, cx, fold, joined, nnls, preprocess, products, stats, svd, tsqr
 from tallmat.operators.blocked import BlockedMatrix
 from tallmat.operators.nmf import load_nmf, select_columns
@@ -671,3 +671,18 @@ def test_narrow_tables_of_rows_are_not_placed_by_column(make_coo, make, monkeypa
         assert np.allclose(got, x @ b) and np.allclose(dense(a.gram_times(make(b)), (6, b.shape[1])), x.T @ x @ b)
         assert (a._col is None) == (limit is None)
         a.release()
+
+
+def test_more_columns_than_a_dense_row_may_have(spark):
+    """The view of such a matrix goes on by its entries: the leading triple, the randomized one and the error."""
+    n = (1 << 24) + 5
+    x = np.random.default_rng(21).normal(size=(6, 9))
+    cols = [0, 1, 7, 1000, 99_999, 5_000_000, 1 << 23, n - 2, n - 1]
+    data = [(int(i), int(c), float(x[i, j])) for i in range(6) for j, c in enumerate(cols)]
+    a = CooMatrix(spark.createDataFrame(data, "row_id BIGINT, col_id BIGINT, val DOUBLE"), n).to_tall()
+    s = np.linalg.svd(x, compute_uv=False)
+    assert np.allclose(svd.exact_svd(a, 1).s, s[:1])
+    model = pca(a, 1, "none")
+    assert model.squared_error().first().val == pytest.approx((s[1:] ** 2).sum())
+    with pytest.raises(Exception, match="too many for dense rows"):
+        a.df.collect()
